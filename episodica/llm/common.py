@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,18 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Readies a session for the operators' Python: small Arrow batches, and this package on every worker's path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    context = spark.sparkContext
+    if getattr(context, "_episodica_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="episodica-"), "episodica_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, Path(package.name, source.relative_to(package)))
+    context.addPyFile(str(archive))
+    context._episodica_shipped = True
 
 
 def text_or_empty(name: str = "text"):
