@@ -57,7 +57,7 @@ class WordEncoder:
 def dominant_sets(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Martello and Toth's reduction on a histogram of lengths: sets to fix for good, and how often; counts shrinks.
 
-    For the longest document left, L, and the longest k that fits beside it: {L} alone is fixed when nothing fits; {L, k}
+    For each length L from the longest down, and the longest k that fits beside it: {L} alone is fixed when nothing fits; {L, k}
     when it fills the sequence, when nothing fits beside the two smallest, or when at most two more documents fit and no feasible pair is longer than k -
     in each case any packing can be changed to hold the set without another sequence.
     """
@@ -68,10 +68,9 @@ def dominant_sets(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int
         place -= 1
         large = lengths[place]
         while counts.get(large, 0) > 0:
-            present = [n for n in lengths[:place] if counts[n] > 0]
             own = counts[large]
             room = capacity - large
-            beside = present if own == 1 else [*present, large]
+            beside = [n for n in lengths if counts[n] > (n == large)]
             at = bisect.bisect_right(beside, room) - 1
             if at < 0:
                 fixed.append(((large,), own))
