@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from episodica.llm.bpe import round_trip_digests
+from episodica.llm.common import Scratch
 from episodica.llm.embeddings import embedding_near_dedup
 from episodica.llm.exactdedup import exact_dedup
 from episodica.llm.packing import pack_documents
+from episodica.llm.sharding import shard_documents
 from episodica.llm.tokencount import count_tokens
 from episodica.llm.toxicity import score_documents, train
+from episodica.llm.warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +46,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it comes back from the compacted store."""
+    _, rows = shard_documents(table(spark, sf_dir, "documents"))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), "lang", "source")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives."""
+    folder = Scratch(spark, "archive").path("warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).drop("url")
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"), least=0.98)
 
@@ -55,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
+    "op7_sharding": op7_sharding,
+    "op8_warc": op8_warc,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
@@ -65,4 +85,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op7_sharding": """
+        SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256, lang, source
+        FROM documents""",
 }
