@@ -11,6 +11,7 @@ from episodica.llm.bpe import round_trip_digests
 from episodica.llm.common import Scratch
 from episodica.llm.embeddings import embedding_near_dedup
 from episodica.llm.exactdedup import exact_dedup
+from episodica.llm.jaccard import jaccard_components
 from episodica.llm.packing import pack_documents
 from episodica.llm.sharding import shard_documents
 from episodica.llm.tokencount import count_tokens
@@ -38,6 +39,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op7_sharding": op7_sharding,
