@@ -14,6 +14,7 @@ from episodica.llm.exactdedup import exact_dedup
 from episodica.llm.jaccard import jaccard_components
 from episodica.llm.packing import pack_documents
 from episodica.llm.sharding import shard_documents
+from episodica.llm.suffix import removal_digests, remove_repeats
 from episodica.llm.tokencount import count_tokens
 from episodica.llm.toxicity import score_documents, train
 from episodica.llm.warc import read_warc, write_warc
@@ -51,6 +52,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as it comes back from the compacted store."""
     _, rows = shard_documents(table(spark, sf_dir, "documents"))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
