@@ -169,6 +169,20 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     return docs.select(id_col, held_out(id_col).alias("held_out"), text_or_empty(text)).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns; edge cases as score_documents, and nothing is shuffled."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t or "") < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def offending_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id, start, end, score, sentence): the sentences whose own probability reaches the threshold, with their place in the text."""
     small_batches(docs.sparkSession)
