@@ -94,3 +94,10 @@ def batches(rows: DataFrame, key: str, size: int, seed: int | None = None) -> Da
 def modulo_batches(spark, n: int, size: int, count: int) -> DataFrame:
     """(batch, place, row): batch i of a table of n rows holds rows (i * size + j) mod n."""
     return spark.range(count * size).select(F.floor(F.col("id") / size).alias("batch"), (F.col("id") % size).alias("place"), (F.col("id") % n).alias("row"))
+
+
+def episode_subset(ids: DataFrame, key: str, n: int, seed: int | None = None) -> DataFrame:
+    """n ids: the first ones, or random ones with a seed; more than there are is an error."""
+    if n > ids.count():
+        raise ValueError(f"{n} episodes asked for, fewer are there")
+    return ids.orderBy(key).limit(n) if seed is None else prefix_sample(ids, key, n, seed)
