@@ -199,11 +199,13 @@ def hot_spans(steps: DataFrame, scratch: Scratch) -> DataFrame:
     window; the windows of the others are looked up one by one.
     """
     whole = scratch.write(_keys_again(steps, "whole"), "hot-whole").withColumn("all", F.lit(True))
-    shared = scratch.write(_keys_again(steps, "shared"), "hot-shared").withColumn("some", F.lit(True))
+    shared = scratch.write(_keys_again(steps, "shared"), "hot-shared")
     told = scratch.write(steps.join(whole, "whole", "left"), "hot-told")
     done = told.where("all").select("doc", F.col("low").alias("start"), (F.col("low") + F.size("windows") - 1 + LENGTH).alias("end"))
-    # a step that is repeated as a whole stays in the look-up of windows: others may equal it in part
-    rest = told.join(shared, "shared").select("doc", F.posexplode("windows").alias("i", "window"), "low", F.coalesce("all", F.lit(False)).alias("all"))
+    some = told.where("all IS NULL").join(shared, "shared", "left_semi")
+    # others may equal a step that is repeated as a whole in part: one of its kind stays in the look-up of windows
+    kinds = told.where("all").join(some.select("shared").distinct(), "shared", "left_semi").dropDuplicates(["whole"])
+    rest = some.unionByName(kinds).select("doc", F.posexplode("windows").alias("i", "window"), "low", F.coalesce("all", F.lit(False)).alias("all"))
     rest = scratch.write(rest.select("doc", (F.col("low") + F.col("i")).alias("low"), "window", "all"), "hot-windows")
     again = scratch.write(_keys_again(rest, "window"), "hot-again")
     found = rest.where("NOT all").join(again, "window").select("doc", F.col("low").alias("start"), (F.col("low") + LENGTH).alias("end"))
