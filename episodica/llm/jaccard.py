@@ -16,6 +16,8 @@ from episodica.llm.common import Scratch, connected_components, fingerprints, mi
 BLOCK = 512
 #: Bytes of text that one vectorised step works on; a longer document is a step of its own.
 STEP = 1 << 20
+#: Ways to deal columns into blocks that are tried on large groups of candidates.
+DEALS = 5
 #: Column blocks that may be empty without being looked at, see block_signatures.
 SPARE = 1
 
@@ -75,13 +77,14 @@ def size_bands(percent: int, largest: int) -> np.ndarray:
     return np.array(edges + [-(-edges[-1] * 100 // percent) + 1], np.int64)
 
 
-def block_signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def block_signatures(sets: list[np.ndarray], percent: int, deal: int = 0, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of the column blocks in which a row of the incidence matrix may agree entirely with a linked one.
 
     Linked rows of sizes x and y differ in at most d = (x + y)(100 - p) / (100 + p) columns. For each pair of neighbouring bands the
     columns are dealt into d + 1 + SPARE blocks, d taken for the largest sizes there, so linked rows agree in 1 + SPARE blocks at
     least, and only rows with a common signature need be multiplied. Empty blocks are alike in all rows: a row with at
-    most SPARE empty blocks has a common block that isn't empty and leaves them out; the few others keep them.
+    most SPARE empty blocks has a common block that isn't empty and leaves them out; the few others keep them. Every `deal` is another way to
+    deal columns out, and linked rows agree somewhere in each. Rows that differ in `within` never share a signature.
     """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     if not sizes.sum():
@@ -89,7 +92,8 @@ def block_signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray,
     edges = size_bands(percent, int(sizes.max()))
     band = np.searchsorted(edges, sizes, "right") - 1
     values = np.concatenate(sets)
-    spread = mixed(values)
+    spread = mixed(values ^ np.uint64(0x5851F42D4C957F2D))
+    dealt = mixed(values + np.uint64(deal) * _ODD)
     row_of = np.repeat(np.arange(len(sets)), sizes)
     rows, signatures = [], []
     for shift in (0, 1):
@@ -101,15 +105,17 @@ def block_signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray,
         if not n:
             continue
         use = blocks[row_of] > 0
-        at = bases[row_of[use]] + (values[use] % blocks[row_of[use]].astype(np.uint64)).astype(np.int64)
+        at = bases[row_of[use]] + (dealt[use] % blocks[row_of[use]].astype(np.uint64)).astype(np.int64)
         sums = np.zeros(n, np.uint64)
         np.add.at(sums, at, spread[use])
         held = np.bincount(at, minlength=n)
         row = np.repeat(np.arange(len(sets)), blocks)
-        within = np.arange(n) - bases[row]
+        place = np.arange(n) - bases[row]
         empty = np.bincount(row[held == 0], minlength=len(sets))
         keep = (held > 0) | (empty > SPARE)[row]
-        salt = (own[row].astype(np.uint64) << np.uint64(32)) + within.astype(np.uint64)
+        salt = (own[row].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)
+        if within is not None:
+            salt += mixed(within)[row]
         rows.append(row[keep])
         signatures.append(mixed(sums[keep] + mixed(salt[keep] * np.uint64(2) + np.uint64(1))))
     if not rows:
@@ -117,6 +123,36 @@ def block_signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(signatures).view(np.int64)
 
 
+def tie(nodes: np.ndarray, row: np.ndarray, signature: np.ndarray, seen: dict[int, int]) -> tuple[list[list[int]], list[list[int]]]:
+    """For each row the signatures that it is the task's first to hold, and the first holders of its others: the combiner before the shuffle."""
+    order = np.argsort(row, kind="stable")
+    bounds = np.searchsorted(row[order], np.arange(len(nodes) + 1))
+    listed = signature[order].tolist()
+    fresh, near = [], []
+    for i, node in enumerate(nodes.tolist()):
+        new, old = [], set()
+        for s in listed[bounds[i] : bounds[i + 1]]:
+            other = seen.setdefault(s, node)
+            if other == node:
+                new.append(s)
+            else:
+                old.add(other)
+        fresh.append(new)
+        near.append(list(old))
+        if len(seen) > 1 << 20:
+            seen.clear()
+    return fresh, near
+
+
+def candidate_edges(signed: DataFrame) -> DataFrame:
+    """(a, b) such that nodes with a common signature are connected; a signature has a row per task at most."""
+    holders = signed.select(F.explode("signatures").alias("signature"), "node")
+    before = F.lag("node").over(Window.partitionBy("signature").orderBy("node"))
+    across = holders.select("node", before.alias("before")).where("before IS NOT NULL AND before <> node").select(F.col("node").alias("a"), F.col("before").alias("b"))
+    inside = signed.select(F.col("node").alias("a"), F.explode("near").alias("b"))
+    return across.unionByName(inside).distinct()
+
+
 def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j of a block of rows with 100 |x and y| >= percent |x or y|, by accumulating overlap counts.
 
@@ -178,6 +214,21 @@ def forest(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int
     return [(int(ids[i]), int(ids[r])) for i in range(len(ids)) if (r := find(i)) != i]
 
 
+def _signer(percent: int, deal: int):
+    """Signatures of further deals for rows (group, node, grams, ...), apart for each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            nodes, groups = (batch.column(c).to_numpy() for c in ("node", "group"))
+            sets = [np.frombuffer(g, np.uint64) for g in batch.column("grams").to_pylist()]
+            if sets:
+                fresh, near = tie(nodes, *block_signatures(sets, percent, deal, groups.view(np.uint64)), seen)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fresh, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))], names=["node", "signatures", "near"])
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id) for every row: which documents links of Jaccard similarity >= percent / 100 connect.
 
@@ -187,7 +238,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     columns are dropped; an empty table gives no rows.
 
     Candidates come from block_signatures, of which a task hands on the first holder only (later ones are tied to it at once), so no
-    signature has more rows than there are tasks. The rows that candidates connect are multiplied in blocks of about `block`; a larger
+    signature has more rows than there are tasks. Groups that candidates make larger than `block`, as texts with a common passage may,
+    are taken apart by other deals of the columns as long as that helps. The rows that candidates connect are multiplied in blocks of about `block`; a larger
     group is first cut into blocks that share one pivot row, and then only rows outside its largest component meet the whole group.
     """
     spark = docs.sparkSession
@@ -199,23 +251,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         for batch in batches:
             sets = shingle_sets(*utf8_column(batch.column(1)), words)
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            row, signature = block_signatures(sets, percent)
-            order = np.argsort(row, kind="stable")
-            bounds = np.searchsorted(row[order], np.arange(len(sets) + 1))
-            signature = signature[order].tolist()
-            fresh, near = [], []
-            for i, node in enumerate(nodes.tolist()):
-                new, old = [], set()
-                for s in signature[bounds[i] : bounds[i + 1]]:
-                    other = seen.setdefault(s, node)
-                    if other == node:
-                        new.append(s)
-                    else:
-                        old.add(other)
-                fresh.append(new)
-                near.append(list(old))
-                if len(seen) > 1 << 20:
-                    seen.clear()
+            fresh, near = tie(nodes, *block_signatures(sets, percent), seen)
             empty = np.fromiter(map(len, sets), np.int64, len(sets)) == 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(nodes, mask=empty), pa.array(fresh, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))],
@@ -225,16 +261,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     whole = docs.select(id_col, text_or_empty(text))
     signed = scratch.write(whole.mapInArrow(sign, f"`{id_col}` {kind}, n_shingles long, node long, signatures array<long>, near array<long>"), "signed")
     rows = scratch.write(signed.select(id_col, "n_shingles", "node"), "rows")
-    holders = signed.select(F.explode("signatures").alias("signature"), "node")
-    before = F.lag("node").over(Window.partitionBy("signature").orderBy("node"))
-    across = holders.select("node", before.alias("before")).where("before IS NOT NULL AND before <> node").select(F.col("node").alias("a"), F.col("before").alias("b"))
-    inside = signed.select(F.col("node").alias("a"), F.explode("near").alias("b"))
-    candidates = scratch.write(across.unionByName(inside).distinct(), "candidates")
+    candidates = scratch.write(candidate_edges(signed), "candidates")
     scratch.drop("signed")
     groups = connected_components(spark, candidates, scratch, "groups")
     nodes = scratch.write(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(id_col).alias("id")), "nodes")
     groups = scratch.write(groups.select("node", F.col("component").alias("group")), "grouped")
-    sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
     chosen = scratch.write(groups.join(nodes, "node").select("id", "node", "group"), "chosen")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +275,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     texts = chosen.join(whole.withColumnRenamed(id_col, "id"), "id")
     members = scratch.write(texts.select("node", "group", text).mapInArrow(sets_of, "node long, group long, grams binary"), "members")
-    sizes = scratch.write(sizes, "sizes")
+    sizes = scratch.write(groups.groupBy("group").agg(F.count("*").alias("members")), "sizes")
+    held = None
+    for deal in range(1, DEALS):
+        large = sizes.where(F.col("members") > block).agg(F.sum("members")).first()[0] or 0
+        if large == 0 or (held is not None and large > 0.8 * held):
+            break
+        held = large
+        signed = members.join(sizes.where(F.col("members") > block).select("group"), "group").mapInArrow(_signer(percent, deal), "node long, signatures array<long>, near array<long>")
+        edges = scratch.write(candidate_edges(scratch.write(signed, f"signed-{deal}")), f"candidates-{deal}")
+        finer = connected_components(spark, edges, scratch, f"groups-{deal}").withColumnRenamed("component", "finer")
+        kept = members.join(sizes, "group").join(finer, "node", "left").where(f"members <= {block} OR finer IS NOT NULL")
+        members = scratch.write(kept.select("node", F.coalesce("finer", "group").alias("group"), "grams"), f"members-{deal}")
+        sizes = scratch.write(members.groupBy("group").agg(F.count("*").alias("members")), f"sizes-{deal}")
+        groups = scratch.write(members.select("node", "group"), f"grouped-{deal}")
+        scratch.drop(f"signed-{deal}", "members" if deal == 1 else f"members-{deal - 1}")
     dealt = members.join(sizes, "group").withColumn("blocks", F.ceil(F.col("members") / block))
     dealt = dealt.withColumn("part", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), "blocks")))
     pivot = F.col("node") == F.col("group")  # the smallest node of a group goes to all its blocks
