@@ -129,12 +129,16 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
+#: Up to so many edges of spanning forests one task may finish alone: some 150 MB.
+ONE_TASK_EDGES = 500_000
+
+
+def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "components", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge; edges has (a, b) long.
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014) over tables in the shared folder until the
     edges stay the same; each task first contracts its own edges to a spanning forest, which keeps the number of
-    rounds small. Every table is linear in the edges; only a count and a checksum reach the driver. Loops and repeated edges are
+    rounds small, and once there are at most `one_task` edges left in all one task contracts them. Every table is linear in the edges; only a count and a checksum reach the driver. Loops and repeated edges are
     allowed; no edges give no rows.
     """
 
@@ -165,6 +169,10 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state[0] == 0 or tuple(state) == before:
             break
+        if state[0] <= one_task:
+            current = scratch.write(current.coalesce(1).mapInArrow(contract, "a long, b long"), f"{name}-last")
+            scratch.drop(f"{name}-{turn}")
+            break
         before = tuple(state)
         # a > b holds on every edge; large-star: neighbours above a node are tied to the smallest one around it
         least = current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))

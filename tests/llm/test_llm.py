@@ -49,10 +49,11 @@ def test_fingerprints_depend_on_bytes_alone():
     assert got[0] == got[1] == got[2] and len(set(got.tolist())) == 3
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [0, 500_000])
+def test_connected_components(spark, one_task):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 9), (9, 7)] + [(200 + rng.randrange(80), 200 + rng.randrange(80)) for _ in range(60)]
-    got = {r["node"]: r["component"] for r in connected_components(spark, spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark, spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), one_task=one_task).collect()}
     want = components({x for e in edges for x in e}, [e for e in edges if e[0] != e[1]])
     assert got == {k: v for k, v in want.items() if k in got} and all(want[k] == k for k in want if k not in got)
     assert connected_components(spark, spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
