@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,38 +21,87 @@ from episodica.llm.common import Scratch, text_or_empty
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
+#: Lower-case words in letters of Latin-1: normalised as they are, and one pre-token each.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is visible, else the next one from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class WordEncoder:
     """Ids by a `tokenizers` file whose pre-tokens never hold white space, remembered word by word.
 
     The normaliser composes and lower-cases characters and every pre-token lies within a word, so the ids of a text are those
-    of its words in turn; at most `cache` words are remembered.
+    of its words in turn. A comma or full stop after a Latin letter is a pre-token of its own, and words in Latin-1 may be lower-cased first, so
+    a new word often has a known stem; a plain stem goes to the library's merges alone, any other word to the whole of it. At most
+    `cache` words are remembered in each of two generations, of which the older goes when the younger is full.
     """
 
     def __init__(self, path: str, cache: int = 1 << 19):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.old: dict[str, bytes] = {}
+        self.marks = {mark: self._whole(mark) for mark in (",", ".")}
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= 64:
+            if len(self.known) >= self.cache:
+                self.old, self.known = self.known, {}
+            self.known[word] = ids
+        return ids
+
+    def _learn(self, word: str) -> bytes:
+        """Ids of a word that the younger generation doesn't have; it has them then."""
+        ids = self.old.get(word)
+        if ids is not None:
+            return self._keep(word, ids)
+        stem, mark = word, ""
+        if word[-1] in ",." and (word[-2:-1].isascii() or word[-2:-1] <= "\u00ff") and word[-2:-1].isalpha():
+            stem, mark = word[:-1], word[-1]
+        if "<" not in stem and (stem.isascii() or max(stem) <= "\u00ff"):
+            stem = stem.lower()
+        if stem == word:
+            if PLAIN.fullmatch(word):
+                ids_ = [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode())))]
+                return self._keep(word, struct.pack(f"<{len(ids_)}I", *ids_))
+            return self._keep(word, self._whole(word))
+        own = self.known.get(stem)
+        return self._keep(word, (self._learn(stem) if own is None else own) + (self.marks[mark] if mark else b""))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [[] if ODD_SPACE.search(t) else t.split() for t in texts]
-        known = self.known
-        out = [list(map(known.get, words)) for words in cut]
-        fresh = list({w for words, ids in zip(cut, out, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
-        found = dict(zip(fresh, self._ids(fresh), strict=True)) if fresh else {}
-        joined = []
-        for text, words, ids in zip(texts, cut, out, strict=True):
+        out = []
+        for text in texts:
+            if ODD_SPACE.search(text):
+                out.append(self._whole(text))
+                continue
+            words = text.split()
+            ids = list(map(self.known.get, words))
             if None in ids:
-                ids = [found[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-            joined.append(b"".join(ids) if words or not text else self._ids([text])[0])
-        if len(known) + len(found) > self.cache:
-            known.clear()
-        known.update((w, i) for w, i in found.items() if len(w) <= 64)
-        return joined
+                ids = [self.known.get(w) or self._learn(w) if i is None else i for i, w in zip(ids, words, strict=True)]
+            out.append(b"".join(ids))
+        return out
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker, which keeps what it has learnt for the worker's next task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def dominant_sets(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -158,7 +208,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     scratch = Scratch(spark, "packing")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = worker_encoder(path)
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         end = end_id.to_bytes(4, "little")
