@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -91,38 +93,37 @@ def fit(texts: Iterable[str], labels: Iterable[float], epochs: int = 40, lasso:
     fitted to the noisy-or by Adam with soft thresholding.
     """
     vocabulary: dict[str, int] = {}
-    occurrences, sentence_of, document_of, targets = [], [], [], []
+    occurrences, sentence_of, document_of, targets = array("i"), array("i"), array("i"), []
     for y, body in zip(labels, texts, strict=True):
         for sentence in SENTENCE.findall(body.lower()) or [""]:
             words = [vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(sentence)]
-            occurrences += words
-            sentence_of += [len(document_of)] * len(words)
+            occurrences.extend(words)
+            sentence_of.extend([len(document_of)] * len(words))
             document_of.append(len(targets))
         targets.append(float(y > 0))
     y = np.array(targets)
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return ToxicityModel({}, float(np.log(rate / (1 - rate))))
-    occ, sent, doc = np.array(occurrences, np.int32), np.array(sentence_of, np.int32), np.array(document_of, np.int32)
-    del occurrences, sentence_of, document_of
+    occ, sent, doc = (np.frombuffer(x, np.int32) for x in (occurrences, sentence_of, document_of))
     # document frequency decides which features are kept: a feature of fewer than 3 documents says nothing
     pairs = np.unique(doc[sent].astype(np.int64) * len(vocabulary) + occ)
     word_documents = np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
-    names: dict[str, int] = {}
-    word_at, feature_at = [], []
+    hashes, word_at = array("I"), array("i")  # features by hash: their names would take more than all else
     for word, i in vocabulary.items():
-        for f in features(word):
-            word_at.append(i)
-            feature_at.append(names.setdefault(f, len(names)))
-    word_at, feature_at = np.array(word_at), np.array(feature_at)
-    kept = np.bincount(feature_at, word_documents[word_at], len(names)) >= 3
+        own = features(word)
+        hashes.extend(zlib.crc32(f.encode()) for f in own)
+        word_at.extend([i] * len(own))
+    distinct, feature_at = np.unique(np.frombuffer(hashes, np.uint32), return_inverse=True)
+    word_at, n_features = np.frombuffer(word_at, np.int32), len(distinct)
+    kept = np.bincount(feature_at, word_documents[word_at], n_features) >= 3
     use = kept[feature_at]
     word_at, feature_at = word_at[use], feature_at[use]
     n_sentences, n_words = len(doc), len(vocabulary)
 
     def documents_with(chosen: np.ndarray) -> np.ndarray:
         own = pairs[chosen[pairs // n_words]]
-        return np.bincount(feature_at, np.bincount(own % n_words, minlength=n_words)[word_at], len(names))
+        return np.bincount(feature_at, np.bincount(own % n_words, minlength=n_words)[word_at], n_features)
 
     toxic, clean = documents_with(y > 0) + 0.5, documents_with(y <= 0) + 0.5
     odds = np.log(toxic / (y.sum() + 1)) - np.log(clean / ((1 - y).sum() + 1))
@@ -136,7 +137,7 @@ def fit(texts: Iterable[str], labels: Iterable[float], epochs: int = 40, lasso:
         none = np.exp(-np.bincount(doc, np.logaddexp(0, s), len(y)))
         # d loss / d s is p for a clean document and -p * none / (1 - none) for a toxic one
         g = p * np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)[doc]
-        gw = np.bincount(feature_at, np.bincount(occ, g[sent], n_words)[word_at], len(names)) / len(y) * 100
+        gw = np.bincount(feature_at, np.bincount(occ, g[sent], n_words)[word_at], n_features) / len(y) * 100
         gb = g.sum() / len(y) * 100
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -144,7 +145,8 @@ def fit(texts: Iterable[str], labels: Iterable[float], epochs: int = 40, lasso:
         step = 0.1 * (1 - t / (epochs + 1)) + 0.01
         w = np.maximum(0, w - step * (m / fix1 + lasso) / (np.sqrt(v / fix2) + lasso)) * kept
         b -= step * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-3)
-    return ToxicityModel({f: float(w[i]) for f, i in names.items() if kept[i] and abs(w[i]) > 1e-3}, float(b))
+    strong = {int(distinct[i]): float(w[i]) for i in np.flatnonzero(kept & (w > 1e-3))}
+    return ToxicityModel({f: strong[h] for word in vocabulary for f in features(word) if (h := zlib.crc32(f.encode())) in strong}, float(b))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
