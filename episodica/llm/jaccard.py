@@ -18,7 +18,9 @@ BLOCK = 512
 STEP = 1 << 20
 #: Ways to deal columns into blocks that are tried on large groups of candidates.
 DEALS = 5
-#: Column blocks that may be empty without being looked at, see block_signatures.
+#: Frequent n-grams are found by slots of their fingerprints' first bits; a task names slots of LEAST and more texts, SLOTS at most.
+SLOT_BITS, LEAST, SLOTS = 22, 8, 1 << 16
+#: Column blocks that may be empty without being looked at, beside a sixth of those that may differ; see block_signatures.
 SPARE = 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -77,29 +79,60 @@ def size_bands(percent: int, largest: int) -> np.ndarray:
     return np.array(edges + [-(-edges[-1] * 100 // percent) + 1], np.int64)
 
 
-def block_signatures(sets: list[np.ndarray], percent: int, deal: int = 0, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def block_signatures(sets: list[np.ndarray], percent: int, deal: int = 0, within: np.ndarray | None = None, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of the column blocks in which a row of the incidence matrix may agree entirely with a linked one.
 
     Linked rows of sizes x and y differ in at most d = (x + y)(100 - p) / (100 + p) columns. For each pair of neighbouring bands the
-    columns are dealt into d + 1 + SPARE blocks, d taken for the largest sizes there, so linked rows agree in 1 + SPARE blocks at
-    least, and only rows with a common signature need be multiplied. Empty blocks are alike in all rows: a row with at
-    most SPARE empty blocks has a common block that isn't empty and leaves them out; the few others keep them. Every `deal` is another way to
-    deal columns out, and linked rows agree somewhere in each. Rows that differ in `within` never share a signature.
+    columns are dealt into d + 1 + spare blocks, d taken for the largest sizes there, so linked rows agree in 1 + spare blocks at
+    least, and only rows with a common signature need be multiplied. Empty blocks are alike in all rows and give none: if one of two linked rows
+    has at most `spare` empty blocks, they have a common block that isn't empty. Rows with more empty blocks give the signatures of
+    another deal too, and so on; in the last one the few that remain keep their empty blocks. So two linked rows meet in the first deal in which either has few.
+    Rows that differ in `within` never share a signature, and every `deal` is another way to deal columns out.
+
+    The same holds for any part of the columns, so frequent ones (marked by slot) are left out of the first deal, lest passages that many
+    texts share make blocks alike.
     """
+    if frequent is None:
+        row, signature, poor = _dealt(sets, percent, deal, within, sets)
+    else:
+        row, signature, poor = _dealt(sets, percent, deal, within, [s[~frequent[slot_of(s)]] for s in sets])
+    if len(poor):
+        more = _further([sets[i] for i in poor], percent, deal + 1000, None if within is None else within[poor], 1)
+        row, signature = np.concatenate([row, poor[more[0]]]), np.concatenate([signature, more[1]])
+    return row, signature
+
+
+def _further(sets: list[np.ndarray], percent: int, deal: int, within: np.ndarray | None, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of rows that an earlier deal left too many empty blocks: of another deal, and so on; the last keeps empty blocks."""
+    row, signature, poor = _dealt(sets, percent, deal, within, sets, keep_empty=turn == 4)
+    if len(poor) and turn < 4:
+        more = _further([sets[i] for i in poor], percent, deal + 1000, None if within is None else within[poor], turn + 1)
+        row, signature = np.concatenate([row, poor[more[0]]]), np.concatenate([signature, more[1]])
+    return row, signature
+
+
+def slot_of(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _dealt(sets: list[np.ndarray], percent: int, deal: int, within: np.ndarray | None, parts: list[np.ndarray], keep_empty: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature) of one way to deal out parts of the columns, and the rows with more empty blocks than are to spare; sizes are those of the whole sets."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     edges = size_bands(percent, int(sizes.max()))
     band = np.searchsorted(edges, sizes, "right") - 1
-    values = np.concatenate(sets)
+    values = np.concatenate(parts)
     spread = mixed(values ^ np.uint64(0x5851F42D4C957F2D))
-    dealt = mixed(values + np.uint64(deal) * _ODD)
-    row_of = np.repeat(np.arange(len(sets)), sizes)
+    dealt = mixed(values + np.uint64(deal * int(_ODD) % (1 << 64)))
+    row_of = np.repeat(np.arange(len(sets)), np.fromiter(map(len, parts), np.int64, len(parts)))
+    poor = np.zeros(len(sets), bool)
     rows, signatures = [], []
     for shift in (0, 1):
         own = band + shift
         differ = 2 * (edges[own + 1] - 1) * (100 - percent) // (100 + percent)
-        blocks = np.where((differ > 0) & (sizes > 0), differ + 1 + SPARE, 0)
+        spare = SPARE + differ // 6
+        blocks = np.where((differ > 0) & (sizes > 0), differ + 1 + spare, 0)
         bases = np.cumsum(blocks) - blocks
         n = int(blocks.sum())
         if not n:
@@ -112,15 +145,16 @@ def block_signatures(sets: list[np.ndarray], percent: int, deal: int = 0, within
         row = np.repeat(np.arange(len(sets)), blocks)
         place = np.arange(n) - bases[row]
         empty = np.bincount(row[held == 0], minlength=len(sets))
-        keep = (held > 0) | (empty > SPARE)[row]
+        poor |= empty > spare
+        keep = (held > 0) | (keep_empty & (empty > spare)[row])
         salt = (own[row].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64)
         if within is not None:
             salt += mixed(within)[row]
         rows.append(row[keep])
         signatures.append(mixed(sums[keep] + mixed(salt[keep] * np.uint64(2) + np.uint64(1))))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(signatures).view(np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.flatnonzero(poor)
+    return np.concatenate(rows), np.concatenate(signatures).view(np.int64), np.flatnonzero(poor)
 
 
 def tie(nodes: np.ndarray, row: np.ndarray, signature: np.ndarray, seen: dict[int, int]) -> tuple[list[list[int]], list[list[int]]]:
@@ -214,7 +248,29 @@ def forest(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int
     return [(int(ids[i]), int(ids[r])) for i in range(len(ids)) if (r := find(i)) != i]
 
 
-def _signer(percent: int, deal: int):
+def frequent_slots(docs: DataFrame, words: int, text: str) -> np.ndarray:
+    """Marks of the slots with the most texts, 4 * SLOTS at most: what every task names of its own rows, summed. 4 MB at any size of the corpus.
+
+    Which slots are marked changes no result, only how well signatures tell texts apart.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            sets = shingle_sets(*utf8_column(batch.column(0)), words)
+            if sets:
+                np.add.at(held, slot_of(np.concatenate(sets)), 1)
+        top = np.flatnonzero(held >= LEAST)
+        top = top[np.argsort(-held[top], kind="stable")[:SLOTS]]
+        yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(held[top])], names=["slot", "n"])
+
+    named = docs.select(text_or_empty(text)).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    marks = np.zeros(1 << SLOT_BITS, bool)
+    marks[[r["slot"] for r in named.orderBy(F.desc("n"), "slot").limit(4 * SLOTS).select("slot").collect()]] = True
+    return marks
+
+
+def _signer(percent: int, deal: int, marks):
     """Signatures of further deals for rows (group, node, grams, ...), apart for each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +279,7 @@ def _signer(percent: int, deal: int):
             nodes, groups = (batch.column(c).to_numpy() for c in ("node", "group"))
             sets = [np.frombuffer(g, np.uint64) for g in batch.column("grams").to_pylist()]
             if sets:
-                fresh, near = tie(nodes, *block_signatures(sets, percent, deal, groups.view(np.uint64)), seen)
+                fresh, near = tie(nodes, *block_signatures(sets, percent, deal, groups.view(np.uint64), marks.value), seen)
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fresh, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))], names=["node", "signatures", "near"])
 
     return run
@@ -251,7 +307,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         for batch in batches:
             sets = shingle_sets(*utf8_column(batch.column(1)), words)
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            fresh, near = tie(nodes, *block_signatures(sets, percent), seen)
+            fresh, near = tie(nodes, *block_signatures(sets, percent, frequent=marks.value), seen)
             empty = np.fromiter(map(len, sets), np.int64, len(sets)) == 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(nodes, mask=empty), pa.array(fresh, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))],
@@ -259,6 +315,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             )
 
     whole = docs.select(id_col, text_or_empty(text))
+    marks = spark.sparkContext.broadcast(frequent_slots(docs, words, text))
     signed = scratch.write(whole.mapInArrow(sign, f"`{id_col}` {kind}, n_shingles long, node long, signatures array<long>, near array<long>"), "signed")
     rows = scratch.write(signed.select(id_col, "n_shingles", "node"), "rows")
     candidates = scratch.write(candidate_edges(signed), "candidates")
@@ -273,7 +330,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             sets = shingle_sets(*utf8_column(batch.column(2)), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "group", "grams"])
 
-    texts = chosen.join(whole.withColumnRenamed(id_col, "id"), "id")
+    # the candidates grow with the corpus, so they are never broadcast: one plan at every size
+    texts = chosen.hint("merge").join(whole.withColumnRenamed(id_col, "id"), "id")
     members = scratch.write(texts.select("node", "group", text).mapInArrow(sets_of, "node long, group long, grams binary"), "members")
     sizes = scratch.write(groups.groupBy("group").agg(F.count("*").alias("members")), "sizes")
     held = None
@@ -282,7 +340,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         if large == 0 or (held is not None and large > 0.8 * held):
             break
         held = large
-        signed = members.join(sizes.where(F.col("members") > block).select("group"), "group").mapInArrow(_signer(percent, deal), "node long, signatures array<long>, near array<long>")
+        signed = members.join(sizes.where(F.col("members") > block).select("group"), "group").mapInArrow(_signer(percent, deal, marks), "node long, signatures array<long>, near array<long>")
         edges = scratch.write(candidate_edges(scratch.write(signed, f"signed-{deal}")), f"candidates-{deal}")
         finer = connected_components(spark, edges, scratch, f"groups-{deal}").withColumnRenamed("component", "finer")
         kept = members.join(sizes, "group").join(finer, "node", "left").where(f"members <= {block} OR finer IS NOT NULL")
