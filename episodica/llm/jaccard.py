@@ -69,14 +69,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
 
 
 def size_bands(percent: int, largest: int) -> np.ndarray:
-    """Edges of size bands such that two linked sets lie in one band or in neighbours: size ratios are at least percent / 100."""
-    edges = [1]
-    while edges[-1] <= largest:
-        edges.append(-(-edges[-1] * 100 // percent))
-        if edges[-1] == edges[-2]:
-            edges[-1] += 1
-    edges += [-(-edges[-1] * 100 // percent) + 1]
-    return np.array(edges + [-(-edges[-1] * 100 // percent) + 1], np.int64)
+    """Edges of size bands such that two linked sets lie in one band or in neighbours: size ratios are at least percent / 100.
+
+    Two edges beyond the first above `largest` are given. A larger `largest` only adds edges, so rows get the same bands in every batch.
+    """
+    edges, beyond = [1], 0
+    while beyond < 3:
+        edges.append(max(-(-edges[-1] * 100 // percent), edges[-1] + 1))
+        beyond += edges[-1] > largest
+    return np.array(edges, np.int64)
 
 
 def block_signatures(sets: list[np.ndarray], percent: int, deal: int = 0, within: np.ndarray | None = None, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

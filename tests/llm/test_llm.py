@@ -153,6 +153,27 @@ def test_jaccard_components(spark, words, percent, block):
     assert len(set(want.values())) < len(rows) - 20
 
 
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_signatures_do_not_depend_on_the_batch(percent):
+    rng = np.random.default_rng(12)
+    largest = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+
+    def signatures(*sets):
+        row, signature = jaccard.block_signatures(list(sets), percent)
+        return sorted(signature[row == 0].tolist())
+
+    for n in [*range(1, 40), *range(1690, 1750, 10)]:
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        assert signatures(own) == signatures(own, largest)
+
+
+def test_linked_rows_of_two_batches_meet():
+    rng = np.random.default_rng(13)
+    large = np.unique(rng.integers(0, 1 << 63, 1750).astype(np.uint64))
+    small = large[:1700]
+    assert set(jaccard.block_signatures([small], 80)[1].tolist()) & set(jaccard.block_signatures([large], 80)[1].tolist())
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(frame(spark, [])).count() == 0
     assert [r["component_id"] for r in jaccard.jaccard_components(frame(spark, [(3, None), (4, "")])).orderBy("doc_id").collect()] == [3, 4]
