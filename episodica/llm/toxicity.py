@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.llm.common import small_batches, text_or_empty
@@ -19,6 +19,8 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Beside itself, a word is known by its first letters, which inflected forms share.
 PREFIXES = (4, 5, 6)
+#: Of all sentences of a text so many, those with the most evidence, make its score: what says next to nothing must not add up with length.
+STRONGEST = 8
 
 
 def features(word: str) -> list[str]:
@@ -57,8 +59,12 @@ class ToxicityModel:
         return out or [self.bias]
 
     def score(self, text: str) -> float:
-        """Noisy-or of the sentences: 1 - prod(1 - p)."""
-        return float(-np.expm1(-np.logaddexp(0, self.logits(text)).sum()))
+        """Noisy-or 1 - prod(1 - p) of the strongest sentences with toxic evidence, or the probability of one empty sentence if none has any."""
+        logits = np.array(self.logits(text))
+        logits = logits[logits > self.bias]
+        if len(logits) > STRONGEST:
+            logits = np.partition(logits, -STRONGEST)[-STRONGEST:]
+        return float(-np.expm1(-np.logaddexp(0, logits if len(logits) else self.bias).sum()))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -67,18 +73,24 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int, id_col: str, text: str, label: str) -> DataFrame:
-    """At most `rows` labelled documents of at most `chars` characters outside the held-out fold, chosen by a hash of the id."""
+    """At most `rows` labelled ids outside the held-out fold, in the order of a hash of the id, until their texts have rows * chars characters.
+
+    Texts of any length are taken; the last one may go beyond the bound.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).alias("__label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    texts = docs.where(F.length(text) <= chars).select(id_col, text)
-    return texts.join(F.broadcast(chosen), id_col).select("__label", text)
+    texts = docs.where(F.col(text).isNotNull())
+    sizes = texts.select(id_col, F.length(text).cast("long").alias("__chars")).join(F.broadcast(chosen), id_col).groupBy(id_col, "__label").agg(F.sum("__chars").alias("__chars"))
+    before = F.sum("__chars").over(Window.orderBy(F.xxhash64(id_col), id_col).rowsBetween(Window.unboundedPreceding, -1))  # a row per chosen id
+    within = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < rows * chars).select(id_col, "__label")
+    return texts.select(id_col, text).join(F.broadcast(within), id_col).select("__label", text)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, chars: int = 20_000, id_col: str = "doc_id", text: str = "text", label: str = "toxic", epochs: int = 40, lasso: float = 0.02) -> ToxicityModel:
     """Fits sentence weights so that the noisy-or of a document's sentences explains its label.
 
-    Trained on the driver with Adam over a sample bounded by `rows` and `chars` (at most rows * chars characters reach the
-    driver, 240 MB by default, in practice a tenth). Without labelled rows, or with one class only, a model results that gives every sentence the base rate.
+    Trained on the driver with Adam over a sample bounded by `rows` and `chars` (once rows * chars characters have reached the
+    driver no further text does, 240 MB by default, in practice a sixth). Without labelled rows, or with one class only, a model results that gives every sentence the base rate.
     """
     small_batches(docs.sparkSession)
     sample = training_sample(docs, labels, rows, chars, id_col, text, label).toPandas()
@@ -90,7 +102,7 @@ def fit(texts: Iterable[str], labels: Iterable[float], epochs: int = 40, lasso:
 
     Weights are not negative: a sentence is toxic for what it holds, whatever else stands beside it, so long sentences hide
     nothing. They start at a lower confidence bound of the log odds between toxic and clean documents and are then
-    fitted to the noisy-or by Adam with soft thresholding.
+    fitted to the noisy-or of all sentences by Adam with soft thresholding.
     """
     vocabulary: dict[str, int] = {}
     occurrences, sentence_of, document_of, targets = array("i"), array("i"), array("i"), []

@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from episodica.llm import bpe, jaccard, packing, suffix, toxicity
 from episodica.llm.common import Scratch, connected_components, fingerprints, prefix_sums
@@ -318,6 +319,34 @@ def test_toxicity(spark):
     assert toxicity.score_documents(frame(spark, []), toxicity.train(docs, marks.limit(0))).count() == 0
 
 
+def test_toxicity_of_very_long_texts(spark):
+    rng = random.Random(14)
+    words = [f"word{i}" for i in range(300)]
+    texts = [". ".join(" ".join(rng.choices(words, k=8)) for _ in range(6)) for _ in range(400)]
+    labels = [int(i % 5 == 0) for i in range(400)]
+    model = toxicity.fit([t + " vilemost." * y for t, y in zip(texts, labels, strict=True)], labels)
+    clean = "plain talk here. " * 100_000
+    rows = [(1, clean), (2, clean + "vilemost. " + clean), (3, ". ".join(texts))]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(frame(spark, rows), model).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+    assert [r["doc_id"] for r in toxicity.drop_toxic(frame(spark, rows), model).orderBy("doc_id").select("doc_id").collect()] == [1, 3]
+    assert toxicity.ToxicityModel({}, -6.9).score(clean) < 0.01
+
+
+def test_training_sample_takes_long_texts(spark):
+    docs = frame(spark, [(i, "a" * (1000 if i % 7 == 0 else 10)) for i in range(300)] + [(300, None)])
+    labels = spark.range(301).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+
+    def lengths(rows, chars):
+        return [len(r["text"]) for r in toxicity.training_sample(docs, labels, rows, chars, "doc_id", "text", "toxic").collect()]
+
+    fold = [1000 if i % 7 == 0 else 10 for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(lengths(400, 500)) == sorted(fold)
+    some = lengths(400, 50)
+    assert 1000 in some and len(some) < len(fold) and 20_000 <= sum(some) < 21_000
+    assert len(lengths(30, 500)) == 30
+
+
 def test_warc_round_trip_and_determinism(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i % 20}</p>" * (i % 7)) for i in range(150)] + [(500, None, None), (501, "u\r\n1", ""), (502, "x", "é" * 9)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, page int")
