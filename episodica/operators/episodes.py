@@ -75,6 +75,18 @@ def chunk_weight(horizon: int, index: str = "j", count: str = "n") -> Column:
     return F.greatest(F.lit(0), F.least(F.col(index), F.col(count) - horizon) - F.greatest(F.lit(0), F.col(index) - (horizon - 1)) + 1)
 
 
+def visible_positions(rows: DataFrame, starts: str = "starts", valid: str = "valid", episode: str = "ep", index: str = "j") -> DataFrame:
+    """(episode, index, visible) for every valid row: how many valid ones its attention mask lets it see, those whose running block number is not larger.
+
+    Block numbers never fall along an episode, so a running count in their order does without a join of all pairs.
+    """
+    within = Window.partitionBy(episode)
+    run = rows.withColumn("__block", F.sum(F.col(starts).cast("long")).over(within.orderBy(index)))
+    upto = within.orderBy("__block").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = run.withColumn("visible", F.sum(F.col(valid).cast("long")).over(upto)).where(valid)
+    return counted.select(episode, F.col(index).cast("long").alias(index), "visible")
+
+
 def require_known(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """The rows of ids, in an error-checked way: unknown ids raise with the first ten."""
     missing = [r[0] for r in ids.select(key).distinct().join(known, key, "left_anti").orderBy(key).limit(10).collect()]

@@ -594,12 +594,9 @@ def trajectory_layout(spark, sf):
 
 @query
 def attention_mask(spark, sf):
-    """Which positions may see which: the running block number of the seen one is not larger, and both are valid."""
+    """Which positions may see which. As in its SQL, one conversation in ten, and turns from the seventh on count as padding; the operator has neither limit."""
     rows = short_frames(spark, sf).where("ep % 10 = 0").withColumn("starts", (F.col("role") == "user").cast("long")).withColumn("valid", F.col("j") < 6)
-    run = rows.withColumn("c", F.sum("starts").over(Window.partitionBy("ep").orderBy("j")))
-    a, b = run.alias("a"), run.alias("b")
-    seen = a.join(b, (F.col("a.ep") == F.col("b.ep")) & (F.col("b.c") <= F.col("a.c")) & F.col("a.valid") & F.col("b.valid"))
-    return seen.groupBy(F.col("a.ep").alias("ep"), F.col("a.j").cast("long").alias("j")).agg(F.count("*").alias("visible"))
+    return E.visible_positions(rows)
 
 
 @query

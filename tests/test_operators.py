@@ -289,3 +289,12 @@ def test_columns_by_alias(spark):
     assert E.first_column(spark.range(1).withColumnRenamed("id", "actions"), "action", "actions") == "actions"
     with pytest.raises(KeyError, match="actions"):
         E.first_column(spark.range(1).withColumnRenamed("id", "actions"), "state")
+
+
+def test_visible_positions_of_all_rows(spark):
+    rng = np.random.default_rng(15)
+    rows = [(e, j, int(rng.integers(2)), bool(rng.integers(4))) for e in range(23) for j in range(e)]
+    got = {(r["ep"], r["j"]): r["visible"] for r in E.visible_positions(spark.createDataFrame(rows, "ep int, j int, starts int, valid boolean")).collect()}
+    block = {(e, j): sum(s for f, k, s, _ in rows if f == e and k <= j) for e, j, _, _ in rows}
+    valid = [(e, j) for e, j, _, v in rows if v]
+    assert got == {a: sum(block[b] <= block[a] for b in valid if b[0] == a[0]) for a in valid}
