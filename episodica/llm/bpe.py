@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import fingerprints, mixed, prefix_sums, small_batches, text_or_empty
+from episodica.llm.common import fingerprints, mapped, mixed, prefix_sums, text_or_empty
 
 #: Characters of text that one vectorised step works on; longer texts are cut between pre-tokens.
 STEP = 1 << 20
@@ -278,7 +278,6 @@ def make_tables(path: str) -> tuple[dict[bytes, int], np.ndarray, PerfectHash]:
 
 
 def _map_texts(docs: DataFrame, path: str, id_col: str, text: str, schema: str, row) -> DataFrame:
-    small_batches(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(make_tables(path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +287,7 @@ def _map_texts(docs: DataFrame, path: str, id_col: str, text: str, schema: str,
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns.values()], names=[id_col, *columns])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_or_empty(text)).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+    return mapped(docs.select(id_col, text_or_empty(text)), run, f"`{id_col}` {kind}, {schema}")
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,7 +307,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(id, bytes binary) per row; null ids give empty bytes."""
-    small_batches(encoded.sparkSession)
     tables = encoded.sparkSession.sparkContext.broadcast(make_tables(path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +316,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], names=[id_col, "bytes"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, F.col(ids)).mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
+    return mapped(encoded.select(id_col, F.col(ids)), run, f"`{id_col}` {kind}, bytes binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches of this many rows keep a batch of long texts within a worker's memory.
-ROWS_PER_BATCH = 1024
+#: Arrow batches have so many rows and bytes at most (a longer row is a batch of its own), whatever the texts.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1024, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder named by spark.checkpoint.dir, which every executor must see. Unset is an error, but for local[...], where a temporary one does."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="episodica-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -52,6 +57,9 @@ class Scratch:
 def small_batches(spark: SparkSession) -> None:
     """Readies a session for the operators' Python: small Arrow batches, and this package on every worker's path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+    # joins whose smaller side has at most so much in any partition need no sort
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "16m")
     context = spark.sparkContext
     if getattr(context, "_episodica_shipped", False):
         return
@@ -64,6 +72,42 @@ def small_batches(spark: SparkSession) -> None:
     context._episodica_shipped = True
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(token: str, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept in this worker for later tasks of the same token; what another token kept goes."""
+    if token not in _kept:
+        _kept.clear()
+        _kept[token] = make()
+    return _kept[token]
+
+
+def release_memory() -> None:
+    """Gives what a worker has freed back to the system, so that the stages of a long application don't add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, token: str = "") -> DataFrame:
+    """mapInArrow whose tasks begin without what other operators kept in the worker and give their memory back at the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if token not in _kept:
+            _kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
@@ -163,14 +207,14 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
             part = nodes[i : i + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["a", "b"])
 
-    current = scratch.write(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(contract, "a long, b long"), f"{name}-0")
+    current = scratch.write(mapped(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), contract, "a long, b long"), f"{name}-0")
     before, turn = None, 0
     while True:
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state[0] == 0 or tuple(state) == before:
             break
         if state[0] <= one_task:
-            current = scratch.write(current.coalesce(1).mapInArrow(contract, "a long, b long"), f"{name}-last")
+            current = scratch.write(mapped(current.coalesce(1), contract, "a long, b long"), f"{name}-last")
             scratch.drop(f"{name}-{turn}")
             break
         before = tuple(state)

@@ -7,15 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.common import Scratch, connected_components, fingerprints, mixed, prefix_sums, runs_of_rows, text_or_empty, utf8_column
+from episodica.llm.common import Scratch, connected_components, fingerprints, mapped, mixed, prefix_sums, runs_of_rows, text_or_empty, utf8_column
 
 #: Documents in a block of the product, on average.
 BLOCK = 512
-#: Bytes of text that one vectorised step works on; a longer document is a step of its own.
+#: Bytes of text that one vectorised step works on; a longer document is cut between words.
 STEP = 1 << 20
+#: Longer words are hashed one by one, as sums over powers are meant for short slices.
+LONG_WORD = 64
+#: Signatures that a task remembers in each of two generations.
+REMEMBERED = 1 << 16
 #: Ways to deal columns into blocks that are tried on large groups of candidates.
 DEALS = 5
 #: Frequent n-grams are found by slots of their fingerprints' first bits; a task names slots of LEAST and more texts, SLOTS at most.
@@ -30,26 +35,50 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of texts that lie end to end in data, edges apart."""
+    own = _LOWER[data]
+    blank = np.ones(len(own) + 1, bool)
+    blank[:-1] = _BLANK[own]
+    before = np.ones(len(own) + 1, bool)
+    before[1:] = blank[:-1]
+    before[edges] = True  # a text begins a word, and ends one
+    starts = np.flatnonzero(~blank & before)
+    stop = np.zeros(len(own) + 1, bool)
+    stop[edges] = True
+    stop |= blank
+    ends = np.flatnonzero(stop)
+    ends = ends[np.searchsorted(ends, starts, "right")] if len(starts) else starts
+    h = fingerprints(prefix_sums(own), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(own[starts[i] : ends[i]].tobytes())
+    return starts, h
+
+
+def pieces_between_words(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Cuts of a long text at blanks, about STEP bytes each; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        stop = at + STEP
+        while stop < len(data) and not (found := np.flatnonzero(_BLANK[data[stop : stop + 4096]])).size:
+            stop += 4096
+        stop = stop + int(found[0]) if stop < len(data) else len(data)
+        yield data[at:stop]
+        at = stop
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """Sorted 64-bit fingerprints of the distinct word n-grams of each text; of fewer words the whole sequence is one."""
     out: list[np.ndarray] = []
     for first, last in runs_of_rows(offsets, STEP):
-        begin, end = offsets[first], offsets[last]
-        own = _LOWER[data[begin:end]]
-        edges = offsets[first : last + 1] - begin
-        blank = np.ones(len(own) + 1, bool)
-        blank[:-1] = _BLANK[own]
-        before = np.ones(len(own) + 1, bool)
-        before[1:] = blank[:-1]
-        before[edges] = True  # a text begins a word, and ends one
-        starts = np.flatnonzero(~blank & before)
-        stop = np.zeros(len(own) + 1, bool)
-        stop[edges] = True
-        stop |= blank
-        ends = np.flatnonzero(stop)
-        ends = ends[np.searchsorted(ends, starts, "right")] if len(starts) else starts
-        h = fingerprints(prefix_sums(own), starts, ends)
-        firsts = np.searchsorted(starts, edges)
+        own = data[offsets[first] : offsets[last]]
+        if len(own) > STEP:
+            h = np.concatenate([word_hashes(p, np.array([0, len(p)]))[1] for p in pieces_between_words(own)])
+            firsts = np.array([0, len(h)])
+        else:
+            edges = offsets[first : last + 1] - offsets[first]
+            starts, h = word_hashes(own, edges)
+            firsts = np.searchsorted(starts, edges)
         n = max(0, len(h) - words + 1)
         total = np.zeros(n, np.uint64)
         for k in range(words):
@@ -158,29 +187,43 @@ def _dealt(sets: list[np.ndarray], percent: int, deal: int, within: np.ndarray |
     return np.concatenate(rows), np.concatenate(signatures).view(np.int64), np.flatnonzero(poor)
 
 
-def tie(nodes: np.ndarray, row: np.ndarray, signature: np.ndarray, seen: dict[int, int]) -> tuple[list[list[int]], list[list[int]]]:
-    """For each row the signatures that it is the task's first to hold, and the first holders of its others: the combiner before the shuffle."""
-    order = np.argsort(row, kind="stable")
-    bounds = np.searchsorted(row[order], np.arange(len(nodes) + 1))
-    listed = signature[order].tolist()
-    fresh, near = [], []
-    for i, node in enumerate(nodes.tolist()):
-        new, old = [], set()
-        for s in listed[bounds[i] : bounds[i + 1]]:
-            other = seen.setdefault(s, node)
-            if other == node:
-                new.append(s)
-            else:
-                old.add(other)
-        fresh.append(new)
-        near.append(list(old))
-        if len(seen) > 1 << 20:
-            seen.clear()
-    return fresh, near
+class Holders:
+    """The first rows of a task that held each signature: the combiner before the shuffle.
+
+    Bounded by two generations of REMEMBERED signatures. One that keeps coming back is never forgotten, so it leaves a task once, however many rows have it.
+    """
+
+    def __init__(self):
+        self.young: dict[int, int] = {}
+        self.old: dict[int, int] = {}
+
+    def tie(self, nodes: np.ndarray, row: np.ndarray, signature: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+        """For each row the signatures that it is the first to hold, and the first holders of its others."""
+        order = np.argsort(row, kind="stable")
+        bounds = np.searchsorted(row[order], np.arange(len(nodes) + 1))
+        listed = signature[order].tolist()
+        fresh, near = [], []
+        for i, node in enumerate(nodes.tolist()):
+            new, others = [], set()
+            for s in listed[bounds[i] : bounds[i + 1]]:
+                other = self.young.get(s)
+                if other is None:
+                    other = self.old.get(s)
+                    if other is None:
+                        new.append(s)
+                        other = node
+                    self.young[s] = other
+                others.add(other)
+            others.discard(node)
+            fresh.append(new)
+            near.append(list(others))
+            if len(self.young) > REMEMBERED:
+                self.old, self.young = self.young, {}
+        return fresh, near
 
 
 def candidate_edges(signed: DataFrame) -> DataFrame:
-    """(a, b) such that nodes with a common signature are connected; a signature has a row per task at most."""
+    """(a, b) such that nodes with a common signature are connected; a common signature has about a row per task, see Holders."""
     holders = signed.select(F.explode("signatures").alias("signature"), "node")
     before = F.lag("node").over(Window.partitionBy("signature").orderBy("node"))
     across = holders.select("node", before.alias("before")).where("before IS NOT NULL AND before <> node").select(F.col("node").alias("a"), F.col("before").alias("b"))
@@ -256,16 +299,16 @@ def frequent_slots(docs: DataFrame, words: int, text: str) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << SLOT_BITS, np.int64)
+        held = np.zeros(1 << SLOT_BITS, np.int32)
         for batch in batches:
             sets = shingle_sets(*utf8_column(batch.column(0)), words)
             if sets:
                 np.add.at(held, slot_of(np.concatenate(sets)), 1)
         top = np.flatnonzero(held >= LEAST)
         top = top[np.argsort(-held[top], kind="stable")[:SLOTS]]
-        yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(held[top])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(top), pa.array(held[top].astype(np.int64))], names=["slot", "n"])
 
-    named = docs.select(text_or_empty(text)).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    named = mapped(docs.select(text_or_empty(text)), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     marks = np.zeros(1 << SLOT_BITS, bool)
     marks[[r["slot"] for r in named.orderBy(F.desc("n"), "slot").limit(4 * SLOTS).select("slot").collect()]] = True
     return marks
@@ -275,27 +318,58 @@ def _signer(percent: int, deal: int, marks):
     """Signatures of further deals for rows (group, node, grams, ...), apart for each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
+        holders = Holders()
         for batch in batches:
             nodes, groups = (batch.column(c).to_numpy() for c in ("node", "group"))
             sets = [np.frombuffer(g, np.uint64) for g in batch.column("grams").to_pylist()]
             if sets:
-                fresh, near = tie(nodes, *block_signatures(sets, percent, deal, groups.view(np.uint64), marks.value), seen)
+                fresh, near = holders.tie(nodes, *block_signatures(sets, percent, deal, groups.view(np.uint64), marks.value))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fresh, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))], names=["node", "signatures", "near"])
 
     return run
 
 
+def _product(percent: int):
+    """Edges of spanning forests of the linked rows of each block, from rows (x, y, node, grams) sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own = None, {}
+
+        def links() -> pa.RecordBatch:
+            ids = np.array(sorted(own), np.int64)
+            edges = forest(ids, *linked_pairs([np.frombuffer(own[i], np.uint64) for i in ids.tolist()], percent))
+            return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for *key, node, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != block:
+                    if len(own) > 1:
+                        yield links()
+                    block, own = key, {}
+                own[node] = grams
+        if len(own) > 1:
+            yield links()
+
+    return run
+
+
+def multiplied(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the linked rows within each block (group, x, y) of rows (node, grams); a task holds one block at a time."""
+    sorted_ = blocks.select("group", "x", "y", "node", "grams").repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
+    return mapped(sorted_, _product(percent), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id) for every row: which documents links of Jaccard similarity >= percent / 100 connect.
 
     Sets are the distinct word n-grams of the text with A-Z in lower case; words lie between runs of [\\x20\\x09-\\x0D]. Null and empty
-    texts have no n-grams and link with nothing; with fewer words than n the whole sequence is one n-gram. Equal sets are one node, so copies
-    are never paired. n-grams are compared by 64-bit fingerprints. Ids are taken to be unique (rows that repeat one share a verdict); other
+    texts have no n-grams and link with nothing; with fewer words than n the whole sequence is one n-gram. Rows have keys of their own: a null id
+    takes its component's smallest id, and null where nothing else has one; rows that repeat an id each have a verdict. Equal sets (by 128-bit keys) are one node,
+    so copies are never paired; within the product, n-grams are compared by 64-bit fingerprints. Texts of any length are read in steps of a MiB; other
     columns are dropped; an empty table gives no rows.
 
-    Candidates come from block_signatures, of which a task hands on the first holder only (later ones are tied to it at once), so no
-    signature has more rows than there are tasks. Groups that candidates make larger than `block`, as texts with a common passage may,
+    Candidates come from block_signatures, of which a task hands on the first holder only (later ones are tied to it at once), so a common
+    signature has about as many rows as there are tasks. Groups that candidates make larger than `block`, as texts with a common passage may,
     are taken apart by other deals of the columns as long as that helps. The rows that candidates connect are multiplied in blocks of about `block`; a larger
     group is first cut into blocks that share one pivot row, and then only rows outside its largest component meet the whole group.
     """
@@ -304,27 +378,42 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
+        at = TaskContext.get().partitionId() << 33
+        holders, met, earlier = Holders(), set(), set()
         for batch in batches:
             sets = shingle_sets(*utf8_column(batch.column(1)), words)
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            fresh, near = tie(nodes, *block_signatures(sets, percent, frequent=marks.value), seen)
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            first = []  # of equal sets of this task only the first is signed
+            for i, (key, own) in enumerate(zip(keys, sets, strict=True)):
+                if len(own) and key not in met and key not in earlier:
+                    first.append(i)
+                if len(own):
+                    met.add(key)
+            if len(met) > REMEMBERED:
+                met, earlier = set(), met
+            rows = np.arange(at, at + len(sets))
+            at += len(sets)
+            signatures, near = [[]] * len(sets), [[]] * len(sets)
+            chosen = [sets[i] for i in first]
+            if chosen:
+                for i, fresh, others in zip(first, *holders.tie(rows[first], *block_signatures(chosen, percent, frequent=marks.value)), strict=True):
+                    signatures[i], near[i] = fresh, others
             empty = np.fromiter(map(len, sets), np.int64, len(sets)) == 0
+            hi, lo = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(nodes, mask=empty), pa.array(fresh, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))],
-                names=[id_col, "n_shingles", "node", "signatures", "near"],
+                [pa.array(rows), batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(hi, mask=empty), pa.array(lo, mask=empty), pa.array(signatures, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))],
+                names=["node", "id", "text", "n_shingles", "hi", "lo", "signatures", "near"],
             )
 
-    whole = docs.select(id_col, text_or_empty(text))
-    marks = spark.sparkContext.broadcast(frequent_slots(docs, words, text))
-    signed = scratch.write(whole.mapInArrow(sign, f"`{id_col}` {kind}, n_shingles long, node long, signatures array<long>, near array<long>"), "signed")
-    rows = scratch.write(signed.select(id_col, "n_shingles", "node"), "rows")
-    candidates = scratch.write(candidate_edges(signed), "candidates")
-    scratch.drop("signed")
+    whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    marks = spark.sparkContext.broadcast(frequent_slots(whole, words, "text"))
+    signed = scratch.write(mapped(whole, sign, f"node long, id {kind}, text string, n_shingles long, hi long, lo long, signatures array<long>, near array<long>"), "signed")
+    candidates = scratch.write(candidate_edges(signed.select("node", "signatures", "near")), "candidates")
     groups = connected_components(spark, candidates, scratch, "groups")
-    nodes = scratch.write(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(id_col).alias("id")), "nodes")
-    groups = scratch.write(groups.select("node", F.col("component").alias("group")), "grouped")
-    chosen = scratch.write(groups.join(nodes, "node").select("id", "node", "group"), "chosen")
+    # of equal sets the first row stands for all
+    nodes = signed.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("node").alias("node"), F.min("id").alias("id"))
+    nodes = scratch.write(nodes, "nodes")
+    groups = scratch.write(groups.join(nodes.select("node"), "node").select("node", F.col("component").alias("group")), "grouped")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,8 +421,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "group", "grams"])
 
     # the candidates grow with the corpus, so they are never broadcast: one plan at every size
-    texts = chosen.hint("merge").join(whole.withColumnRenamed(id_col, "id"), "id")
-    members = scratch.write(texts.select("node", "group", text).mapInArrow(sets_of, "node long, group long, grams binary"), "members")
+    texts = groups.hint("merge").join(signed.select("node", "text"), "node")
+    members = scratch.write(mapped(texts.select("node", "group", "text"), sets_of, "node long, group long, grams binary"), "members")
     sizes = scratch.write(groups.groupBy("group").agg(F.count("*").alias("members")), "sizes")
     held = None
     for deal in range(1, DEALS):
@@ -341,32 +430,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         if large == 0 or (held is not None and large > 0.8 * held):
             break
         held = large
-        signed = members.join(sizes.where(F.col("members") > block).select("group"), "group").mapInArrow(_signer(percent, deal, marks), "node long, signatures array<long>, near array<long>")
-        edges = scratch.write(candidate_edges(scratch.write(signed, f"signed-{deal}")), f"candidates-{deal}")
+        again = mapped(members.join(sizes.where(F.col("members") > block).select("group"), "group"), _signer(percent, deal, marks), "node long, signatures array<long>, near array<long>")
+        edges = scratch.write(candidate_edges(scratch.write(again, f"signed-{deal}")), f"candidates-{deal}")
         finer = connected_components(spark, edges, scratch, f"groups-{deal}").withColumnRenamed("component", "finer")
-        kept = members.join(sizes, "group").join(finer, "node", "left").where(f"members <= {block} OR finer IS NOT NULL")
-        members = scratch.write(kept.select("node", F.coalesce("finer", "group").alias("group"), "grams"), f"members-{deal}")
+        stay = members.join(sizes, "group").join(finer, "node", "left").where(f"members <= {block} OR finer IS NOT NULL")
+        members = scratch.write(stay.select("node", F.coalesce("finer", "group").alias("group"), "grams"), f"members-{deal}")
         sizes = scratch.write(members.groupBy("group").agg(F.count("*").alias("members")), f"sizes-{deal}")
         groups = scratch.write(members.select("node", "group"), f"grouped-{deal}")
         scratch.drop(f"signed-{deal}", "members" if deal == 1 else f"members-{deal - 1}")
     dealt = members.join(sizes, "group").withColumn("blocks", F.ceil(F.col("members") / block))
     dealt = dealt.withColumn("part", F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), "blocks")))
     pivot = F.col("node") == F.col("group")  # the smallest node of a group goes to all its blocks
-    dealt = dealt.withColumn("part", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("part"))))
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            edges = []
-            for entries in batch.column(0).to_pylist():
-                own = {e["node"]: e["grams"] for e in entries}
-                ids = np.array(sorted(own), np.int64)
-                edges += forest(ids, *linked_pairs([np.frombuffer(own[i], np.uint64) for i in ids.tolist()], percent))
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
-
-    def multiplied(blocks: DataFrame, *keys: str) -> DataFrame:
-        return blocks.groupBy(*keys).agg(F.collect_list(F.struct("node", "grams")).alias("rows")).select("rows").mapInArrow(product, "a long, b long")
-
-    links = scratch.write(multiplied(dealt.select("group", "part", "node", "grams"), "group", "part"), "links")
+    dealt = dealt.withColumn("x", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("part")))).withColumn("y", F.lit(0))
+    links = scratch.write(multiplied(dealt, percent), "links")
     large = scratch.write(sizes.where(F.col("members") > block), "large")
     if large.limit(1).count():
         found = connected_components(spark, links, scratch, "within")
@@ -381,9 +457,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         a = every.join(open_.select("node"), "node", "left_semi").withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1))).withColumn("x", F.pmod(F.xxhash64("node"), "down"))
         b = every.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1))).withColumn("y", F.pmod(F.xxhash64("node"), "across"))
         tiles = a.select("group", "x", "y", "node", "grams").unionByName(b.select("group", "x", "y", "node", "grams"))
-        links = links.unionByName(scratch.write(multiplied(tiles, "group", "x", "y"), "more"))
+        links = links.unionByName(scratch.write(multiplied(tiles, percent), "more"))
     found = connected_components(spark, links, scratch, "found")
-    labelled = scratch.write(nodes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "labelled")
+    labelled = scratch.write(nodes.join(found, "node", "left").select("hi", "lo", "id", F.coalesce("component", "node").alias("component")), "labelled")
     least = scratch.write(labelled.groupBy("component").agg(F.min("id").alias("component_id")), "least")
-    labelled = scratch.write(labelled.join(least, "component").select("node", "component_id"), "named")
-    return rows.join(labelled, "node", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
+    labelled = scratch.write(labelled.join(least, "component").select("hi", "lo", "component_id"), "named")
+    rows = signed.select("id", "n_shingles", "hi", "lo")
+    return rows.join(labelled, ["hi", "lo"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 import struct
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from episodica.llm.common import Scratch, text_or_empty
+from episodica.llm.common import Scratch, kept, mapped, text_or_empty
 
 #: Controls that Python takes for white space and the tokenizer does not: such texts are encoded whole.
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -38,10 +39,10 @@ class WordEncoder:
     The normaliser composes and lower-cases characters and every pre-token lies within a word, so the ids of a text are those
     of its words in turn. A comma or full stop after a Latin letter is a pre-token of its own, and words in Latin-1 may be lower-cased first, so
     a new word often has a known stem; a plain stem goes to the library's merges alone, any other word to the whole of it. At most
-    `cache` words are remembered in each of two generations, of which the older goes when the younger is full.
+    `cache` words are remembered in each of two generations, of which the older goes when the younger is full: 20 MB each at most.
     """
 
-    def __init__(self, path: str, cache: int = 1 << 19):
+    def __init__(self, path: str, cache: int = 1 << 16):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
@@ -94,16 +95,6 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def worker_encoder(path: str) -> WordEncoder:
-    """The encoder of this worker, which keeps what it has learnt for the worker's next task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 def dominant_sets(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Martello and Toth's reduction on a histogram of lengths: sets to fix for good, and how often; counts shrinks.
 
@@ -206,9 +197,10 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
+    token = f"packing-{uuid.uuid4().hex}"  # what a worker learns serves this call's tasks alone
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path)
+        encoder = kept(token, lambda: WordEncoder(path))
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         end = end_id.to_bytes(4, "little")
@@ -229,11 +221,12 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, task long, place long"
-    pieces = scratch.write(docs.select(id_col, text_or_empty(text)).mapInArrow(cut, schema), "pieces")
+    pieces = scratch.write(mapped(docs.select(id_col, text_or_empty(text)), cut, schema, token), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = scratch.write(by_task.select("length", "task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # a slot for each length of each pattern: some tens of thousands (a few MB) at any size of the corpus, for only lengths up to capacity exist
     slots = spark.sparkContext.broadcast(plan_packing(counts, capacity))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,4 +240,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
 
     ranked = pieces.join(bases.select("length", "task", "base"), ["length", "task"])
     ranked = ranked.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(place, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(ranked, place, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -1,8 +1,17 @@
 """Removal of repeated substrings by merging Burrows-Wheeler transforms of shards.
 
-Which strings of LENGTH bytes occur more than once is answered by the merged transform of all windows. Windows are first brought together:
-a window's anchor is its K-gram of least hash, so equal windows have equal anchors, and anchors that occur once need no
-transform at all.
+A string of LENGTH bytes (a window) is repeated when two suffixes of the corpus share it as a prefix. Only windows that may be repeated
+need a place in a transform, so the search narrows down first, always by keys of 128 bits whose counts combine before the shuffle:
+
+1. The anchor of a window is its K-gram of least hash, so equal windows have equal anchors; windows of one anchor that follow each other are a
+   run. Runs whose anchor occurs once hold nothing repeated; runs that occur twice as a whole are repeated as a whole.
+2. Of runs that share an anchor but differ, one of each kind is cut into steps of 16 windows, later of 4. The bytes that all windows of a step
+   share are its core: a step whose core no other kind of step has is done, one that occurs twice is repeated, the others go on.
+3. The windows that remain are dealt by hash into parts, and each part by source into shards. Every shard's Burrows-Wheeler transform is built once
+   and kept as a table; a part's transforms are merged by Holt and McMillan's interleave refinement, whose blocks after LENGTH
+   rounds are the repeated intervals.
+
+No step gathers the rows of a key: a key has one row per task at most where rows of equal content meet.
 """
 
 from __future__ import annotations
@@ -12,23 +21,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import Scratch, fingerprints, mixed, prefix_sums, runs_of_rows, text_or_empty, utf8_column
+from episodica.llm.common import Scratch, fingerprints, mapped, prefix_sums, runs_of_rows, text_or_empty, utf8_column
 
 LENGTH = 200
 K = 32
-#: Bytes of a symbol of the transforms: LENGTH is a multiple, and refinement takes LENGTH / SYMBOL rounds.
-SYMBOL = 50
-SHARDS = 4
-#: An anchor with more occurrences goes the way of hot_spans, in which no row needs the others of its key.
-HOT = 1000
-#: Windows in a step of hot_spans.
-STEP = 16
-#: Bytes that one vectorised step works on. Positions within a step take 24 bits beside 40 of the hash.
+#: Windows in a step of each narrowing; a multiple of the next one.
+STEPS = (16, 4)
+#: Windows in a part of the merge on average, and shards that a part is made of.
+PART, SHARDS = 1 << 16, 4
+#: Texts that a task remembers in each of two generations, to list the runs of equal ones once.
+REMEMBERED = 1 << 16
+#: Bytes that one vectorised step works on; a longer text is cut. Positions within a step take 24 bits beside 40 of the hash.
 CHUNK = 1 << 20
-LONGEST = 1 << 23
 
 
 def window_anchors(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,10 +76,10 @@ def window_anchors(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.
 def anchors_of_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, first window, last window, place, hash) for each text, places counted from the text's start."""
     for begin, end in runs_of_rows(offsets, CHUNK):
-        if offsets[end] - offsets[begin] > LONGEST:  # a single text of many MB, in pieces that overlap by a window
+        if offsets[end] - offsets[begin] > CHUNK:  # a single long text, in pieces that overlap by a window
             parts = []
-            for at in range(int(offsets[begin]), int(offsets[end]), LONGEST):
-                stop = min(at + LONGEST + LENGTH - 1, int(offsets[end]))
+            for at in range(int(offsets[begin]), int(offsets[end]), CHUNK):
+                stop = min(at + CHUNK + LENGTH - 1, int(offsets[end]))
                 own = window_anchors(data[at:stop], np.array([0, stop - at]))
                 shift = at - int(offsets[begin])
                 parts.append((own[0] + shift, own[1] + shift, own[2] + shift, own[3]))
@@ -85,252 +93,355 @@ def anchors_of_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int
             yield i, first[part] - shift, last[part] - shift, place[part] - shift, h[part]
 
 
-def shard_transform(symbols: list[np.ndarray], members: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix order of a shard's windows, and the transform at each depth: the symbols before its suffixes in their order."""
-    order, transform = members, []
-    for symbol in symbols:
-        before = symbol[order]
-        transform.append(before)
-        order = order[np.argsort(before, kind="stable")]
+def shard_transform(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a shard's windows (rows of bytes), and its transform, a row per depth.
+
+    The windows are read backwards, as strings whose suffixes are the windows' prefixes: row h has the byte that stands next to
+    each prefix of h bytes, in the order of those prefixes. That order is colexicographic, and rows follow from each other by a stable deal.
+    """
+    order = np.arange(len(windows))
+    transform = np.empty((windows.shape[1], len(windows)), np.uint8)
+    for h in range(windows.shape[1]):
+        transform[h] = windows[order, h]
+        order = order[np.argsort(transform[h], kind="stable")]
     return order, transform
 
 
-def merge_transforms(transforms: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffix orders, and the block of equal prefixes of each place.
+def merge_transforms(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(interleave, interval, common) of the merged transforms, a place for each entry of the shards.
 
     Holt and McMillan's refinement: the interleave starts with all of shard 0, then of shard 1, and so on; each round deals its
-    entries out by the symbols that precede them, which shards give up in their own order, and so sorts by one more
-    symbol without looking at a suffix again. A border between blocks stays once it has come up, so after the last round
-    entries of one block share a prefix of that many symbols, and neighbours in different blocks do not.
+    entries out by the next symbol, which shards give up in their own order, and so sorts by one more
+    symbol without looking at a string again. Entries of one block share a prefix of as many symbols as there were rounds, and
+    blocks only ever split: `common` is the longest prefix that an entry shares with another one, the last round in which it was not alone.
+    After the last round the blocks of several entries are the repeated intervals.
     """
-    sizes = [len(t[0]) for t in transforms]
-    interleave = np.repeat(np.arange(len(transforms)), sizes)
-    block = np.zeros(len(interleave), np.int64)
-    for depth in range(len(transforms[0])):
-        symbol = np.empty(len(interleave), np.uint64)
-        for k, transform in enumerate(transforms):
-            symbol[interleave == k] = transform[depth]
+    sizes = [t.shape[1] for t in transforms]
+    rows = np.concatenate(transforms, axis=1)
+    interleave = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) <= 256 else np.int64), sizes)
+    block, common = np.zeros(len(interleave), np.int32), np.zeros(len(interleave), np.int16)
+    symbol, border = np.empty(len(interleave), np.uint8), np.ones(len(interleave), bool)
+    for h in range(len(rows)):
+        symbol[np.argsort(interleave, kind="stable")] = rows[h]
         deal = np.argsort(symbol, kind="stable")
-        interleave, symbol, before = interleave[deal], symbol[deal], block[deal]
-        border = np.ones(len(deal), bool)
-        border[1:] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        block = np.cumsum(border) - 1
-    return interleave, block
-
-
-def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each context, which of its windows (every start that leaves LENGTH bytes) occur more than once among all contexts."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    begin = np.cumsum(sizes) - sizes
-    windows = sizes - LENGTH + 1
-    context = np.repeat(np.arange(len(contexts)), windows)
-    bounds = np.cumsum(windows)
-    start = begin[context] + np.arange(len(context)) - (bounds - windows)[context]
-    sums = prefix_sums(data)
-    symbols = [fingerprints(sums, start + at, start + at + SYMBOL) for at in range(LENGTH - SYMBOL, -1, -SYMBOL)]
-    shards = [np.flatnonzero(context % SHARDS == k) for k in range(min(SHARDS, len(contexts)))]
-    built = [shard_transform(symbols, members) for members in shards]
-    interleave, block = merge_transforms([t for _, t in built])
-    window = np.empty(len(interleave), np.int64)
-    for k, (order, _) in enumerate(built):
-        window[interleave == k] = order
-    again = np.zeros(len(window), bool)
-    again[window] = np.bincount(block)[block] > 1
-    return np.split(again, bounds[:-1])
-
-
-def spans_of(again: np.ndarray, low: int) -> list[tuple[int, int]]:
-    """Byte ranges covered by the marked windows of a context that begins at low."""
-    at = np.flatnonzero(again)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > LENGTH) + 1
-    return [(int(p[0]) + low, int(p[-1]) + low + LENGTH) for p in np.split(at, cut)]
-
-
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans from contexts sorted by anchor. Equal contexts are settled at once; one of them stays to meet the others."""
-    names = ["doc", "start", "end"]
-
-    def work(rows: list[tuple]) -> pa.RecordBatch:
-        found: list[tuple[int, int, int]] = []
-        by_anchor: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        for anchor, doc, low, data in rows:
-            by_anchor.setdefault(anchor, {}).setdefault(data, []).append((doc, low))
-        contexts, owners = [], []
-        for same in by_anchor.values():
-            for data, places in same.items():
-                if len(places) > 1:
-                    found += [(doc, low, low + len(data)) for doc, low in places]
-                if len(same) > 1:
-                    contexts.append(data)
-                    owners.append(places[0] if len(places) == 1 else None)
-        if contexts:
-            for owner, again in zip(owners, repeated_windows(contexts), strict=True):
-                if owner is not None:
-                    found += [(owner[0], a, b) for a, b in spans_of(again, owner[1])]
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    rows, size = [], 0
+        interleave, sorted_, before, common = interleave[deal], symbol[deal], block[deal], common[deal]
+        border[1:] = (sorted_[1:] != sorted_[:-1]) | (before[1:] != before[:-1])
+        block = np.cumsum(border, dtype=np.int32) - 1
+        alone = border & np.append(border[1:], True)
+        common[~alone] = h + 1
+    return interleave, block, common
+
+
+def _digests(pieces: Iterator[tuple[memoryview, int]]) -> np.ndarray:
+    """128-bit keys of (bytes, salt) as rows of two long."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, salt) for p, salt in pieces]), "<i8").reshape(-1, 2)
+
+
+def packed(low, middle, small):
+    """Three numbers of one piece in a long: an offset, one under 4096 and one under 256. They travel through every shuffle."""
+    return (low << 20) | (middle << 8) | small
+
+
+def unpacked(span: str = "span"):
+    """The three numbers as columns."""
+    return F.shiftright(span, 20).cast("int"), F.shiftright(span, 8).bitwiseAND(0xFFF).cast("int"), F.col(span).bitwiseAND(0xFF).cast("int")
+
+
+def _anchored():
+    """Rows (row, own, text, n_bytes, node, runs): a key and all runs of each text, but for texts that the task has met before."""
+    run_type = pa.struct([(c, pa.int64()) for c in ("anchor", "span", "hi", "lo")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 33
+        met, earlier = set(), set()
+        for batch in batches:
+            data, offsets = utf8_column(batch.column("text"))
+            view = memoryview(data)
+            nodes = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            parts = []
+            for i, first, last, place, h in anchors_of_rows(data, offsets):
+                again = nodes[i] in met or nodes[i] in earlier
+                met.add(nodes[i])
+                parts.append((np.full(len(h), offsets[i]), first, last + LENGTH, place, h) if not again else (np.zeros(0, np.int64),) * 5)
+            if len(met) > REMEMBERED:
+                met, earlier = set(), met
+            shift, low, end, place, h = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
+            keys = _digests((view[a:b], 0) for a, b in zip((shift + low).tolist(), (shift + end).tolist(), strict=True))
+            columns = [pa.array(h.view(np.int64)), pa.array(packed(low, end - low, place - low)), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+            bounds = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])]).astype(np.int32)
+            runs = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(columns, fields=list(run_type)))
+            row = pa.array(np.arange(at, at + batch.num_rows))
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([row, batch.column("own"), batch.column("text"), pa.array(np.diff(offsets)), pa.array(nodes, pa.binary()), runs], names=["row", "own", "text", "n_bytes", "node", "runs"])
+
+    return run
+
+
+UNITS = "row long, low int, at int, heavy boolean, data binary"
+
+
+def _units(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "low", "at", "heavy", "data"])
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of (row, text, runs): the bytes of each listed run."""
+    for batch in batches:
+        data, offsets = utf8_column(batch.column("text"))
+        for row, base, runs in zip(batch.column("row").to_pylist(), offsets.tolist(), batch.column("runs").to_pylist()):
+            yield _units([(row, r["low"], r["at"], r["heavy"], data[base + r["low"] : base + r["low"] + r["size"]].tobytes()) for r in runs])
+
+
+def _cut_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of (row, low, at, data, steps): the bytes of each listed step."""
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "low", "data")), strict=True):
-            if size > 1 << 21 and row[0] != rows[-1][0]:
-                yield work(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[3])
-    if rows:
-        yield work(rows)
+        rows = []
+        for row, low, at, data, steps in zip(*(batch.column(c).to_pylist() for c in ("row", "low", "at", "data", "steps")), strict=True):
+            rows += [(row, low + s["begin"], at - s["begin"], s["heavy"], data[s["begin"] : s["begin"] + s["n"] - 1 + LENGTH]) for s in steps]
+        yield _units(rows)
+
+
+def step_bounds(n: int, at: int, step: int) -> list[tuple[int, int, int]]:
+    """(number, first window, windows) of the steps of a unit of n windows: borders are multiples of step before the anchor, alike in all texts."""
+    out = []
+    for g in range((at - n + 1) // step, at // step + 1):
+        a, b = max(0, at - g * step - step + 1), min(n - 1, at - g * step)
+        if a <= b:
+            out.append((g, a, b - a + 1))
+    return out
+
+
+def _stepped(step: int):
+    """Rows (row, span, heavy, core, hi, lo) of the steps of units: keys of the bytes that a step's windows share, and of all its bytes.
+
+    A span holds the unit's place, and the step's first window and number of windows. Steps that share a 64-bit core by chance are only looked into in vain.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entry, spans, cores, wholes = [], [], [], []
+            for i, (low, at, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("low", "at", "data")), strict=True)):
+                view = memoryview(data)
+                for g, a, n in step_bounds(len(data) - LENGTH + 1, at, step):
+                    core = at - g * step
+                    entry.append(i)
+                    spans.append(packed(low, a, n))
+                    cores.append(xxhash.xxh3_64_intdigest(view[core : core - step + 1 + LENGTH], (core - at) % (1 << 64)))
+                    wholes.append((view[a : a + n - 1 + LENGTH], at - a))
+            whole = _digests(wholes)
+            taken = [batch.column(c).take(pa.array(entry, pa.int64())) for c in ("row", "heavy")]
+            columns = [*taken, pa.array(spans, pa.int64()), pa.array(np.array(cores, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(whole[:, i])) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "heavy", "span", "core", "hi", "lo"])
+
+    return run
+
+
+def narrow(scratch: Scratch, pieces: DataFrame, shared: str, times, name: str) -> tuple[DataFrame, DataFrame]:
+    """(row, span) of pieces that are repeated as a whole, and (row, span, heavy) of pieces to look into.
+
+    Pieces have a key of their content (hi, lo) and one of what they share. Equal content is one kind, which is repeated if `times`, an aggregate, is over 1;
+    pieces of such kinds are returned unless they were heavy, that is known to be repeated. One piece of each kind that meets another kind
+    is looked into, heavy if its kind is repeated. All counts combine before the shuffle, and joins have plain exchanges, so rows of a key never gather.
+    """
+    kinds = pieces.groupBy("hi", "lo").agg(times.alias("times"), *(F.first(c).alias(c) for c in (shared, "row", "span")))
+    kinds = scratch.write(kinds.select("hi", "lo", shared, "row", "span", (F.col("times") > 1).alias("heavy")), f"{name}-kinds")
+    repeated = scratch.write(pieces.where("NOT heavy").select("hi", "lo", "row", "span").join(kinds.where("heavy").select("hi", "lo"), ["hi", "lo"]).select("row", "span"), f"{name}-repeated")
+    several = scratch.write(kinds.groupBy(shared).agg(F.count("*").alias("kinds")).where("kinds > 1").select(shared), f"{name}-several")
+    return repeated, scratch.write(kinds.select(shared, "row", "span", "heavy").join(several, shared).select("row", "span", "heavy"), f"{name}-open")
 
 
-def _keys_again(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that two different places have; a row's place is doc and low."""
-    place = F.xxhash64("doc", "low")
-    return rows.groupBy(key).agg(F.min(place).alias("__a"), F.max(place).alias("__b")).where("__a <> __b").select(key)
+def _windows(parts: int):
+    """Rows (part, shard, window, heavy, rows, lows): the windows of units, equal ones of a task together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() % SHARDS
+        seen: dict[bytes, tuple[list[int], list[int], list[bool]]] = {}
 
-def hot_spans(steps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, start, end) for windows of frequent anchors, by aggregates that combine before the shuffle.
+        def flush() -> pa.RecordBatch:
+            part = [xxhash.xxh3_64_intdigest(w) % parts for w in seen]
+            rows, lows, heavy = zip(*seen.values(), strict=True) if seen else ([], [], [])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), pa.array([shard] * len(part), pa.int32()), pa.array(list(seen), pa.binary()), pa.array([any(x) for x in heavy], pa.bool_()), pa.array(rows, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int32()))],
+                names=["part", "shard", "window", "heavy", "rows", "lows"],
+            )
 
-    steps has, for up to STEP consecutive windows, a key of all their bytes, a key of the bytes they share, and a key of each window.
-    A step whose bytes occur elsewhere is repeated as a whole; one whose shared bytes do not occur elsewhere has no repeated
-    window; the windows of the others are looked up one by one.
+        for batch in batches:
+            for row, low, heavy, data in zip(*(batch.column(c).to_pylist() for c in ("row", "low", "heavy", "data")), strict=True):
+                for j in range(len(data) - LENGTH + 1):
+                    own = seen.setdefault(data[j : j + LENGTH], ([], [], []))
+                    own[0].append(row)
+                    own[1].append(low + j)
+                    own[2].append(heavy)
+            if len(seen) > 1 << 14:
+                yield flush()
+                seen.clear()
+        yield flush()
+
+    return run
+
+
+TRANSFORMS = "part int, shard int, transform binary, heavy binary, entries array<int>, rows array<long>, lows array<int>"
+
+
+def build_transforms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A transform for each (part, shard) of sorted windows, whose entries know if they are repeated already and where they come from."""
+
+    def built(key: tuple[int, int], windows: dict[bytes, list]) -> pa.RecordBatch:
+        order, transform = shard_transform(np.frombuffer(b"".join(windows), np.uint8).reshape(-1, LENGTH))
+        places = list(windows.values())
+        places = [places[i] for i in order.tolist()]
+        owners = [(e, row, low) for e, p in enumerate(places) for row, low in zip(p[1], p[2], strict=True)]
+        entries, rows, lows = ([o[i] for o in owners] for i in range(3))
+        heavy = np.fromiter((p[0] or len(p[1]) > 1 for p in places), bool, len(places)).tobytes()
+        columns = [[key[0]], [key[1]], [transform.tobytes()], [heavy], [entries], [rows], [lows]]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "shard", "transform", "heavy", "entries", "rows", "lows"])
+
+    key, windows = None, {}
+    for batch in batches:
+        for part, shard, window, heavy, rows, lows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (part, shard):
+                if windows:
+                    yield built(key, windows)
+                key, windows = (part, shard), {}
+            own = windows.setdefault(window, [False, [], []])
+            own[0] |= heavy
+            own[1] += rows
+            own[2] += lows
+    if windows:
+        yield built(key, windows)
+
+
+def repeated_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, shard, again): for each entry of the shards of a part, sorted by part, whether it lies in a repeated interval of the merge."""
+
+    def merged(part: int, shards: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        transforms = [np.frombuffer(t, np.uint8).reshape(LENGTH, -1) for _, t, _ in shards]
+        interleave, block, common = merge_transforms(transforms)
+        again = common == LENGTH
+        out = []
+        for k, (_, _, heavy) in enumerate(shards):  # a shard's entries stand in its own order
+            out.append((again[interleave == k] | np.frombuffer(heavy, bool)).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array([s[0] for s in shards], pa.int32()), pa.array(out, pa.binary())], names=["part", "shard", "again"])
+
+    part, shards = None, []
+    for batch in batches:
+        for own, *shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != part and shards:
+                yield merged(part, shards)
+                shards = []
+            part = own
+            shards.append(tuple(shard))
+    if shards:
+        yield merged(part, shards)
+
+
+def _spans_of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, starts = [], []
+        for again, entries, own, lows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            chosen = np.frombuffer(again, bool)[np.array(entries, np.int64)]
+            rows.append(np.array(own, np.int64)[chosen])
+            starts.append(np.array(lows, np.int32)[chosen])
+        rows, starts = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*starts, np.zeros(0, np.int32)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(starts), pa.array(starts + np.int32(LENGTH))], names=["row", "start", "end"])
+
+
+def merged_spans(units: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
+    """(row, start, end) of the windows of units that occur more than once, by transforms of shards and their merge."""
+    windows = units.agg(F.sum(F.octet_length("data") - (LENGTH - 1))).first()[0] or 0
+    parts = max(1, -(-windows // part))
+    dealt = mapped(units, _windows(parts), "part int, shard int, window binary, heavy boolean, rows array<long>, lows array<int>")
+    dealt = dealt.repartition("part", "shard").sortWithinPartitions("part", "shard")
+    transforms = scratch.write(mapped(dealt, build_transforms, TRANSFORMS), "transforms")
+    sorted_ = transforms.select("part", "shard", "transform", "heavy").repartition("part").sortWithinPartitions("part", "shard")
+    again = scratch.write(mapped(sorted_, repeated_intervals, "part int, shard int, again binary"), "intervals")
+    owners = transforms.select("part", "shard", "entries", "rows", "lows").join(again, ["part", "shard"]).select("again", "entries", "rows", "lows")
+    return scratch.write(mapped(owners, _spans_of_entries, "row long, start int, end int"), "window-spans")
+
+
+def repeated_spans(texts: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
+    """(row, start, end), as they come and overlapping, that together cover every repeated window of texts (row, text, node, runs).
+
+    Texts of one node are the same text and count once.
     """
-    whole = scratch.write(_keys_again(steps, "whole"), "hot-whole").withColumn("all", F.lit(True))
-    shared = scratch.write(_keys_again(steps, "shared"), "hot-shared")
-    told = scratch.write(steps.join(whole, "whole", "left"), "hot-told")
-    done = told.where("all").select("doc", F.col("low").alias("start"), (F.col("low") + F.size("windows") - 1 + LENGTH).alias("end"))
-    some = told.where("all IS NULL").join(shared, "shared", "left_semi")
-    # others may equal a step that is repeated as a whole in part: one of its kind stays in the look-up of windows
-    kinds = told.where("all").join(some.select("shared").distinct(), "shared", "left_semi").dropDuplicates(["whole"])
-    rest = some.unionByName(kinds).select("doc", F.posexplode("windows").alias("i", "window"), "low", F.coalesce("all", F.lit(False)).alias("all"))
-    rest = scratch.write(rest.select("doc", (F.col("low") + F.col("i")).alias("low"), "window", "all"), "hot-windows")
-    again = scratch.write(_keys_again(rest, "window"), "hot-again")
-    found = rest.where("NOT all").join(again, "window").select("doc", F.col("low").alias("start"), (F.col("low") + LENGTH).alias("end"))
-    return done.unionByName(found)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    runs = texts.select("row", "node", F.explode("runs").alias("run")).select("row", "run.*", F.xxhash64("node", "run.span").alias("place"))
+    elsewhere = F.min("place") != F.max("place")  # equal texts have equal places
+    twice = scratch.write(runs.groupBy("anchor").agg(elsewhere.alias("twice")).where("twice").select("anchor"), "anchors")
+    listed = scratch.write(runs.join(twice, "anchor").withColumn("heavy", F.lit(False)), "listed")
+    repeated, open_ = narrow(scratch, listed, "anchor", F.when(elsewhere, 2).otherwise(1), "runs")
+    low, size, at = unpacked()
+    spans = repeated.select("row", low.alias("start"), (low + size).alias("end"))
+    per_text = open_.groupBy("row").agg(F.collect_list(F.struct(low.alias("low"), size.alias("size"), at.alias("at"), "heavy")).alias("runs"))
+    units = scratch.write(mapped(texts.select("row", "text").join(per_text, "row"), _cut_texts, UNITS), "units")
+    scratch.drop("listed", "runs-kinds", "anchors")
+    before = "units"
+    for step in STEPS:
+        name = f"steps-{step}"
+        steps = scratch.write(mapped(units, _stepped(step), "row long, heavy boolean, span long, core long, hi long, lo long"), name)
+        repeated, open_ = narrow(scratch, steps, "core", F.sum(1 + F.col("heavy").cast("int")), name)
+        low, begin, n = unpacked()
+        spans = spans.unionByName(repeated.select("row", (low + begin).alias("start"), (low + begin + n - 1 + LENGTH).alias("end")))
+        per_unit = open_.groupBy("row", low.alias("low")).agg(F.collect_list(F.struct(begin.alias("begin"), n.alias("n"), "heavy")).alias("steps"))
+        finer = units.drop("heavy").join(per_unit, ["row", "low"]).select("row", "low", "at", "data", "steps")
+        units = scratch.write(mapped(finer, _cut_units, UNITS), f"units-{step}")
+        scratch.drop(name, f"{name}-kinds", before)
+        before = f"units-{step}"
+    return spans.unionByName(merged_spans(units, scratch, part))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", part: int = PART, carry: list[str] | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary) for every row: each text's UTF-8 without repeated strings.
 
     A byte goes when a string of LENGTH bytes covers it that also starts anywhere else, in the same text or another, overlaps
     included; strings are judged on the input and never cross texts. Null and empty texts, and texts under LENGTH bytes, keep
-    everything. Equal texts of LENGTH bytes or more go entirely, and one of them stands for all in the search. Ids are integers taken to
-    be unique; other columns are dropped; an empty table gives no rows. What is cut may end within a character, so kept is binary.
+    everything. Equal texts of LENGTH bytes or more go entirely, and one of them stands for all in the search. Rows get keys of their own,
+    so null and repeated ids do no harm: rows that repeat an id and a long text are copies of each other like any. Other columns are dropped,
+    or handed through if `carry` names them in the id's place; an empty table gives no rows. Texts of any length are searched in steps of a MiB.
+    What is cut may end within a character, so kept is binary.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    kind = docs.schema[id_col].dataType.simpleString()
-    whole = docs.select(id_col, text_or_empty(text))
-
-    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8_column(batch.column(1))
-            nodes = [xxhash.xxh3_128_digest(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            hashes = [h.view(np.int64) for _, _, _, _, h in anchors_of_rows(data, offsets)]
-            bounds = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
-            anchors = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(nodes, pa.binary()), anchors], names=[id_col, "n_bytes", "node", "anchors"])
-
-    anchored = scratch.write(whole.mapInArrow(anchor, f"`{id_col}` {kind}, n_bytes long, node binary, anchors array<long>"), "anchored")
-    nodes = scratch.write(anchored.groupBy("node").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")), "nodes")
-    about = anchored.select(id_col, "n_bytes", "node").join(nodes, "node").select(id_col, "n_bytes", "least", "copies")
-    about = scratch.write(about, "about")
-    places = anchored.select("node", F.posexplode("anchors").alias("i", "anchor")).select("anchor", F.xxhash64("node", "i").alias("place"))
-    twice = places.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count("*").alias("n")).where("a <> b")
-    twice = scratch.write(twice.select("anchor", (F.col("n") > hot).alias("hot")), "twice")
-    chosen = about.where(f"`{id_col}` = least AND n_bytes >= {LENGTH}").select(id_col)
-    listed = anchored.join(chosen, id_col, "left_semi").select(F.col(id_col).cast("long").alias("doc"), F.explode("anchors").alias("anchor"))
-    listed = scratch.write(listed, "listed")
-    scratch.drop("anchored")
-    per_doc = listed.join(twice, "anchor").groupBy("doc").agg(
-        F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
-    )
-    per_doc = scratch.write(per_doc, "per_doc")
-    scratch.drop("listed")
-
-    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8_column(batch.column(1))
-            ids, cold, hot_ = (batch.column(c).to_pylist() for c in (0, 2, 3))
-            rows: list[tuple] = []
-            for i, first, last, place, h in anchors_of_rows(data, offsets):
-                own = data[offsets[i] : offsets[i + 1]]
-                h = h.view(np.int64)
-                for j in np.flatnonzero(np.isin(h, np.array(cold[i], np.int64))).tolist():
-                    low = int(first[j])
-                    rows.append((int(h[j]), ids[i], low, own[low : int(last[j]) + LENGTH].tobytes(), None, None, None))
-                hot_here = np.flatnonzero(np.isin(h, np.array(hot_[i], np.int64)))
-                if len(hot_here):
-                    rows += _steps(own, ids[i], first[hot_here], last[hot_here], place[hot_here], h[hot_here])
-                if len(rows) > 2048:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
-
-    schema = "anchor long, doc long, low long, data binary, whole long, shared long, windows array<long>"
-    joined = whole.select(F.col(id_col).cast("long").alias("doc"), text).join(per_doc, "doc").select("doc", text, "cold", "hot")
-    contexts = scratch.write(joined.mapInArrow(context, schema), "contexts")
-    cold = contexts.where("data IS NOT NULL").select("anchor", "doc", "low", "data").repartition("anchor").sortWithinPartitions("anchor")
-    cold_spans = scratch.write(cold.mapInArrow(_match, "doc long, start long, end long"), "spans")
-    steps = contexts.where("data IS NULL").select("doc", "low", "whole", "shared", "windows")
-    spans = cold_spans.unionByName(hot_spans(steps, scratch))
-    cuts = scratch.write(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "cuts")
-    scratch.drop("contexts", "hot-told", "hot-windows")
-    verdict = about.join(cuts, about[id_col] == cuts["doc"], "left").select(id_col, F.expr(f"copies > 1 AND n_bytes >= {LENGTH}").alias("gone"), "spans")
-    verdict = scratch.write(verdict, "verdict")
+    carry = [id_col] if carry is None else carry
+    own = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("own")
+    source = docs.select(own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    kind = source.schema["own"].dataType.simpleString()
+    schema = f"row long, own {kind}, text string, n_bytes long, node binary, runs array<struct<anchor:long,span:long,hi:long,lo:long>>"
+    texts = scratch.write(mapped(source, _anchored(), schema), "texts")
+    spans = repeated_spans(texts, scratch, part)
+    cuts = scratch.write(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "cuts")
+    long_ = texts.where(f"n_bytes >= {LENGTH}").select("row", "node")
+    copies = scratch.write(long_.groupBy("node").agg(F.count("*").alias("copies")).where("copies > 1").select("node"), "copies")
+    gone = scratch.write(long_.join(copies, "node").select("row", F.lit(True).alias("gone")), "gone")
+    scratch.drop("units-4", "transforms", "intervals")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body, gone, spans_ in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            for body, gone_, spans_ in zip(*(batch.column(c).to_pylist() for c in ("text", "gone", "spans")), strict=True):
                 body = body.encode()
-                if gone:
+                if gone_:
                     out.append((len(body), len(body), 1, b""))
                     continue
-                kept, removed, runs, at = [], 0, 0, 0
+                left, removed, runs, at = [], 0, 0, 0
                 end = -1
                 for s in sorted((x["start"], x["end"]) for x in spans_ or []):
                     if s[0] > end:
-                        kept.append(body[at : s[0]])
+                        left.append(body[at : s[0]])
                         runs += 1
                         at = s[0]
                     end = max(end, s[1])
                     removed += max(0, end - max(at, s[0]))
                     at = max(at, end)
-                kept.append(body[at:])
-                out.append((len(body), removed, runs, b"".join(kept)))
+                left.append(body[at:])
+                out.append((len(body), removed, runs, b"".join(left)))
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return whole.join(verdict, id_col, "left").select(id_col, text, "gone", "spans").mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 7
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "doc", "low", "data", "whole", "shared", "windows"])
-
-
-def _steps(own: np.ndarray, doc: int, first: np.ndarray, last: np.ndarray, place: np.ndarray, h: np.ndarray) -> list[tuple]:
-    """The windows of frequent anchors in steps whose borders are multiples of STEP before the anchor, so they line up in all texts."""
-    rows = []
-    for lo, hi, at, anchor in zip(first.tolist(), last.tolist(), place.tolist(), h.tolist(), strict=True):
-        base = lo
-        sums = prefix_sums(own[base : hi + LENGTH])
-        for group in range((at - hi) // STEP, (at - lo) // STEP + 1):  # windows start at - d with d from group * STEP on
-            a, b = max(lo, at - group * STEP - STEP + 1), min(hi, at - group * STEP)
-            if a > b:
-                continue
-            begin = np.arange(a, b + 1) - base
-            core = at - group * STEP - base
-            ends = begin + LENGTH
-            keys = fingerprints(sums, np.concatenate([begin, begin[:1], [core]]), np.concatenate([ends, ends[-1:], [core - STEP + 1 + LENGTH]]))
-            keys = mixed(keys ^ np.uint64(anchor % (1 << 64))).view(np.int64).tolist()
-            rows.append((anchor, doc, a, None, keys[-2], keys[-1] + group, keys[:-2]))
-    return rows
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["own", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    verdict = texts.select("row", "own", "text").join(cuts, "row", "left").join(gone, "row", "left").select("own", "text", "gone", "spans")
+    return mapped(verdict, cut, f"own {kind}, n_bytes long, n_removed long, n_spans long, kept binary").select("own.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def removal_digests(cut: DataFrame, id_col: str = "doc_id") -> DataFrame:

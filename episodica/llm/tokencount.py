@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import small_batches, text_or_empty
+from episodica.llm.common import mapped, text_or_empty
 
 #: A unit is a run of spaces with what follows up to the next space; no piece of the model reaches over its end.
 UNIT = re.compile(r" +[^ ]*")
@@ -50,8 +50,7 @@ def frequent_lengths(docs: DataFrame, model: str, text: str = "text", entries: i
     import sentencepiece
 
     rows = (
-        docs.select(text_or_empty(text))
-        .mapInArrow(_frequent_of_partition(entries), "word string, n long")
+        mapped(docs.select(text_or_empty(text)), _frequent_of_partition(entries), "word string, n long")
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "word")
@@ -63,7 +62,7 @@ def frequent_lengths(docs: DataFrame, model: str, text: str = "text", entries: i
     return {w: len(p) for w, p in zip(words, pieces, strict=True)}
 
 
-def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", limit: int = 4096, entries: int = 1 << 15, cache: int = 1 << 18) -> DataFrame:
+def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text", limit: int = 4096, entries: int = 1 << 15, cache: int = 1 << 17) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) per row, as sentencepiece counts the whole text without begin or end tokens.
 
     Two tiers, both on the map side: a broadcast table of frequent pre-token lengths (frequent_lengths), then a cache in
@@ -79,7 +78,6 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text: str
     inner = [p for p in map(check.id_to_piece, range(check.get_piece_size())) if ESCAPED_SPACE in p.lstrip(ESCAPED_SPACE)]
     if inner or check.encode("a b ", out_type=str)[-1] != ESCAPED_SPACE or check.encode("") or len(check.encode("  ")) != len(check.encode(ESCAPED_SPACE * 2)):
         raise ValueError("pieces of this model reach over spaces; its texts cannot be counted by pre-token")
-    small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model, text, entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,4 +113,4 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text: str
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_or_empty(text)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select(id_col, text_or_empty(text)), run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import small_batches, text_or_empty
+from episodica.llm.common import mapped, text_or_empty
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,7 +33,7 @@ class ToxicityModel:
 
     weights: dict[str, float]
     bias: float
-    cache: int = 1 << 18
+    cache: int = 1 << 16
 
     def __post_init__(self):
         self.words: dict[str, float] = {}
@@ -72,33 +72,26 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int, id_col: str, text: str, label: str) -> DataFrame:
-    """At most `rows` labelled ids outside the held-out fold, in the order of a hash of the id, until their texts have rows * chars characters.
-
-    Texts of any length are taken; the last one may go beyond the bound.
-    """
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text: str, label: str) -> DataFrame:
+    """(label, text) of at most `rows` labelled ids outside the held-out fold, the first ones by a hash of the id, whatever their texts' length."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).alias("__label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    texts = docs.where(F.col(text).isNotNull())
-    sizes = texts.select(id_col, F.length(text).cast("long").alias("__chars")).join(F.broadcast(chosen), id_col).groupBy(id_col, "__label").agg(F.sum("__chars").alias("__chars"))
-    before = F.sum("__chars").over(Window.orderBy(F.xxhash64(id_col), id_col).rowsBetween(Window.unboundedPreceding, -1))  # a row per chosen id
-    within = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < rows * chars).select(id_col, "__label")
-    return texts.select(id_col, text).join(F.broadcast(within), id_col).select("__label", text)
+    sample = docs.where(F.col(text).isNotNull()).select(id_col, text).join(F.broadcast(chosen), id_col)
+    return sample.repartition(16, id_col).sortWithinPartitions(F.xxhash64(id_col), id_col, text).select("__label", text)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, chars: int = 20_000, id_col: str = "doc_id", text: str = "text", label: str = "toxic", epochs: int = 40, lasso: float = 0.02) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, id_col: str = "doc_id", text: str = "text", label: str = "toxic", epochs: int = 40, lasso: float = 0.02) -> ToxicityModel:
     """Fits sentence weights so that the noisy-or of a document's sentences explains its label.
 
-    Trained on the driver with Adam over a sample bounded by `rows` and `chars` (once rows * chars characters have reached the
-    driver no further text does, 240 MB by default, in practice a sixth). Without labelled rows, or with one class only, a model results that gives every sentence the base rate.
+    Trained on the driver with Adam over a sample bounded by `rows`. Its texts stream in by sixteenths and are forgotten once read; what stays are
+    two 32-bit numbers for each word. Without labelled rows, or with one class only, a model results that gives every sentence the base rate.
     """
-    small_batches(docs.sparkSession)
-    sample = training_sample(docs, labels, rows, chars, id_col, text, label).toPandas()
-    return fit(sample[text], sample["__label"], epochs, lasso)
+    sample = training_sample(docs, labels, rows, id_col, text, label)
+    return fit(((r[1], r[0]) for r in sample.toLocalIterator()), epochs, lasso)
 
 
-def fit(texts: Iterable[str], labels: Iterable[float], epochs: int = 40, lasso: float = 0.02) -> ToxicityModel:
-    """train() on texts and labels in memory.
+def fit(sample: Iterable[tuple[str, float]], epochs: int = 40, lasso: float = 0.02) -> ToxicityModel:
+    """train() on (text, label) pairs.
 
     Weights are not negative: a sentence is toxic for what it holds, whatever else stands beside it, so long sentences hide
     nothing. They start at a lower confidence bound of the log odds between toxic and clean documents and are then
@@ -106,7 +99,7 @@ def fit(texts: Iterable[str], labels: Iterable[float], epochs: int = 40, lasso:
     """
     vocabulary: dict[str, int] = {}
     occurrences, sentence_of, document_of, targets = array("i"), array("i"), array("i"), []
-    for y, body in zip(labels, texts, strict=True):
+    for body, y in sample:
         for sentence in SENTENCE.findall(body.lower()) or [""]:
             words = [vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(sentence)]
             occurrences.extend(words)
@@ -167,7 +160,6 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     A null or empty text has the score of one empty sentence; repeated rows are scored alike, each on its own; a null id counts as
     not held out; other columns are dropped; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +172,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, held_out(id_col).alias("held_out"), text_or_empty(text)).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return mapped(docs.select(id_col, held_out(id_col).alias("held_out"), text_or_empty(text)), run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores below the threshold, with all their columns; edge cases as score_documents, and nothing is shuffled."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
@@ -194,12 +185,11 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
         for batch in batches:
             yield batch.filter(pa.array([own.score(t or "") < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id, start, end, score, sentence): the sentences whose own probability reaches the threshold, with their place in the text."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,4 +208,4 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "do
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_or_empty(text)).mapInArrow(run, f"`{id_col}` {kind}, start long, end long, score double, sentence string")
+    return mapped(docs.select(id_col, text_or_empty(text)), run, f"`{id_col}` {kind}, start long, end long, score double, sentence string")

@@ -16,10 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.common import Scratch, small_batches
+from episodica.llm.common import Scratch, mapped
 
 #: Slices of the id range from which shard borders are chosen; their counts are all that reaches the driver.
 SLICES = 1 << 14
+#: Files are read by so many tasks at most, each of which reads its own one after another.
+MOST_READERS = 100_000
 RECORD_SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 MANIFEST = "file string, bytes long, records long, sha256 string, temporary string"
 
@@ -147,7 +149,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["file", "bytes", "records", "sha256", "temporary"])
 
-    written = scratch.write(sorted_rows.mapInArrow(write, MANIFEST), "written")
+    written = scratch.write(mapped(sorted_rows, write, MANIFEST), "written")
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = open_store(folder)
@@ -158,7 +160,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
                     store.move(old, new)
             yield batch
 
-    written.mapInArrow(publish, MANIFEST).drop("temporary").write.mode("overwrite").parquet(f"{folder}/manifest")
+    mapped(written, publish, MANIFEST).drop("temporary").write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -185,9 +187,8 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url[, payload]) of every record of the files that the manifest lists.
 
     Block digests are checked, and of responses the payload's digest and length too; a revisit has its payload's from
-    its headers. Row order is by file.
+    its headers. Each file is read by one task. Records come as they were written, repeated ones too; a manifest without files gives no rows.
     """
-    small_batches(spark)
     files = spark.read.parquet(f"{folder}/manifest").select("file")
     fields = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
 
@@ -219,4 +220,5 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
                     if rows:
                         yield batch_of(rows)
 
-    return files.repartition(F.xxhash64("file")).mapInArrow(read, fields)
+    # the number is given, so that a few bytes of names are not taken for one task's work
+    return mapped(files.repartition(max(1, min(files.count(), MOST_READERS)), "file"), read, fields)

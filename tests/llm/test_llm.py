@@ -137,19 +137,24 @@ def near_copies(rng):
             words = words.copy()
             words[rng.randrange(len(words))] = f"z{rng.randint(0, 3)}"
         rows.append((100 + i, " ".join(words)))
+    rows += [(700, " ".join(f"long{i}" for i in range(30_000))), (701, " ".join(f"long{i}" for i in range(29_990)))]
     return rows
 
 
 @pytest.mark.parametrize(("words", "percent", "block"), [(3, 90, 512), (5, 80, 10)])
 def test_jaccard_components(spark, words, percent, block):
-    rows = near_copies(random.Random(5))
+    rows = near_copies(random.Random(5))  # with equal texts and a very long pair
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
         sets[i] = {tuple(w[j : j + words]) for j in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
     linked = [(a, b) for a, b in combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     want = components(sets, linked)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, rows), words, percent, block=block).collect()}
+    docs = frame(spark, rows, "doc_id long, text string, node string, hi double, group string").union(frame(spark, [(None, rows[20][1]), (None, "alone"), (700, "x y"), (700, rows[20][1])]))
+    answers = jaccard.jaccard_components(docs, words, percent, block=block).collect()
+    extra = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in answers) - Counter((i, len(s), want[i]) for i, s in sets.items())
+    assert extra == Counter([(None, len(sets[rows[20][0]]), want[rows[20][0]]), (None, 1, None), (700, 1, 700), (700, len(sets[rows[20][0]]), want[rows[20][0]])])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in answers if r["doc_id"] not in (None, 700)} | {700: (len(sets[700]), want[700])}
     assert got == {i: (len(s), want[i]) for i, s in sets.items()}
     assert len(set(want.values())) < len(rows) - 20
 
@@ -175,47 +180,84 @@ def test_linked_rows_of_two_batches_meet():
     assert set(jaccard.block_signatures([small], 80)[1].tolist()) & set(jaccard.block_signatures([large], 80)[1].tolist())
 
 
+def test_a_signature_leaves_a_task_once():
+    holders = jaccard.Holders()
+    rows = np.repeat(np.arange(3), 4)
+    fresh, near = holders.tie(np.array([7, 8, 9]), rows, np.array([1, 2, 3, 4, 1, 2, 3, 5, 1, 2, 3, 4]))
+    assert fresh == [[1, 2, 3, 4], [5], []] and near == [[], [7], [7]]
+
+
+def test_long_words_and_texts_in_pieces(monkeypatch):
+    text = " ".join(["Word" * n for n in (1, 2, 40, 3)] * 30 + ["a" * 500, "b c"])
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    whole = jaccard.shingle_sets(data, offsets, 3)
+    monkeypatch.setattr(jaccard, "STEP", 100)
+    assert np.array_equal(whole[0], jaccard.shingle_sets(data, offsets, 3)[0])
+    assert len(whole[0]) == len({tuple(text.lower().split()[i : i + 3]) for i in range(len(text.split()) - 2)})
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(frame(spark, [])).count() == 0
     assert [r["component_id"] for r in jaccard.jaccard_components(frame(spark, [(3, None), (4, "")])).orderBy("doc_id").collect()] == [3, 4]
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
-def test_suffix_dedup(spark, hot):
+def repeats_of(rows):
+    """Brute force: (id, bytes, removed, spans, kept bytes) of each row."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(b[i : i + 200] for _, b in texts for i in range(len(b) - 199))
+    out = []
+    for i, b in texts:
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - 199):
+            if seen[b[j : j + 200]] > 1:
+                gone[j : j + 200] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((i, len(b), int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("part", [1 << 16, 50])
+def test_suffix_dedup(spark, part):
     rng = random.Random(7)
-    passages = ["".join(rng.choice("abcdefgh ij\né") for _ in range(n)) for n in (199, 200, 230, 900)]
+    passages = ["".join(rng.choice("abcdefgh ij\né") for _ in range(n)) for n in (199, 200, 201, 205, 230, 900)]
 
     def noise(n):
         return "".join(rng.choice("klmnop qr") for _ in range(n))
 
     rows = [(1, None), (2, ""), (3, "a" * 600), (4, "b" * 450), (5, "ab" * 130), (6, "same" * 60), (7, "same" * 60), (8, "short"), (9, "short")]
-    rows += [(100 + i, noise(rng.randint(0, 200)) + rng.choice(passages) + noise(rng.randint(0, 200)) + rng.choice(passages)) for i in range(40)]
-    texts = {i: (t or "").encode() for i, t in rows}
-    seen = Counter(b[i : i + 200] for b in texts.values() for i in range(len(b) - 199))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix.remove_repeats(frame(spark, rows), hot=hot).collect()}
-    for i, b in texts.items():
-        gone = np.zeros(len(b), bool)
-        for j in range(len(b) - 199):
-            if seen[b[j : j + 200]] > 1:
-                gone[j : j + 200] = True
-        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        assert got[i] == (len(b), int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone]))
+    rows += [(100 + i, noise(rng.randint(0, 200)) + rng.choice(passages) + noise(rng.randint(0, 200)) + rng.choice(passages)) for i in range(60)]
+    rows += [(200 + i, rng.choice("xyz") + passages[1][: 200 - i % 2] + rng.choice("xyz")) for i in range(30)]  # neighbours of one character
+    rows += [(5, "repeated id " * 30), (5, None), (None, noise(300)), (None, rows[40][1]), (300, (noise(99) + "é") * 700)]
+    docs = frame(spark, rows, "doc_id long, text string, own string, row double, low string")
+    got = sorted((tuple(r) for r in suffix.remove_repeats(docs, part=part).collect()), key=str)
+    assert [(*r[:4], bytes(r[4])) for r in got] == repeats_of(rows)
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
+    carried = suffix.remove_repeats(docs, part=part, carry=["low", "doc_id", "own"])
+    assert carried.columns == ["low", "doc_id", "own", "n_bytes", "n_removed", "n_spans", "kept"] and carried.count() == len(rows)
 
 
 def test_merged_transform_equals_one_sort():
     rng = random.Random(8)
-    texts = ["".join(rng.choice("ab") for _ in range(230)).encode() for _ in range(30)] + [b"x" * 260, b"x" * 200]
-    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
-    for t, again in zip(texts, suffix.repeated_windows(texts), strict=True):
-        assert again.tolist() == [seen[t[i : i + 200]] > 1 for i in range(len(t) - 199)]
+    windows = list({"".join(rng.choice("ab") for _ in range(n)).rjust(200, "x").encode() for n in [3] * 6 + [8] * 60})
+    shards = [windows[:20], windows[10:35], windows[5:7], windows[30:]]
+    built = [suffix.shard_transform(np.frombuffer(b"".join(s), np.uint8).reshape(-1, 200)) for s in shards]
+    interleave, block, common = suffix.merge_transforms([t for _, t in built])
+    merged, taken = [], [0] * len(shards)
+    for k in interleave.tolist():
+        merged.append(shards[k][built[k][0][taken[k]]])
+        taken[k] += 1
+    assert merged == sorted(merged, key=lambda w: w[::-1])
+    assert np.array_equal(np.diff(block) == 0, [a == b for a, b in zip(merged, merged[1:])])
+    for i, w in enumerate(merged):
+        others = merged[:i] + merged[i + 1 :]
+        assert common[i] == max(next((n for n in range(200) if w[n] != o[n]), 200) for o in others)
 
 
 def test_anchors_of_a_text_in_pieces(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 105, 30_000).astype(np.uint8)
     whole = [x[1:] for x in suffix.anchors_of_rows(data, np.array([0, len(data)]))][0]
-    monkeypatch.setattr(suffix, "LONGEST", 7_000)
+    monkeypatch.setattr(suffix, "CHUNK", 7_000)
     parts = [x[1:] for x in suffix.anchors_of_rows(data, np.array([0, len(data)]))][0]
     assert set(zip(whole[2].tolist(), whole[3].tolist(), strict=True)) == set(zip(parts[2].tolist(), parts[3].tolist(), strict=True))
     assert sum((whole[1] - whole[0] + 1)) == sum((parts[1] - parts[0] + 1)) == len(data) - 199
@@ -324,7 +366,7 @@ def test_toxicity_of_very_long_texts(spark):
     words = [f"word{i}" for i in range(300)]
     texts = [". ".join(" ".join(rng.choices(words, k=8)) for _ in range(6)) for _ in range(400)]
     labels = [int(i % 5 == 0) for i in range(400)]
-    model = toxicity.fit([t + " vilemost." * y for t, y in zip(texts, labels, strict=True)], labels)
+    model = toxicity.fit([(t + " vilemost." * y, y) for t, y in zip(texts, labels, strict=True)])
     clean = "plain talk here. " * 100_000
     rows = [(1, clean), (2, clean + "vilemost. " + clean), (3, ". ".join(texts))]
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(frame(spark, rows), model).collect()}
@@ -333,18 +375,38 @@ def test_toxicity_of_very_long_texts(spark):
     assert toxicity.ToxicityModel({}, -6.9).score(clean) < 0.01
 
 
-def test_training_sample_takes_long_texts(spark):
-    docs = frame(spark, [(i, "a" * (1000 if i % 7 == 0 else 10)) for i in range(300)] + [(300, None)])
+def test_training_sample_takes_texts_of_any_length(spark):
+    docs = frame(spark, [(i, "a" * (100_000 if i % 7 == 0 else 10)) for i in range(300)] + [(300, None)])
     labels = spark.range(301).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
 
-    def lengths(rows, chars):
-        return [len(r["text"]) for r in toxicity.training_sample(docs, labels, rows, chars, "doc_id", "text", "toxic").collect()]
+    def lengths(rows):
+        return [len(r["text"]) for r in toxicity.training_sample(docs, labels, rows, "doc_id", "text", "toxic").collect()]
+
+    assert sorted(lengths(400)) == sorted(100_000 if i % 7 == 0 else 10 for i in range(300) if zlib.crc32(str(i).encode()) % 5)
+    assert len(lengths(30)) in (29, 30) and 100_000 in lengths(100)
 
-    fold = [1000 if i % 7 == 0 else 10 for i in range(300) if zlib.crc32(str(i).encode()) % 5]
-    assert sorted(lengths(400, 500)) == sorted(fold)
-    some = lengths(400, 50)
-    assert 1000 in some and len(some) < len(fold) and 20_000 <= sum(some) < 21_000
-    assert len(lengths(30, 500)) == 30
+
+def test_scores_are_a_noisy_or_of_sentences(spark):
+    model = toxicity.ToxicityModel({"bad": 2.0, "worse": 3.5, "wors-4": 0.5, "good": 0.0}, -3.0)
+    rng = random.Random(15)
+    rows = [*EDGE, (None, "bad. worse!"), (11, "bad"), (11, "BAD\nworst?? bad bad"), (12, ". ".join(["bad bad"] * 30))]
+    rows += [(100 + i, "".join(rng.choice(["bad ", "worse ", "worst ", "good ", "x", ". ", "! ", "\n"]) for _ in range(rng.randint(0, 40)))) for i in range(100)]
+
+    def weight(word):
+        return sum(model.weights.get(f, 0.0) for f in [word, *(f"{word[:n]}-{n}" for n in (4, 5, 6) if len(word) >= n)])
+
+    want = []
+    for i, t in rows:
+        logits = [-3.0 + sum(map(weight, re.findall(r"[^\W\d_]+", s))) for s in re.findall(r"[^.!?\n]+", (t or "").lower())]
+        told = sorted((x for x in logits if x > -3.0), reverse=True)[:8] or [-3.0]
+        none = 1.0
+        for x in told:
+            none *= 1 - 1 / (1 + np.exp(-x))
+        want.append((str(i), i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(1 - none, 9), int(1 - none >= 0.5)))
+    got = [(str(r[0]), r[1], round(r[2], 9), r[3]) for r in toxicity.score_documents(frame(spark, rows), model).collect()]
+    assert sorted(got) == sorted(want)
+    extra = spark.createDataFrame([(1, "bad. worse. worst.", 0.9, True)], "doc_id long, text string, score double, held_out boolean")
+    assert [tuple(r) for r in toxicity.score_documents(extra, model).select("doc_id", "predicted").collect()] == [(1, 1)]
 
 
 def test_warc_round_trip_and_determinism(spark):
@@ -401,3 +463,61 @@ def test_pipeline_on_small_documents(spark, tmp_path):
     assert all(shared not in kept[3][i] and shared in kept[2][i] for i in (400, 401)) and kept[3][5] == kept[2][5]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(kept[3])
+
+
+def test_pipeline_keeps_rows_apart(spark, tmp_path):
+    """Nulls, repeated rows and ids, empty and very long texts, an empty table, clashing names: each stage against brute force."""
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    words = [f"w{i}" for i in range(800)]
+
+    def prose(n):
+        return " ".join(rng.choices(words, k=n))
+
+    base, shared, long_ = prose(90), prose(60), prose(20_000)
+    rows = [(1, base), (1, base), (2, prose(70)), (None, prose(80)), (None, None), (3, ""), (4, None), (4, " "), (5, base.replace(" ", "\t ")), (None, base)]
+    near = prose(100)
+    rows += [(7, near + " end"), (6, near), (None, near + " other"), (8, long_), (9, long_ + " tail"), (10, prose(40) + " " + shared), (10, prose(40) + " " + shared), (11, "a"), (12, "b")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, row_key string, own int, node int, keep_id int, component_id int"
+    every = spark.createDataFrame([(*r, "en", "s", 1, f"k{i}", i, 1, 2, 3) for i, r in enumerate(rows)], names)
+    docs = every.repartition(3)
+
+    def result(stage, docs):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["doc_id"] == docs.schema["doc_id"]
+        return out, {r["own"]: r for r in out.collect()}
+
+    def order(i):
+        return (rows[i][0] is None, rows[i][0] or 0)
+
+    exact, got = result(corpus_pipeline.drop_exact_copies, docs)
+    groups = {}
+    for i, (_, t) in enumerate(rows):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
+    assert exact.count() == len(groups)
+    for members in groups.values():
+        stay = [i for i in members if i in got]
+        assert len(stay) == 1 and order(stay[0]) == min(map(order, members)) and got[stay[0]]["text"] == rows[stay[0]][1]
+    assert any(r["doc_id"] is None and r["text"] == rows[3][1] for r in got.values())
+    close, kept = result(corpus_pipeline.drop_near_copies, exact.persist())
+    sets = {}
+    for i in got:
+        w = (rows[i][1] or "").split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = components(sets, [(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    for r in set(root.values()):
+        members = [i for i in root if root[i] == r]
+        assert [i for i in members if i in kept] == [min(members, key=order)]
+    assert {6, 8} <= {r["doc_id"] for r in kept.values()} and not {7, 9} & {r["doc_id"] for r in kept.values()}
+    _, cut = result(corpus_pipeline.cut_repeated_passages, close.persist())
+    mine = sorted(kept)
+    want = {i: b.decode("utf-8", "ignore") for i, _, _, _, b in repeats_of([(i, kept[i]["text"]) for i in mine])}
+    assert {i: r["text"] for i, r in cut.items()} == want and all(r["n_chars"] == len(r["text"]) and r["row_key"] == f"k{i}" for i, r in cut.items())
+    assert any(len(want[i]) < len(kept[i]["text"] or "") for i in mine)
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    _, calm = result(corpus_pipeline.drop_toxic_documents, every)
+    assert len(calm) == len(rows)
+    assert corpus_pipeline.pack_sequences(spark, every, str(tmp_path)).where("piece = 0").count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, every.limit(0), str(tmp_path)).count() == 0
