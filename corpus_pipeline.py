@@ -1,7 +1,11 @@
 """A corpus pipeline: from raw documents to packed training sequences.
 
 STAGES lists (name, function) in order. Each function takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns a
-DataFrame; all but the last return the columns of documents. Null texts count as empty throughout, and an empty table passes through.
+DataFrame; all but the last return the columns of documents, of any names. Null texts count as empty throughout, texts may be of any length, and an empty
+table passes through.
+
+A row is told from others by a key that the stage gives it when it writes its input to the shared folder, never by doc_id: rows without an id and
+rows that repeat one are rows like any other, and no stage makes one row into two.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.common import Scratch
+from episodica.llm.common import Scratch, mapped
 from episodica.llm.exactdedup import exact_dedup
 from episodica.llm.jaccard import jaccard_components
 from episodica.llm.packing import pack_documents
@@ -22,38 +26,88 @@ from episodica.llm.toxicity import drop_toxic, train
 SIMILARITY, WORDS = 80, 5
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that differs from those given, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(spark: SparkSession, docs: DataFrame, stage: str) -> tuple[DataFrame, str]:
+    """Rows with a key of their own, and its name; written, so that the key stays the same however often a task runs again."""
+    key = unused("row_key", docs.columns)
+    return Scratch(spark, f"rows-{stage}").write(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def first_of_each(docs: DataFrame, key: str, groups: DataFrame, group: str) -> DataFrame:
+    """Of the rows of each group, told by groups (key, group), the one with the smallest doc_id, then the smallest key; nulls come last."""
+    ids = docs.select(key, "doc_id").join(groups.select(key, group), key)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("own"))
+    stay = ids.groupBy(group).agg(F.min(order).alias("least")).select(F.col("least.own").alias(key))
+    return docs.join(stay, key, "left_semi").drop(key)
+
+
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the model trained on the labels predicts toxic."""
+    """Rejects documents that the model trained on the labels predicts toxic.
+
+    Every row is judged by its own whole text: empty ones stay, repeated rows share their fate, and ids matter only to find labels.
+    """
     return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space runs as one space) the smallest doc_id stays."""
-    return docs.join(exact_dedup(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    """Of equal texts (white space runs as one space) one row stays, that of the smallest doc_id.
+
+    Rows that repeat an id and a text are copies too, so one of them stays; a row without an id stays unless its text has one with an id; empty and null
+    texts are equal to each other.
+    """
+    rows, key = with_row_key(spark, docs, "exact")
+    return first_of_each(rows, key, exact_dedup(rows, id_col=key).select(key, "keep_id"), "keep_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar word n-gram sets the smallest doc_id stays."""
-    stays = jaccard_components(docs, words=WORDS, percent=SIMILARITY).where("component_id <=> doc_id").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi")
+    """Of documents linked by similar word n-gram sets one stays, that of the smallest doc_id.
+
+    Rows without words link with nothing and stay, each of them; ids as in drop_exact_copies.
+    """
+    rows, key = with_row_key(spark, docs, "near")
+    return first_of_each(rows, key, jaccard_components(rows, words=WORDS, percent=SIMILARITY, id_col=key).select(key, "component_id"), "component_id")
 
 
-def _decoded(batches):
+def _decoded(place: int):
     """Bytes as text; a character of which only a part was left goes too."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    def run(batches):
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns)], names=[f"c{i}" for i in range(batch.num_columns)])
+
+    return run
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes bytes in strings of 200 bytes that occur more than once; a document may end up empty but stays."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = remove_repeats(docs).select("doc_id", "kept").mapInArrow(_decoded, f"doc_id {kind}, text string")
-    rest = docs.drop("text", "n_chars").join(texts, "doc_id").withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.select(*docs.columns)
+    """Removes bytes in strings of 200 bytes that occur more than once; a document may end up empty but stays.
+
+    Every row comes out once, with its other columns as they were and n_chars as its text is now; rows of equal long texts, should the stage
+    meet any, lose the text in all of them. A null text becomes an empty one.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    cut = remove_repeats(docs, carry=others)
+    placed = cut.select(*(cut[i] for i in range(len(others))), cut[len(others) + 3])
+    kinds = [docs.schema[c].dataType.simpleString() for c in others]
+    plain = mapped(placed, _decoded(len(others)), ", ".join([*(f"c{i} {k}" for i, k in enumerate(kinds)), f"c{len(others)} string"]))
+    named = plain.toDF(*others, "text").select(*(F.col(f"`{c}`") for c in docs.columns))
+    if "n_chars" in docs.columns:
+        named = named.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return named
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of what is left into sequences of 4096."""
+    """Packs the tokens of what is left into sequences of 4096.
+
+    Every row gives its pieces, whatever its id; an empty text is its end token alone.
+    """
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
