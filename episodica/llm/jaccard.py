@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -375,10 +374,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    kind = docs.schema[id_col].dataType.simpleString()
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 33
         holders, met, earlier = Holders(), set(), set()
         for batch in batches:
             sets = shingle_sets(*utf8_column(batch.column(1)), words)
@@ -391,28 +387,31 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
                     met.add(key)
             if len(met) > REMEMBERED:
                 met, earlier = set(), met
-            rows = np.arange(at, at + len(sets))
-            at += len(sets)
+            rows = batch.column(0).to_numpy()
             signatures, near = [[]] * len(sets), [[]] * len(sets)
             chosen = [sets[i] for i in first]
             if chosen:
                 for i, fresh, others in zip(first, *holders.tie(rows[first], *block_signatures(chosen, percent, frequent=marks.value)), strict=True):
                     signatures[i], near[i] = fresh, others
             empty = np.fromiter(map(len, sets), np.int64, len(sets)) == 0
+            leads = np.zeros(len(sets), bool)
+            leads[first] = True
             hi, lo = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(hi, mask=empty), pa.array(lo, mask=empty), pa.array(signatures, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))],
-                names=["node", "id", "text", "n_shingles", "hi", "lo", "signatures", "near"],
+                [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(hi, mask=empty), pa.array(lo, mask=empty), pa.array(leads), pa.array(signatures, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))],
+                names=["node", "n_shingles", "hi", "lo", "leads", "signatures", "near"],
             )
 
     whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    whole = scratch.write(whole.withColumn("node", F.monotonically_increasing_id()), "texts")  # once written, a row's key stays
     marks = spark.sparkContext.broadcast(frequent_slots(whole, words, "text"))
-    signed = scratch.write(mapped(whole, sign, f"node long, id {kind}, text string, n_shingles long, hi long, lo long, signatures array<long>, near array<long>"), "signed")
+    signed = scratch.write(mapped(whole.select("node", "text"), sign, "node long, n_shingles long, hi long, lo long, leads boolean, signatures array<long>, near array<long>"), "signed")
+    sets = scratch.write(signed.select("node", "n_shingles", "hi", "lo", "leads"), "sets")
     candidates = scratch.write(candidate_edges(signed.select("node", "signatures", "near")), "candidates")
     groups = connected_components(spark, candidates, scratch, "groups")
-    # of equal sets the first row stands for all
-    nodes = signed.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min("node").alias("node"), F.min("id").alias("id"))
-    nodes = scratch.write(nodes, "nodes")
+    # of equal sets the least of the rows that were signed stands for all
+    scratch.drop("signed", "candidates")
+    nodes = scratch.write(sets.where("leads").groupBy("hi", "lo").agg(F.min("node").alias("node")), "nodes")
     groups = scratch.write(groups.join(nodes.select("node"), "node").select("node", F.col("component").alias("group")), "grouped")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +420,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "group", "grams"])
 
     # the candidates grow with the corpus, so they are never broadcast: one plan at every size
-    texts = groups.hint("merge").join(signed.select("node", "text"), "node")
+    texts = groups.hint("merge").join(whole.select("node", "text"), "node")
     members = scratch.write(mapped(texts.select("node", "group", "text"), sets_of, "node long, group long, grams binary"), "members")
     sizes = scratch.write(groups.groupBy("group").agg(F.count("*").alias("members")), "sizes")
     held = None
@@ -459,8 +458,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         tiles = a.select("group", "x", "y", "node", "grams").unionByName(b.select("group", "x", "y", "node", "grams"))
         links = links.unionByName(scratch.write(multiplied(tiles, percent), "more"))
     found = connected_components(spark, links, scratch, "found")
-    labelled = scratch.write(nodes.join(found, "node", "left").select("hi", "lo", "id", F.coalesce("component", "node").alias("component")), "labelled")
-    least = scratch.write(labelled.groupBy("component").agg(F.min("id").alias("component_id")), "least")
-    labelled = scratch.write(labelled.join(least, "component").select("hi", "lo", "component_id"), "named")
-    rows = signed.select("id", "n_shingles", "hi", "lo")
-    return rows.join(labelled, ["hi", "lo"], "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    labelled = scratch.write(nodes.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component")), "labelled")
+    rows = sets.join(labelled, ["hi", "lo"], "left").select("node", "n_shingles", "component")
+    rows = scratch.write(rows.join(whole.select("node", "id"), "node").select("id", "n_shingles", "component"), "rows")
+    least = scratch.write(rows.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id")), "least")
+    scratch.drop("texts", "sets", "nodes", "labelled", "members", "links", "more", *(f"members-{d}" for d in range(1, DEALS)))
+    return rows.join(least, "component", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -148,11 +148,10 @@ def unpacked(span: str = "span"):
 
 
 def _anchored():
-    """Rows (row, own, text, n_bytes, node, runs): a key and all runs of each text, but for texts that the task has met before."""
+    """Rows (row, n_bytes, node, runs): size, a key and all runs of each text (row, text), but no runs of texts that the task has met before."""
     run_type = pa.struct([(c, pa.int64()) for c in ("anchor", "span", "hi", "lo")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 33
         met, earlier = set(), set()
         for batch in batches:
             data, offsets = utf8_column(batch.column("text"))
@@ -170,9 +169,7 @@ def _anchored():
             columns = [pa.array(h.view(np.int64)), pa.array(packed(low, end - low, place - low)), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
             bounds = np.concatenate([[0], np.cumsum([len(p[1]) for p in parts])]).astype(np.int32)
             runs = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(columns, fields=list(run_type)))
-            row = pa.array(np.arange(at, at + batch.num_rows))
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([row, batch.column("own"), batch.column("text"), pa.array(np.diff(offsets)), pa.array(nodes, pa.binary()), runs], names=["row", "own", "text", "n_bytes", "node", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(offsets)), pa.array(nodes, pa.binary()), runs], names=["row", "n_bytes", "node", "runs"])
 
     return run
 
@@ -362,21 +359,22 @@ def merged_spans(units: DataFrame, scratch: Scratch, part: int = PART) -> DataFr
     return scratch.write(mapped(owners, _spans_of_entries, "row long, start int, end int"), "window-spans")
 
 
-def repeated_spans(texts: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
-    """(row, start, end), as they come and overlapping, that together cover every repeated window of texts (row, text, node, runs).
+def repeated_spans(texts: DataFrame, anchored: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
+    """(row, start, end), as they come and overlapping, that together cover every repeated window of texts (row, text).
 
-    Texts of one node are the same text and count once.
+    `anchored` (row, node, runs) is the scratch's table of that name and goes once it is read. Texts of one node are the same text and count once.
     """
-    runs = texts.select("row", "node", F.explode("runs").alias("run")).select("row", "run.*", F.xxhash64("node", "run.span").alias("place"))
+    runs = anchored.select("row", "node", F.explode("runs").alias("run")).select("row", "run.*", F.xxhash64("node", "run.span").alias("place"))
     elsewhere = F.min("place") != F.max("place")  # equal texts have equal places
     twice = scratch.write(runs.groupBy("anchor").agg(elsewhere.alias("twice")).where("twice").select("anchor"), "anchors")
     listed = scratch.write(runs.join(twice, "anchor").withColumn("heavy", F.lit(False)), "listed")
+    scratch.drop("anchored", "anchors")
     repeated, open_ = narrow(scratch, listed, "anchor", F.when(elsewhere, 2).otherwise(1), "runs")
     low, size, at = unpacked()
     spans = repeated.select("row", low.alias("start"), (low + size).alias("end"))
     per_text = open_.groupBy("row").agg(F.collect_list(F.struct(low.alias("low"), size.alias("size"), at.alias("at"), "heavy")).alias("runs"))
     units = scratch.write(mapped(texts.select("row", "text").join(per_text, "row"), _cut_texts, UNITS), "units")
-    scratch.drop("listed", "runs-kinds", "anchors")
+    scratch.drop("listed", "runs-kinds")
     before = "units"
     for step in STEPS:
         name = f"steps-{step}"
@@ -408,14 +406,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     own = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("own")
     source = docs.select(own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     kind = source.schema["own"].dataType.simpleString()
-    schema = f"row long, own {kind}, text string, n_bytes long, node binary, runs array<struct<anchor:long,span:long,hi:long,lo:long>>"
-    texts = scratch.write(mapped(source, _anchored(), schema), "texts")
-    spans = repeated_spans(texts, scratch, part)
-    cuts = scratch.write(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "cuts")
-    long_ = texts.where(f"n_bytes >= {LENGTH}").select("row", "node")
+    texts = scratch.write(source.withColumn("row", F.monotonically_increasing_id()), "texts")  # once written, a row's key stays
+    schema = "row long, n_bytes long, node binary, runs array<struct<anchor:long,span:long,hi:long,lo:long>>"
+    anchored = scratch.write(mapped(texts.select("row", "text"), _anchored(), schema), "anchored")
+    long_ = anchored.where(f"n_bytes >= {LENGTH}").select("row", "node")
     copies = scratch.write(long_.groupBy("node").agg(F.count("*").alias("copies")).where("copies > 1").select("node"), "copies")
     gone = scratch.write(long_.join(copies, "node").select("row", F.lit(True).alias("gone")), "gone")
-    scratch.drop("units-4", "transforms", "intervals")
+    spans = repeated_spans(texts, anchored, scratch, part)
+    cuts = scratch.write(spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "cuts")
+    scratch.drop(f"units-{STEPS[-1]}", "transforms", "intervals", "window-spans", "runs-repeated", *(f"steps-{n}-repeated" for n in STEPS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

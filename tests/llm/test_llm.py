@@ -121,6 +121,7 @@ def test_exact_dedup_and_index(spark):
     for i, t in rows:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
     assert got == {(i, min(g), len(g), i == min(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
     index = DigestIndex(spark, f"index_{uuid.uuid4().hex[:8]}")
     exact_dedup(frame(spark, [(5, "old"), (6, "both")]), index).count()
     second = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup(frame(spark, [(1, "both"), (2, "new")]), index).collect()}
@@ -465,7 +466,8 @@ def test_pipeline_on_small_documents(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(kept[3])
 
 
-def test_pipeline_keeps_rows_apart(spark, tmp_path):
+@pytest.mark.parametrize("source", ["memory", "files"])
+def test_pipeline_keeps_rows_apart(spark, tmp_path, source):
     """Nulls, repeated rows and ids, empty and very long texts, an empty table, clashing names: each stage against brute force."""
     import corpus_pipeline
 
@@ -481,7 +483,8 @@ def test_pipeline_keeps_rows_apart(spark, tmp_path):
     rows += [(7, near + " end"), (6, near), (None, near + " other"), (8, long_), (9, long_ + " tail"), (10, prose(40) + " " + shared), (10, prose(40) + " " + shared), (11, "a"), (12, "b")]
     names = "doc_id long, text string, lang string, source string, n_chars long, row_key string, own int, node int, keep_id int, component_id int"
     every = spark.createDataFrame([(*r, "en", "s", 1, f"k{i}", i, 1, 2, 3) for i, r in enumerate(rows)], names)
-    docs = every.repartition(3)
+    every.repartition(3).write.parquet(f"{tmp_path}/rows")
+    docs = every.repartition(3) if source == "memory" else spark.read.parquet(f"{tmp_path}/rows")
 
     def result(stage, docs):
         out = stage(spark, docs, str(tmp_path))
