@@ -4,13 +4,14 @@ STAGES lists (name, function) in order. Each function takes (spark, docs, sf_dir
 DataFrame; all but the last return the columns of documents, of any names. Null texts count as empty throughout, texts may be of any length, and an empty
 table passes through.
 
-A row is told from others by a key that the stage gives it when it writes its input to the shared folder, never by doc_id: rows without an id and
+A row is told from others by a key of its own, never by doc_id: rows without an id and
 rows that repeat one are rows like any other, and no stage makes one row into two.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +35,26 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def with_row_key(spark: SparkSession, docs: DataFrame, stage: str) -> tuple[DataFrame, str]:
-    """Rows with a key of their own, and its name; written, so that the key stays the same however often a task runs again."""
+def with_row_key(spark: SparkSession, docs: DataFrame, stage: str) -> tuple[DataFrame, str, str]:
+    """Rows with a key of their own and an order: by doc_id (nulls last), then by key; and the names of the two.
+
+    The key of a row of Parquet files is its file and its place there. Rows from elsewhere are written with a number first, so
+    that the key stays the same however often a task runs again.
+    """
     key = unused("row_key", docs.columns)
-    return Scratch(spark, f"rows-{stage}").write(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+    order = unused("row_order", docs.columns)
+    try:
+        rows = docs.select("*", F.struct(F.unhex(F.md5("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row")).alias(key))
+    except AnalysisException:
+        rows = Scratch(spark, f"rows-{stage}").write(docs.withColumn(key, F.struct(F.monotonically_increasing_id().alias("row"))), "rows")
+    return rows.withColumn(order, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", f"{key}.*")), key, order
 
 
-def first_of_each(docs: DataFrame, key: str, groups: DataFrame, group: str) -> DataFrame:
-    """Of the rows of each group, told by groups (key, group), the one with the smallest doc_id, then the smallest key; nulls come last."""
-    ids = docs.select(key, "doc_id").join(groups.select(key, group), key)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("own"))
-    stay = ids.groupBy(group).agg(F.min(order).alias("least")).select(F.col("least.own").alias(key))
-    return docs.join(stay, key, "left_semi").drop(key)
+def first_of_each(docs: DataFrame, key: str, order: str, verdicts: DataFrame, first: str) -> DataFrame:
+    """The rows that come first in their group: verdicts have every row's place in the order, and that of its group's first row."""
+    stay = verdicts.where(F.col(order) == F.col(first)).select(*(F.col(f"{order}.{c}") for c in docs.schema[key].dataType.names))
+    same = [docs[f"{key}.{c}"] == stay[c] for c in stay.columns]
+    return docs.join(stay, same, "left_semi").drop(key, order)
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +71,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows that repeat an id and a text are copies too, so one of them stays; a row without an id stays unless its text has one with an id; empty and null
     texts are equal to each other.
     """
-    rows, key = with_row_key(spark, docs, "exact")
-    return first_of_each(rows, key, exact_dedup(rows, id_col=key).select(key, "keep_id"), "keep_id")
+    rows, key, order = with_row_key(spark, docs, "exact")
+    return first_of_each(rows, key, order, exact_dedup(rows, id_col=order), "keep_id")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +80,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without words link with nothing and stay, each of them; ids as in drop_exact_copies.
     """
-    rows, key = with_row_key(spark, docs, "near")
-    return first_of_each(rows, key, jaccard_components(rows, words=WORDS, percent=SIMILARITY, id_col=key).select(key, "component_id"), "component_id")
+    rows, key, order = with_row_key(spark, docs, "near")
+    return first_of_each(rows, key, order, jaccard_components(rows, words=WORDS, percent=SIMILARITY, id_col=order), "component_id")
 
 
 def _decoded(place: int):
