@@ -9,12 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.common import Scratch, connected_components
+from episodica.llm.common import Scratch, connected_components, mapped
 
 #: Distinct vectors in one side of a tile, on average.
 TILE = 1024
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: exact, and no norm over- or underflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Int8 values, scale and the norm of what rounding left out, of each row of a matrix of unit vectors.
 
@@ -33,6 +38,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> tuple[
     and v = tr + f. Only pairs which that bound lets reach the threshold are computed again in double precision. The products of
     int8 values are summed exactly: they stay under 2**24 in float32 up to 1040 dimensions, above that float64 is used.
     """
+    a, b = scaled(a), scaled(b)
     ua, ub = a / np.linalg.norm(a, axis=1)[:, None], b / np.linalg.norm(b, axis=1)[:, None]
     (q, s, e), (r, t, f) = quantised(ua), quantised(ub)
     kind = np.float32 if a.shape[1] <= 1040 else np.float64
@@ -89,6 +95,51 @@ def _tiles(least: float):
     return run
 
 
+def may_link(q: np.ndarray, s: np.ndarray, e: np.ndarray, r: np.ndarray, t: np.ndarray, f: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the rows of two int8 tiles that the bound of tile_links lets link with any row of the other; of one tile with itself, with another row."""
+    kind = np.float32 if q.shape[1] <= 1040 else np.float64
+    whole_q, whole_r = np.linalg.norm(q * s[:, None], axis=1), np.linalg.norm(r * t[:, None], axis=1)
+    here, there = np.zeros(len(q), bool), np.zeros(len(r), bool)
+    for i in range(0, len(q), 256):
+        part = slice(i, i + 256)
+        near = (q[part].astype(kind) @ r.T.astype(kind)).astype(np.float64) * s[part, None] * t[None, :]
+        near += whole_q[part, None] * f[None, :] + e[part, None] * (whole_r + f)[None, :]
+        may = near + 1e-9 >= least
+        if same:
+            may[np.arange(len(may)), i + np.arange(len(may))] = False
+        here[part] |= may.any(axis=1)
+        there |= may.any(axis=0)
+    return here, there
+
+
+def _screened(least: float):
+    """Ids of the vectors of pairs of int8 blocks that may have a link there."""
+
+    def side(row: dict, prefix: str) -> tuple[np.ndarray, ...]:
+        ids, scale, left = (np.frombuffer(row[prefix + c], k) for c, k in (("ids", "<i8"), ("scale", "<f8"), ("error", "<f8")))
+        return ids, np.frombuffer(row[prefix + "q"], np.int8).reshape(len(ids), -1), scale, left
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (ids, *a), (other, *b) = side(row, ""), side(row, "other_")
+                here, there = may_link(*a, *b, least, row["block"] == row["other_block"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([ids[here], other[there]])))], names=["id"])
+
+    return run
+
+
+def _packed_int8(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in groups:
+        columns: list[list] = [[], [], [], []]
+        for rows in batch.column(2).to_pylist():
+            vectors = scaled(np.array([r["vector"] for r in rows], "<f8"))
+            q, scale, left = quantised(vectors / np.linalg.norm(vectors, axis=1)[:, None])
+            for c, x in zip(columns, (np.array([r["id"] for r in rows], "<i8"), q, scale.astype("<f8"), left.astype("<f8")), strict=True):
+                c.append(np.ascontiguousarray(x).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in columns)], names=["label", "block", "ids", "q", "scale", "error"])
+
+
 def _packed(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in groups:
         sides = batch.column(2).to_pylist()
@@ -103,31 +154,38 @@ def embedding_near_dedup(vectors: DataFrame, least: float = 0.98, id_col: str =
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with
     nothing; so do vectors of different length. Equal vectors are collapsed first, and their copies counted; the distinct
-    vectors of a label are dealt by hash into blocks of about `tile`, and every pair of blocks is one small task whose output is
-    linear in its rows (a spanning forest and sums), never a list of pairs. Ids are taken to be unique; repeated rows link as
-    copies do. Other columns are dropped; an empty table gives no rows. The work in a label is quadratic, as its
+    vectors of a label are dealt by hash into blocks of about `tile`, and every pair of blocks is one small task. First the blocks meet as int8 with their
+    error norms, an eighth of the bytes, to find the vectors that may link at all; only those meet again in double precision, with output
+    linear in their rows (a spanning forest and sums), never a list of pairs. Vectors are scaled by powers of two, so norms of any size are right. Rows have keys of their own: those that repeat an id or a vector link as
+    copies do, and a null id takes its component's smallest id, or null where nothing else has one. Other columns are dropped; an empty table gives no rows. The work in a label is quadratic, as its
     definition is: tiles make it dense arithmetic that spreads over the cluster.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("own"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = scratch.write(rows.withColumn("id", F.monotonically_increasing_id()), "rows")  # once written, a row's key stays
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = rows.where(F.col("label").isNotNull() & F.col("vector").isNotNull() & finite).withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(x)))
     grouped = scratch.write(usable.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "distinct")
-    counts = grouped.groupBy("label", F.size("vector").alias("width")).agg(F.ceil(F.count("*") / tile).alias("blocks"))
-    dealt = grouped.withColumn("width", F.size("vector")).join(counts, ["label", "width"])
-    blocks = (
-        dealt.withColumn("block", F.struct("width", F.pmod(F.xxhash64("id"), "blocks").alias("part")))
-        .groupBy("label", "block")
-        .agg(F.collect_list(F.struct("id", "copies", "vector")).alias("rows"))
-        .select("label", "block", "rows")
-    )
     kind = vectors.schema[label].dataType.simpleString()
-    packed = scratch.write(blocks.mapInArrow(_packed, f"label {kind}, block struct<width:int,part:long>, ids binary, copies binary, vectors binary"), "blocks")
-    other = packed.select("label", *(F.col(c).alias(f"other_{c}") for c in ("block", "ids", "copies", "vectors")))
-    pairs = packed.join(other, "label").where("block.width = other_block.width AND block.part <= other_block.part")
-    pairs = pairs.repartition(F.xxhash64("label", "block", "other_block")).drop("label")
-    links = scratch.write(pairs.mapInArrow(_tiles(least), "a long, b long, n long"), "links")
+
+    def met(distinct: DataFrame, pack, columns: dict[str, str], work, schema: str, name: str) -> DataFrame:
+        """What work makes of every pair of packed blocks of a label and width."""
+        counts = distinct.groupBy("label", F.size("vector").alias("width")).agg(F.ceil(F.count("*") / tile).alias("blocks"))
+        dealt = distinct.withColumn("width", F.size("vector")).join(counts, ["label", "width"])
+        blocks = dealt.withColumn("block", F.struct("width", F.pmod(F.xxhash64("id"), "blocks").alias("part"))).groupBy("label", "block")
+        blocks = blocks.agg(F.collect_list(F.struct("id", "copies", "vector")).alias("rows")).select("label", "block", "rows")
+        fields = ", ".join(f"{c} {k}" for c, k in columns.items())
+        packed = scratch.write(mapped(blocks, pack, f"label {kind}, block struct<width:int,part:long>, {fields}"), f"{name}-blocks")
+        other = packed.select("label", *(F.col(c).alias(f"other_{c}") for c in ("block", *columns)))
+        pairs = packed.join(other, "label").where("block.width = other_block.width AND block.part <= other_block.part")
+        pairs = pairs.repartition(F.xxhash64("label", "block", "other_block")).drop("label")
+        return scratch.write(mapped(pairs, work, schema), name)
+
+    binary = dict.fromkeys(("ids", "q", "scale", "error"), "binary")
+    active = met(grouped, _packed_int8, binary, _screened(least), "id long", "screened").distinct()
+    near = scratch.write(grouped.join(active, "id"), "active")
+    links = met(near, _packed, dict.fromkeys(("ids", "copies", "vectors"), "binary"), _tiles(least), "a long, b long, n long", "links")
     components = connected_components(spark, links.select("a", "b"), scratch)
     found = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     members = usable.select(F.col("id"), "label", "vector")
@@ -135,10 +193,8 @@ def embedding_near_dedup(vectors: DataFrame, least: float = 0.98, id_col: str =
     classes = classes.join(found, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     classes = scratch.write(classes.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classes")
     linked = scratch.write(members.join(classes, ["label", "vector"]).select("id", "n_links", "component_id"), "linked")
-    whole = rows.select("id").join(linked, "id", "left")
-    whole = whole.select(
-        F.col("id").alias(id_col),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-    )
-    return whole.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    whole = rows.select("id", "own").join(linked, "id", "left")
+    whole = scratch.write(whole.select("own", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component")), "whole")
+    least = scratch.write(whole.groupBy("component").agg(F.min("own").alias("component_id")), "least")
+    answer = whole.join(least, "component").select(F.col("own").alias(id_col), "n_links", "component_id")
+    return answer.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -39,10 +39,10 @@ class WordEncoder:
     The normaliser composes and lower-cases characters and every pre-token lies within a word, so the ids of a text are those
     of its words in turn. A comma or full stop after a Latin letter is a pre-token of its own, and words in Latin-1 may be lower-cased first, so
     a new word often has a known stem; a plain stem goes to the library's merges alone, any other word to the whole of it. At most
-    `cache` words are remembered in each of two generations, of which the older goes when the younger is full: 20 MB each at most.
+    `cache` words are remembered in each of two generations, of which the older goes when the younger is full: 50 MB each at most, given back when another operator's task comes.
     """
 
-    def __init__(self, path: str, cache: int = 1 << 16):
+    def __init__(self, path: str, cache: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ class ShardStore:
     """A table kept as Parquet shards in a folder.
 
     append() writes arrivals as small shards; compact() merges runs of similar size into files of about target_bytes. A manifest
-    lists the live shards; each change is a new manifest, made under a temporary name and renamed to its version number, which
-    fails when another writer has taken that version. Readers follow one manifest, so they never see half a change; shards that no
+    lists the live shards; each change is a new manifest. A writer first claims the version's number by creating a file that must not exist
+    yet, which only one can, then renames the finished manifest to it; a claim without a manifest is a writer at work, or one that died: abandon() frees
+    it. Readers follow one manifest, so they never see half a change, and what a merge replaces stays until vacuum(); shards that no
     manifest lists (from lost or failed writers) are never read. The driver holds the list of shards, never their rows.
     """
 
@@ -61,14 +64,55 @@ class ShardStore:
         new = base + 1
         temporary = self._path(f"{self.folder}/manifests/.{new}-{uuid.uuid4().hex}")
         final = self._path(f"{self.folder}/manifests/{new:012d}.json")
+        if self._fs.exists(final) or not self._claim(new):
+            raise RuntimeError(f"version {new} was taken by another writer; read the manifest again and retry")
         out = self._fs.create(temporary, False)
         out.write(bytearray(json.dumps({"version": new, "change": what, "shards": [asdict(s) for s in shards]}).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
-            self._fs.delete(temporary, False)
-            raise RuntimeError(f"version {new} was committed by another writer; read the manifest again and retry")
+        if not self._fs.rename(temporary, final):
+            raise RuntimeError(f"version {new} could not be committed")
         return new
 
+    def _claim(self, version: int) -> bool:
+        """Takes a version's number; of writers that try, one succeeds."""
+        claim = self._path(f"{self.folder}/manifests/.claim-{version:012d}")
+        if self._fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then
+            try:
+                os.close(os.open(claim.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            self._fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def abandon(self) -> bool:
+        """Frees the next version's number from a writer that is known to have died."""
+        return self._fs.delete(self._path(f"{self.folder}/manifests/.claim-{self.version() + 1:012d}"), False)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes the shards and manifests that only versions before the newest `keep` need, once no reader uses those; returns how many shards went."""
+        newest = self.version()
+        live = {s.path for v in range(max(1, newest - keep + 1), newest + 1) for s in self.shards(v)}
+        old: dict[str, None] = {}
+        for v in range(newest - keep, 0, -1):
+            manifest = self._path(f"{self.folder}/manifests/{v:012d}.json")
+            if not self._fs.exists(manifest):  # an earlier call was here
+                break
+            old |= dict.fromkeys(s.path for s in self.shards(v) if s.path not in live)
+        for path in old:
+            self._fs.delete(self._path(f"{self.folder}/{path}"), False)
+        for v in range(newest - keep, 0, -1):
+            manifest = self._path(f"{self.folder}/manifests/{v:012d}.json")
+            if not self._fs.exists(manifest):
+                break
+            self._fs.delete(manifest, False)
+        return len(old)
+
     def _write(self, rows: DataFrame, version: int) -> list[Shard]:
         """Writes rows and returns its non-empty files with exact row counts."""
         name = f"data/{version:012d}-{uuid.uuid4().hex[:12]}"
@@ -117,7 +161,7 @@ class ShardStore:
         return [g for g in groups if len(g) > 1]
 
     def compact(self, everything: bool = False) -> int:
-        """One round of merges; the old shards go once the new manifest stands.
+        """One round of merges; the old shards stay for readers of earlier versions until vacuum().
 
         A group is read by one task and makes one file, and up to 64 groups share a job.
         """
@@ -132,10 +176,7 @@ class ShardStore:
         gone = {s.path for g in groups for s in g}
         if sum(s.rows for s in merged) != sum(s.rows for g in groups for s in g):
             raise RuntimeError("a merge has lost rows; the manifest stays as it was")
-        new = self._commit(base, [s for s in self.shards(base) if s.path not in gone] + merged, "compact")
-        for path in gone:
-            self._fs.delete(self._path(f"{self.folder}/{path}"), False)
-        return new
+        return self._commit(base, [s for s in self.shards(base) if s.path not in gone] + merged, "compact")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of one version; an empty store has no schema and is an error."""
@@ -155,5 +196,7 @@ def shard_documents(docs: DataFrame, arrivals: int = 4, id_col: str = "doc_id",
     for i in range(arrivals):
         store.append(docs.where(turn == i))
         store.compact()
+        store.vacuum()
     store.compact(everything=True)
+    store.vacuum()
     return store, store.read() if store.shards() else docs.limit(0)

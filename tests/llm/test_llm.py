@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import threading
 import uuid
 import zlib
 from collections import Counter
@@ -269,14 +270,19 @@ def test_embedding_near_dedup(spark):
     centres = rng.normal(size=(12, 64))
     rows = [(i, (centres[i % 12] + rng.normal(scale=rng.choice([0.05, 0.14, 1]), size=64)).tolist(), int(i % 3)) for i in range(240)]
     rows += [(300 + i, rows[i][1], rows[i][2]) for i in range(5)]
+    rows += [(500, [1e200, 0.0], 1), (501, [2e200, 1e190], 1), (502, [1e-200, 0.0], 1), (503, [2e-200, 0.0], 1), (504, [5e-324, 0.0], 2), (505, [1e308, 1e307], 2), (506, [1e308, -1e308], 2)]
+    rows += [(600, rows[3][1], 0), (600, rows[3][1], 0), (None, rows[3][1], 0)]
     rows += [(400, None, 1), (401, [0.0] * 64, 1), (402, [float("nan")] * 64, 1), (403, [1.0] * 64, None), (404, [1.0], 1), (405, [1.0], 1), (406, [None, 1.0], 1), (407, [], 1)]
-    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, id string")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_near_dedup(table, 0.98, tile=16).collect()}
-    vectors = {i: np.array(v, np.float32).astype(float) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and any(v)}
-    labels = {i: y for i, _, y in rows}
-    linked = [(a, b) for a, b in combinations(vectors, 2) if labels[a] == labels[b] and len(vectors[a]) == len(vectors[b]) and vectors[a] @ vectors[b] >= 0.98 * np.linalg.norm(vectors[a]) * np.linalg.norm(vectors[b])]
-    links, roots = Counter(x for p in linked for x in p), components(labels, linked)
-    assert got == {i: (links[i], roots[i], roots[i] == i) for i in labels} and len(linked) > 100
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, id string")
+    answers = [tuple(r) for r in embedding_near_dedup(table, 0.98, tile=16).collect()]
+    plain = [(n, i, np.array(v, float), y) for n, (i, v, y) in enumerate(rows) if v and y is not None and None not in v and np.isfinite(v).all() and any(v)]
+    unit = {n: (w := np.ldexp(v, -np.frexp(np.abs(v).max())[1])) / np.linalg.norm(w) for n, _, v, _ in plain}
+    linked = [(a, b) for (a, _, v, x), (b, _, w, y) in combinations(plain, 2) if x == y and len(v) == len(w) and unit[a] @ unit[b] >= 0.98]
+    links, roots = Counter(x for p in linked for x in p), components(range(len(rows)), linked)
+    least = {}
+    for n, (i, _, _) in enumerate(rows):
+        least[roots[n]] = min(filter(lambda x: x is not None, (least.get(roots[n]), i)), default=None)
+    assert sorted(answers, key=str) == sorted(((i, links[n], least[roots[n]], i == least[roots[n]]) for n, (i, _, _) in enumerate(rows)), key=str) and len(linked) > 100
     assert embedding_near_dedup(table.limit(0)).count() == 0
 
 
@@ -438,6 +444,24 @@ def test_sharding(spark):
     again = ShardStore(spark, store.folder, target_bytes=1 << 20)
     again.append(docs.limit(3))
     assert again.read().count() == docs.count() + 3 and store.read(store.version() - 1).count() == docs.count()
+    again.append(docs.limit(2))
+    before = again.version()
+    again.compact(everything=True)
+    assert again.read(before).count() == again.read().count() == docs.count() + 5  # an earlier version can be read until it goes
+    assert again.vacuum() == 3 and again.read().count() == docs.count() + 5 and again.vacuum() == 0
+    shards, base, ended = again.shards(), again.version(), []
+
+    def commit():
+        try:
+            ended.append(ShardStore(spark, store.folder)._commit(base, shards, "race"))
+        except RuntimeError:
+            ended.append(None)
+
+    racers = [threading.Thread(target=commit) for _ in range(4)]
+    [t.start() for t in racers]
+    [t.join() for t in racers]
+    assert sorted(ended, key=str) == [base + 1, None, None, None] and again.version() == base + 1
+    assert again._claim(base + 2) and not again._claim(base + 2) and again.abandon() and again._claim(base + 2)
     assert shard_documents(docs.limit(0))[1].count() == 0
 
 
