@@ -71,7 +71,7 @@ SQL: dict[str, str] = {
     "repack": "SELECT event_id, value AS state, event_type AS prompt FROM events",
     "action_chunks_clamped": f"WITH {F}, {CHUNKS} SELECT event_id, " + ", ".join(f"max(v) FILTER (h = {i}) AS c{i}" for i in range(5)) + " FROM ch GROUP BY event_id",
     "valid_start_frames": f"WITH {SHORT} SELECT ep, j FROM g WHERE j <= n - 4",
-    "frames_of_episodes": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0) GROUP BY 1",
+    "frames_of_episodes": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000) GROUP BY 1",
     "task_filter": f"WITH {F}, {FIRST} SELECT ep, task FROM first WHERE contains(lower(task), 'c') AND regexp_matches(task, '[kr]$')",
     "include_index_semijoin": "SELECT o_orderkey AS ep, count(*) AS n, min(o_custkey) AS pos FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1",
     "unknown_ids_antijoin": "SELECT o_orderkey AS ep FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
@@ -103,7 +103,7 @@ SQL: dict[str, str] = {
     "discretize_state": f"WITH {F} SELECT event_id, {LEVELS[0]} AS level, {LEVELS[1]} AS other FROM f",
     "lr_schedule": """SELECT event_id AS step, round(1e6 * CASE WHEN event_id < 400 THEN 2.5e-5 / 401 + (2.5e-5 - 2.5e-5 / 401) * event_id / 400
         ELSE 2.5e-6 + (2.5e-5 - 2.5e-6) * 0.5 * (1 + cos(pi() * least(1, (event_id - 400) / 7600.0::DOUBLE))) END, 9) AS rate FROM events""",
-    "adam_momenta": """WITH m AS (SELECT event_id AS step, 0.9::DOUBLE * least(1.0, 0.85::DOUBLE + 0.15::DOUBLE * event_id / 25) AS b1 FROM events WHERE event_id < 40)
+    "adam_momenta": """WITH m AS (SELECT event_id AS step, 0.9::DOUBLE * least(1.0, 0.85::DOUBLE + 0.15::DOUBLE * event_id / 25) AS b1 FROM events)
         SELECT step, round(b1, 9) AS b1, round(1 - (1 - b1) / 2, 9) AS b2 FROM m""",
     "clean_prompt": "SELECT p_partkey, p_name AS prompt FROM part",
     "task_to_prompt": r"""WITH n AS (SELECT p_partkey, p_size % 12 AS s, replace(p_name, ' ', '_') AS t FROM part),
@@ -142,7 +142,7 @@ SQL: dict[str, str] = {
     "select_percentile": f"""WITH {SCORES}, o AS (SELECT ep, round(score, 9) AS score FROM sc WHERE iter = 0),
         p AS (SELECT quantile_cont(score, 0.2) AS low, quantile_cont(score, 0.8) AS high FROM o WHERE score <> 0)
         SELECT ep FROM o, p WHERE score <= low OR (ep % 2 = 0 AND NOT score >= high)""",
-    "scores_dense": f"""WITH {SCORES}, o AS (SELECT ep, avg(score) AS score FROM sc WHERE score <> 0 AND ep % 3 = 0 GROUP BY ep)
+    "scores_dense": f"""WITH {SCORES}, o AS (SELECT ep, avg(score) AS score FROM sc WHERE score <> 0 GROUP BY ep)
         SELECT i AS ep, round(coalesce(score, 0), 6) AS score FROM range((SELECT max(ep) + 1 FROM o)) AS t(i) LEFT JOIN o ON ep = i""",
     "score_summary": f"WITH {SCORES} SELECT count(score) AS scored, count(*) FILTER (score <> 0) AS nonzero, round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean, max(abs(score)) = 0 AS all_zero FROM sc",
     "iteration_order": "SELECT 'iter_' || (r_regionkey * 7 % 12) AS name, row_number() OVER (ORDER BY r_regionkey * 7 % 12) AS turn FROM region",
@@ -181,4 +181,10 @@ SQL: dict[str, str] = {
         SELECT 'source' AS split, task, count(*) AS episodes FROM first WHERE ep % 5 <> 0 GROUP BY task UNION ALL SELECT 'target', task, count(*) FROM t GROUP BY task""",
     "stream_moments": "SELECT event_type, count(*) AS rows, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1",
     "stream_distinct": "SELECT event_id, user_id FROM events",
+    "stream_tumbling": "SELECT epoch(date_trunc('day', ts))::BIGINT AS begins, epoch(date_trunc('day', ts))::BIGINT + 86400 AS ends, event_type, count(*) AS rows FROM events GROUP BY ALL",
+    "stream_sessions": """WITH o AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT user_id, t, sum(fresh) OVER (PARTITION BY user_id ORDER BY t) AS session FROM o)
+        SELECT min(t) AS begins, max(t) + 1800000000 AS ends, user_id, count(*) AS rows FROM s GROUP BY user_id, session""",
+    "stream_count_windows": """WITH o AS (SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 50 AS w FROM events)
+        SELECT event_type AS key, w AS window, count(*) AS rows, round(avg(value), 6) AS mean FROM o GROUP BY ALL""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 
 import numpy as np
@@ -9,7 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodica.functions.text import episode_number, natural_key
-from episodica.operators.episodes import episode_ranges, number_frames
+from episodica.operators.episodes import episode_ranges
+
+
+#: Names of score files.
+DENSE, COMPACT = "datamodels.npy", "candidate_scores_compact.npy"
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -20,8 +25,8 @@ def read_text(spark: SparkSession, path: str) -> str:
 def read_frames(spark: SparkSession, root: str) -> DataFrame:
     """All Parquet files below root/data, with file (path), file_index (place in the file) and no decoded cell."""
     frames = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/data")
-    frames = frames.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("__order"))
-    return number_frames(frames, "file", ["__order"], "file_index", "file_rows").drop("__order")
+    frames = frames.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("file_index"))
+    return frames.withColumn("file_rows", F.count(F.lit(1)).over(Window.partitionBy("file")))
 
 
 def discover_episodes(spark: SparkSession, root: str) -> DataFrame:
@@ -43,8 +48,14 @@ def load_tasks(spark: SparkSession, path: str) -> DataFrame:
     """(task_index, task) from JSON lines; of repeated ids the last line holds. Names of either field may differ."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where("trim(value) <> ''")
 
+    entries = F.from_json("value", "map<string,string>")
+
     def field(*names: str) -> Column:
-        return F.coalesce(*(F.get_json_object("value", f"$.{n}") for n in names))
+        """The first of the names that the line has, null or not."""
+        found = F.lit(None).cast("string")
+        for n in reversed(names):
+            found = F.when(F.map_contains_key(entries, F.lit(n)), entries[n]).otherwise(found)
+        return found
 
     rows = lines.select("line", field("task_index", "task_id", "index").cast("long").alias("task_index"), field("task", "name", "prompt").alias("task"))
     return rows.groupBy("task_index").agg(F.max_by("task", "line").alias("task"))
@@ -61,7 +72,10 @@ def load_fps(spark: SparkSession, path: str, default: int = 10) -> int:
 
 
 def load_include_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """(pos, ep) in file order with repeats; None when the file names no list, which stands for everything."""
+    """(pos, ep) in file order with repeats, from JSON or a vector in .npy; None when the file names no list, which stands for everything."""
+    if path.endswith(".npy"):
+        listed = np.load(io.BytesIO(bytes(spark.read.format("binaryFile").load(path).first()["content"]))).reshape(-1)
+        return spark.createDataFrame(list(enumerate(map(int, listed))), "pos long, ep long")
     data = json.loads(read_text(spark, path))
     listed = next((data[k] for k in ("episode_indices", "sample_indices", "indices") if k in data), None)
     return None if listed is None else spark.createDataFrame(list(enumerate(map(int, listed))), "pos long, ep long")
@@ -79,17 +93,17 @@ def load_statistics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_scores(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(iter, ep, score) from .npy files of iteration folders: compact pairs if present, else dense vectors without their zeros."""
-    import io
-
+    """(iter, ep, score) from .npy files of iteration folders: compact pairs if present, else dense vectors without their zeros. A folder with neither is an error."""
     parts = []
     for turn, folder in enumerate(folders):
         files = {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).collect()}
-        if "candidate_scores_compact.npy" in files:
-            pairs = np.load(io.BytesIO(files["candidate_scores_compact.npy"]))
+        if COMPACT in files:
+            pairs = np.load(io.BytesIO(files[COMPACT]))
             parts += [(turn, int(e), float(s)) for e, s in pairs]
-        elif "scores.npy" in files:
-            parts += [(turn, i, float(s)) for i, s in enumerate(np.load(io.BytesIO(files["scores.npy"]))) if s != 0]
+        elif DENSE in files:
+            parts += [(turn, i, float(s)) for i, s in enumerate(np.load(io.BytesIO(files[DENSE]))) if s != 0]
+        else:
+            raise FileNotFoundError(f"{folder} has neither {COMPACT} nor {DENSE}")
     return spark.createDataFrame(parts, "iter int, ep long, score double")
 
 

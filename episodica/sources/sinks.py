@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.sources.files import COMPACT, DENSE
+
 
 def _files(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
+def _replace(spark: SparkSession, temporary, final) -> None:
+    """Renames a file over another one in one step, so that at any moment either the old or the new one is there."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    options[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(final.toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(temporary, final, options)
+
+
 def write_json(spark: SparkSession, path: str, value: object) -> None:
     """A JSON file on any file system: written under a temporary name, then renamed."""
     fs, final = _files(spark, path)
@@ -21,9 +33,7 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
     out = fs.create(temporary, False)
     out.write(bytearray(json.dumps(value, indent=2, default=str).encode()))
     out.close()
-    fs.delete(final, False)
-    if not fs.rename(temporary, final):
-        raise OSError(f"cannot rename {temporary.toString()} to {path}")
+    _replace(spark, temporary, final)
 
 
 def save_include_index(selected: DataFrame, path: str, episode: str = "ep", **more: object) -> list[int]:
@@ -48,6 +58,20 @@ def save_scores(scores: DataFrame, path: str, episode: str = "ep", score: str =
     scores.select(F.col(episode).cast("long").alias(episode), F.col(score).cast("double").alias(score)).orderBy(episode).write.mode("overwrite").parquet(path)
 
 
+def save_score_arrays(scores: DataFrame, folder: str, episodes: int, episode: str = "ep", score: str = "score") -> None:
+    """(episode, score) as a dense vector and as the pairs that are not zero, in the files that load_scores reads; a number per episode reaches the driver."""
+    pairs = np.array(sorted((r[0], r[1]) for r in scores.select(F.col(episode).cast("long"), F.col(score).cast("double")).collect() if r[1]), float).reshape(-1, 2)
+    dense = np.zeros(episodes)
+    dense[pairs[:, 0].astype(int)] = pairs[:, 1]
+    for name, array in ((DENSE, dense), (COMPACT, pairs)):
+        body = io.BytesIO()
+        np.save(body, array)
+        fs, at = _files(scores.sparkSession, f"{folder}/{name}")
+        out = fs.create(at, True)
+        out.write(bytearray(body.getvalue()))
+        out.close()
+
+
 def write_episodes(frames: DataFrame, root: str, episode: str = "ep", order: str = "j", overwrite: bool = False) -> None:
     """One folder per episode below root/data, rows in order; an existing root is refused unless overwritten."""
     sorted_frames = frames.repartition(episode).sortWithinPartitions(episode, order)
@@ -55,7 +79,10 @@ def write_episodes(frames: DataFrame, root: str, episode: str = "ep", order: str
 
 
 def rewrite(df: DataFrame, path: str, backup: str | None = None, apply: bool = False) -> int:
-    """Replaces a Parquet table by df, which may read it: written beside it, then renamed; a backup is made once. Without apply only counts."""
+    """Replaces a Parquet table by df, which may read it: written beside it, then renamed; a backup is made once. Without apply only counts.
+
+    The old table is moved aside before the new one takes its name and deleted last, so a crash never leaves less than one whole table.
+    """
     rows = df.count()
     if not apply:
         return rows
@@ -64,12 +91,15 @@ def rewrite(df: DataFrame, path: str, backup: str | None = None, apply: bool = F
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     df.write.parquet(temporary)
-    if backup and not fs.exists(path_of(backup)):
-        fs.rename(at, path_of(backup))
-    else:
-        fs.delete(at, True)
+    keep = backup is not None and not fs.exists(path_of(backup))
+    aside = path_of(backup if keep else f"{temporary}.old")
+    if not fs.rename(at, aside):
+        raise OSError(f"cannot move {path} aside; {temporary} has the new rows")
     if not fs.rename(path_of(temporary), at):
+        fs.rename(aside, at)
         raise OSError(f"cannot rename {temporary} to {path}")
+    if not keep:
+        fs.delete(aside, True)
     return rows
 
 

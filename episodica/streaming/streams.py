@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ def tumbling_counts(stream: DataFrame, width: str = "1 hour", late: str = "1 hou
 
 
 def session_counts(stream: DataFrame, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Rows per key and session. In append mode a session comes out once the watermark has passed it; complete mode has those that are open too."""
     counted = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("rows"))
     return counted.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "rows")
 
@@ -41,24 +43,34 @@ def distinct_events(stream: DataFrame, key: str, late: str = "1 hour") -> DataFr
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def count_windows(stream: DataFrame, size: int, key: str, value: str = "value") -> DataFrame:
-    """(key, window, rows, mean) for every `size` rows of a key, in arrival order; state is three numbers a key."""
+def count_windows(stream: DataFrame, size: int, key: str, value: str = "value", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """(key, window, rows, mean) for every `size` rows of a key, and for the window that is open when a batch ends; use latest_windows() on what is kept.
+
+    Rows of a micro-batch are folded in the given order, so results don't depend on how a shuffle hands them over; a key's rows of one
+    micro-batch are in memory together, which maxFilesPerTrigger bounds. State is three numbers a key.
+    """
 
     def fold(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         window, rows, total = state.get if state.exists else (0, 0, 0.0)
-        out = []
-        for part in parts:
-            for v in part["value"]:
-                rows, total = rows + 1, total + float(v)
-                if rows == size:
-                    out.append((name[0], window, rows, total / rows))
-                    window, rows, total = window + 1, 0, 0.0
-        state.update((window, rows, total))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "window", "rows", "mean"])
-
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(fold, "key string, window long, rows long, mean double", "window long, rows long, total double", "append", GroupStateTimeout.NoTimeout)
+        own = pd.concat(list(parts))
+        values = own.sort_values([c for c in own.columns if c.startswith("order")], kind="stable")["value"].to_numpy()
+        if not len(values):
+            return
+        place = (rows + np.arange(len(values))) // size
+        counts, sums = np.bincount(place), np.bincount(place, values)
+        counts[0] += rows
+        sums[0] += total
+        last = len(counts) - 1
+        state.update((window + last, int(counts[last]), float(sums[last])) if counts[last] < size else (window + last + 1, 0, 0.0))
+        yield pd.DataFrame({"key": name[0], "window": window + np.arange(last + 1), "rows": counts, "mean": sums / counts})
+
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"), *(F.col(c).alias(f"order{i}") for i, c in enumerate(order)))
+    return rows.groupBy("key").applyInPandasWithState(fold, "key string, window long, rows long, mean double", "window long, rows long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+def latest_windows(kept: DataFrame) -> DataFrame:
+    """Of the states of each window that count_windows left, the last: the one with the most rows."""
+    return kept.groupBy("key", "window").agg(F.max("rows").alias("rows"), F.max_by("mean", "rows").alias("mean"))
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

@@ -76,3 +76,33 @@ def test_training_data(spark):
     first = frames.where("j = 0").select("ep", (F.col("ep") % 2).alias("task"))
     counts = {tuple(r)[:2]: r["count"] for r in W.split(first, "ep >= 4", 1, 42).groupBy("split", "task").count().collect()}
     assert counts == {("source", 0): 2, ("source", 1): 2, ("target", 0): 1, ("target", 1): 1}
+
+
+def test_score_arrays_and_index_vectors(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    from episodica.sources.files import load_include_index, load_scores, load_tasks
+    from episodica.sources.sinks import rewrite, save_score_arrays, write_json
+
+    scores = spark.createDataFrame([(3, -0.5), (0, 0.25), (7, 0.0), (5, None)], "ep long, score double")
+    save_score_arrays(scores, f"{tmp_path}/iter_0", 9)
+    dense = np.load(f"{tmp_path}/iter_0/datamodels.npy")
+    assert dense.tolist() == [0.25, 0, 0, -0.5, 0, 0, 0, 0, 0]
+    assert sorted(map(tuple, load_scores(spark, [f"{tmp_path}/iter_0"]).collect())) == [(0, 0, 0.25), (0, 3, -0.5)]
+    (tmp_path / "other").mkdir()
+    np.save(tmp_path / "other" / "strange.npy", dense)
+    with pytest.raises(FileNotFoundError):
+        load_scores(spark, [f"{tmp_path}/other"])
+    np.save(tmp_path / "index.npy", np.array([4, 2, 4]))
+    assert [tuple(r) for r in load_include_index(spark, f"{tmp_path}/index.npy").orderBy("pos").collect()] == [(0, 4), (1, 2), (2, 4)]
+    (tmp_path / "tasks.jsonl").write_text('{"task_index": 1, "task": null, "name": "not this"}\n{"index": 2, "name": "second"}\n')
+    assert sorted(map(tuple, load_tasks(spark, f"{tmp_path}/tasks.jsonl").collect())) == [(1, None), (2, "second")]
+    for value in (1, 2):
+        write_json(spark, f"{tmp_path}/x.json", value)
+    assert (tmp_path / "x.json").read_text() == "2" and not list(tmp_path.glob("*.tmp"))
+    scores.write.parquet(f"{tmp_path}/t")
+    for _ in range(2):
+        assert rewrite(spark.read.parquet(f"{tmp_path}/t").limit(2), f"{tmp_path}/t", backup=f"{tmp_path}/backup", apply=True) == 2
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2 and spark.read.parquet(f"{tmp_path}/backup").count() == 4
+    assert sorted(p.name for p in tmp_path.iterdir() if "tmp" in p.name) == []
