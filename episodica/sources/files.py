@@ -15,6 +15,8 @@ from episodica.operators.episodes import episode_ranges
 
 #: Names of score files.
 DENSE, COMPACT = "datamodels.npy", "candidate_scores_compact.npy"
+#: The name that save_score_arrays does not write, but that dense vectors may have as well.
+DENSE_TOO = "scores.npy"
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -100,8 +102,8 @@ def load_scores(spark: SparkSession, folders: list[str]) -> DataFrame:
         if COMPACT in files:
             pairs = np.load(io.BytesIO(files[COMPACT]))
             parts += [(turn, int(e), float(s)) for e, s in pairs]
-        elif DENSE in files:
-            parts += [(turn, i, float(s)) for i, s in enumerate(np.load(io.BytesIO(files[DENSE]))) if s != 0]
+        elif dense := files.get(DENSE) or files.get(DENSE_TOO):
+            parts += [(turn, i, float(s)) for i, s in enumerate(np.load(io.BytesIO(dense))) if s != 0]
         else:
             raise FileNotFoundError(f"{folder} has neither {COMPACT} nor {DENSE}")
     return spark.createDataFrame(parts, "iter int, ep long, score double")
