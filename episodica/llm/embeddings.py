@@ -172,6 +172,7 @@ def embedding_near_dedup(vectors: DataFrame, least: float = 0.98, id_col: str =
     def met(distinct: DataFrame, pack, columns: dict[str, str], work, schema: str, name: str) -> DataFrame:
         """What work makes of every pair of packed blocks of a label and width."""
         counts = distinct.groupBy("label", F.size("vector").alias("width")).agg(F.ceil(F.count("*") / tile).alias("blocks"))
+        counts = scratch.write(counts, f"{name}-counts")  # so that the join below has plain exchanges, whose large labels can be split
         dealt = distinct.withColumn("width", F.size("vector")).join(counts, ["label", "width"])
         blocks = dealt.withColumn("block", F.struct("width", F.pmod(F.xxhash64("id"), "blocks").alias("part"))).groupBy("label", "block")
         blocks = blocks.agg(F.collect_list(F.struct("id", "copies", "vector")).alias("rows")).select("label", "block", "rows")
