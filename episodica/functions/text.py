@@ -58,3 +58,14 @@ def state_prompt(text: Column, state: Column) -> Column:
     """A prompt that spells out a discretised state."""
     levels = F.transform(state, lambda x: F.greatest(discretise(x), F.lit(-1).cast("long")).cast("string"))
     return F.concat(F.lit("Task: "), clean_prompt(text), F.lit(", State: "), F.array_join(levels, " "), F.lit(";\nAction: "))
+
+
+def numbered_label(name: str, number: Column, width: int = 2) -> Column:
+    """A name, an underscore and a number with leading zeros; longer numbers are kept."""
+    digits = number.cast("string")
+    return F.concat(F.lit(f"{name}_"), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits))
+
+
+def run_stamp(at: Column) -> Column:
+    """A time in the form that run names carry, to the second."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")

@@ -14,6 +14,11 @@ def bool_mask(*dims: int) -> list[bool]:
     return [d > 0 for d in dims for _ in range(abs(d))]
 
 
+def pad_mask(mask: list[bool], dim: int) -> list[bool]:
+    """A mask of dim flags: false beyond its end, or cut."""
+    return [*mask[:dim], *[False] * (dim - len(mask))]
+
+
 def constants(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
@@ -70,11 +75,18 @@ def gripper_from_unit(action: Column, width: int = 7) -> Column:
     return F.concat(F.slice(own, F.lit(1), F.size(own) - 1), F.array(1 - 2 * F.element_at(own, -1)))
 
 
-def state_vector(position: Column, orientation: Column, gripper: Column) -> Column:
-    """Position, orientation, a zero, and the gripper's first component."""
+def state_vector(position: Column, orientation: Column, gripper: Column, whole_gripper: bool = False) -> Column:
+    """Position, orientation, a zero, and the gripper's first component; or position, orientation and all of the gripper."""
+    if whole_gripper:
+        return F.concat(position, orientation, gripper)
     return F.concat(position, orientation, F.array(F.lit(0.0)), F.slice(gripper, 1, 1))
 
 
+def first_long(x: Column) -> Column:
+    """The first element of an array as an integer, null where there is none."""
+    return F.get(x, F.lit(0)).cast("long")
+
+
 def axis_angle(x: Column, y: Column, z: Column, w: Column) -> Column:
     """Rotation vector of a quaternion; w is clipped to [-1, 1], and no rotation gives zeros."""
     c = F.greatest(F.least(w, F.lit(1.0)), F.lit(-1.0))

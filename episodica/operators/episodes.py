@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.operators.ranks import running_total
+
+#: Ids of an episode range that share a part of a running total.
+IDS = 1 << 16
+
 
 def first_column(df: DataFrame, *names: str) -> str:
     """The first of the names that the table has; an error lists what it has."""
@@ -20,10 +25,20 @@ def number_frames(rows: DataFrame, episode: str, order: list[str | Column], inde
     return rows.withColumn(index, F.row_number().over(within.orderBy(*order)) - 1).withColumn(count, F.count(F.lit(1)).over(within))
 
 
-def episode_ranges(counts: DataFrame, order: Column | str, n: str = "n") -> DataFrame:
-    """Running [start, end) of files or episodes in the given order; the input has a row per episode, so one task may sort it."""
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("end", F.sum(n).over(upto)).withColumn("start", F.col("end") - F.col(n))
+def id_part(rows: DataFrame, key: str) -> Column:
+    """A coarser form of an id for running totals; ids that aren't integers are one part."""
+    return F.floor(F.col(key) / IDS) if dict(rows.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else F.lit(0)
+
+
+def episode_ranges(counts: DataFrame, order: Column | str, n: str = "n", part: Column | None = None) -> DataFrame:
+    """Running [start, end) of files or episodes in the given order.
+
+    Integer ids are summed up in parts of 65,536 ids, other orders in the given parts (a coarser form of the order); without one, a single
+    task sorts a row per file.
+    """
+    if part is None:
+        part = id_part(counts, order) if isinstance(order, str) else F.lit(0)
+    return running_total(counts, part, order, n, "end").withColumn("start", F.col("end") - F.col(n))
 
 
 def locate_frames(indices: DataFrame, ranges: DataFrame, index: str = "i", width: int = 1 << 16) -> DataFrame:
@@ -41,9 +56,10 @@ def first_frame(frames: DataFrame, episode: str, value: str, index: str = "j") -
     return frames.groupBy(episode).agg(F.min_by(value, index).alias(value))
 
 
-def with_task_text(frames: DataFrame, tasks: DataFrame, key: str = "task_index", text: str = "task", default: str = "") -> DataFrame:
-    """Left lookup of the task text with a default; the planner broadcasts tasks when it knows them small."""
-    return frames.join(tasks.select(key, text), key, "left").withColumn(text, F.coalesce(text, F.lit(default)))
+def with_task_text(frames: DataFrame, tasks: DataFrame, key: str = "task_index", text: str = "task", default: str | None = "") -> DataFrame:
+    """Left lookup of the task text with a default (None: an unknown task is an error when its row is computed); the planner broadcasts tasks when it knows them small."""
+    missing = F.raise_error(F.concat(F.lit("no text of task "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string") if default is None else F.lit(default)
+    return frames.join(tasks.select(key, text), key, "left").withColumn(text, F.coalesce(F.col(text), missing))
 
 
 def matches_task(prompt: Column, tasks: list[str] | None = None, contains: str | None = None, regex: str | None = None) -> Column:
@@ -70,6 +86,17 @@ def valid_starts(frames: DataFrame, horizon: int, index: str = "j", count: str =
     return frames.where(F.col(index) <= F.col(count) - horizon)
 
 
+def frames_in_order(frames: DataFrame, listed: DataFrame, episode: str = "ep", index: str = "j", position: str = "pos") -> DataFrame:
+    """(position, and the frames) of listed episodes, once for each time an episode is listed; order by position and index. Unknown ones are an error."""
+    require_known(listed.select(episode), frames.select(episode), episode)
+    return listed.select(position, episode).join(frames, episode)
+
+
+def labelled_subset(frames: DataFrame, wanted: DataFrame, key: str, episode: str = "ep", labelled: bool = True) -> DataFrame:
+    """Frames whose key is wanted, labelled with their episode, or with -1 where labels don't apply."""
+    return frames.join(wanted.select(key), key, "left_semi").withColumn("label", (F.col(episode) if labelled else F.lit(-1)).cast("long"))
+
+
 def chunk_weight(horizon: int, index: str = "j", count: str = "n") -> Column:
     """In how many valid chunks a frame lies; aggregates weighted by it equal those over exploded chunks with horizon times fewer rows."""
     return F.greatest(F.lit(0), F.least(F.col(index), F.col(count) - horizon) - F.greatest(F.lit(0), F.col(index) - (horizon - 1)) + 1)

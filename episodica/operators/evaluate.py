@@ -17,9 +17,10 @@ def chunk_errors(chunks: DataFrame, predicted: str, actual: str, *keep: str) ->
 
 
 def error_cube(errors: DataFrame) -> DataFrame:
-    """(h, d, mse) over all, by step, by component and by both: one pass by grouping sets; null stands for all."""
+    """(h, d, mse) over all, by step, by component and by both; null stands for all. Grouping sets are formed over the sums of each step and component."""
     h, d = F.col("h"), F.col("d")
-    return errors.groupingSets([[], [h], [d], [h, d]], h, d).agg(F.avg("e").alias("mse"))
+    sums = errors.groupBy(h, d).agg(F.sum("e").alias("s"), F.count("e").alias("c"))
+    return sums.groupingSets([[], [h], [d], [h, d]], h, d).agg((F.sum("s") / F.sum("c")).alias("mse"))
 
 
 def group_errors(errors: DataFrame, groups=GROUPS, dim: int | None = None) -> DataFrame:

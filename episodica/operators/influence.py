@@ -6,8 +6,9 @@ driver keeps the optimiser's state of a few dozen numbers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -82,50 +83,98 @@ def one_step_scores(candidates: DataFrame, validation: DataFrame, theta: Sequenc
 
 
 def batch_sums(rows: DataFrame, batch: str = "batch", x: str = "x", y: str = "y", weight: str | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
-    """Per batch: sum w x x', sum w x y, rows. A batch is one group of a training step's size."""
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        xs, ys = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(float)
-        w = pdf["w"].to_numpy(float)[:, None]
-        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "a": [((xs * w).T @ xs).ravel()], "b": [(xs * w).T @ ys], "n": [len(ys)]})
+    """Per batch: sum w x x', sum w x y, rows. Every task adds up its own rows first, so what is shuffled depends on tasks and batches, not on rows."""
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in parts:
+            for name, own in pdf.groupby("batch"):
+                xs, ys, w = np.stack(own["x"].to_numpy()).astype(float), own["y"].to_numpy(float), own["w"].to_numpy(float)[:, None]
+                sums = np.concatenate([((xs * w).T @ xs).ravel(), (xs * w).T @ ys, [len(ys)]])
+                held[name] = held[name] + sums if name in held else sums
+        for name, sums in held.items():
+            yield pd.DataFrame({"batch": [name], "s": [sums]})
 
     w = F.col(weight) if weight else F.lit(1.0)
     chosen = rows.select(F.col(batch).cast("long").alias("batch"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"), w.cast("double").alias("w"))
-    out = chosen.groupBy("batch").applyInPandas(sums, "batch long, a array<double>, b array<double>, n long").collect()
-    return {r["batch"]: (np.array(r["a"]).reshape(len(r["b"]), -1), np.array(r["b"]), r["n"]) for r in out}
+    parts = chosen.mapInPandas(partial, "batch long, s array<double>").select("batch", F.posexplode("s").alias("i", "v"))
+    whole = parts.groupBy("batch", "i").agg(F.sum("v").alias("v")).groupBy("batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("s"))
+    out = {}
+    for r in whole.collect():
+        s = np.array(r["s"])
+        d = int((np.sqrt(4 * len(s) - 3) - 1) / 2 + 0.5)
+        out[r["batch"]] = s[: d * d].reshape(d, d), s[d * d : -1], int(s[-1])
+    return out
+
+
+@dataclass
+class State:
+    """Parameters and both moments before a step."""
+
+    t: np.ndarray
+    mu: np.ndarray
+    nu: np.ndarray
+
+
+def forward(state: State, step: int, gradient: np.ndarray, optimiser: Optimiser) -> State:
+    """The state after a step."""
+    b1, b2 = optimiser.momenta(step)
+    mu, nu = b1 * state.mu + (1 - b1) * gradient, b2 * state.nu + (1 - b2) * gradient * gradient
+    m, v = mu / (1 - b1 ** (step + 1)), nu / (1 - b2 ** (step + 1)) + optimiser.eps_root
+    return State(state.t - optimiser.rate * (m / np.sqrt(v) + optimiser.decay * state.t), mu, nu)
+
+
+def backward(after: State, cotangent: State, step: int, gradient: np.ndarray, hessian: np.ndarray, optimiser: Optimiser) -> tuple[State, np.ndarray]:
+    """The cotangent before a step, and that of its gradient, from the state and the cotangent after it."""
+    b1, b2 = optimiser.momenta(step)
+    fix1, fix2 = 1 - b1 ** (step + 1), 1 - b2 ** (step + 1)
+    m, v = after.mu / fix1, after.nu / fix2 + optimiser.eps_root
+    dmu = cotangent.mu - optimiser.rate * cotangent.t / np.sqrt(v) / fix1
+    dnu = cotangent.nu + optimiser.rate * cotangent.t * m * 0.5 * v**-1.5 / fix2
+    own = (1 - b1) * dmu + (1 - b2) * 2 * gradient * dnu
+    return State(cotangent.t * (1 - optimiser.rate * optimiser.decay) + hessian @ own, b1 * dmu, b2 * dnu), own
 
 
-def replay_scores(training: DataFrame, candidates: DataFrame, validation: DataFrame, theta: Sequence[float], inner: int, back_off: int, optimiser: Optimiser = Optimiser(), episode: str = "ep", weight: str | None = None) -> DataFrame:
+def replay_scores(training: DataFrame, candidates: DataFrame, validation: DataFrame, theta: Sequence[float], inner: int, back_off: int, optimiser: Optimiser = Optimiser(), episode: str = "ep", weight: str | None = None, segment: int = 25) -> DataFrame:
     """(episode, score) through a whole trajectory: training steps, the candidate step at weight zero, more steps, then all of it backwards.
 
     training has a batch number for each step (weights, if given, are those of its rows). The backward pass is exact: a step's
-    Jacobian needs the batch's sum of x x' alone.
+    Jacobian needs the batch's sum of x x' alone. States are kept at the ends of segments only, and a segment's sums are computed when it is
+    run and again when it is replayed backwards, so the driver holds a segment's matrices at a time.
     """
     _, before, after = trajectory(inner, back_off)
-    sums = batch_sums(training, weight=weight)
     plan = [*range(before), None, *range(before, before + after)]
-    t, mu, nu = np.asarray(theta, float), np.zeros(len(theta)), np.zeros(len(theta))
-    tape, at_candidate = [], t
-    for step, batch in enumerate(plan):
-        b1, b2 = optimiser.momenta(step)
-        if batch is None:
-            at_candidate, hessian, g = t, np.zeros((len(t), len(t))), np.zeros(len(t))
-        else:
-            a, b, n = sums[batch % len(sums)]
-            hessian, g = 2 * a / n, 2 * (a @ t - b) / n
-        mu, nu = b1 * mu + (1 - b1) * g, b2 * nu + (1 - b2) * g * g
-        fix1, fix2 = 1 - b1 ** (step + 1), 1 - b2 ** (step + 1)
-        tape.append((hessian, g, mu / fix1, nu / fix2 + optimiser.eps_root, fix1, fix2, b1, b2))
-        t = t - optimiser.rate * (mu / fix1 / np.sqrt(nu / fix2 + optimiser.eps_root) + optimiser.decay * t)
-    ct, cmu, cnu = mean_gradient(validation, t), np.zeros(len(t)), np.zeros(len(t))
-    direction = np.zeros(len(t))
-    for step in reversed(range(len(plan))):
-        hessian, g, m, v, fix1, fix2, b1, b2 = tape[step]
-        dmu = cmu - optimiser.rate * ct / np.sqrt(v) / fix1
-        dnu = cnu + optimiser.rate * ct * m * 0.5 * v**-1.5 / fix2
-        dg = (1 - b1) * dmu + (1 - b2) * 2 * g * dnu
-        if plan[step] is None:
-            direction = dg
-            break
-        ct, cmu, cnu = ct * (1 - optimiser.rate * optimiser.decay) + hessian @ dg, b1 * dmu, b2 * dnu
-    return episode_dots(candidates, at_candidate, direction, episode)
+    batches = training.agg(F.count_distinct("batch")).first()[0]
+    ends = save_points(len(plan), segment)
+
+    def gradients(first: int, last: int):
+        """(gradient, hessian) as functions of a step of the segment and its parameters."""
+        wanted = sorted({b % batches for b in plan[first:last] if b is not None})
+        sums = batch_sums(training.where(F.col("batch").isin(wanted)), weight=weight) if wanted else {}
+
+        def at(step: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if plan[step] is None:
+                return np.zeros(len(t)), np.zeros((len(t), len(t)))
+            a, b, n = sums[plan[step] % batches]
+            return 2 * (a @ t - b) / n, 2 * a / n
+
+        return at
+
+    zero = np.zeros(len(theta))
+    state, saved = State(np.asarray(theta, float), zero, zero), []
+    for first, last in pairwise(ends):
+        saved.append(state)
+        at = gradients(first, last)
+        for step in range(first, last):
+            state = forward(state, step, at(step, state.t)[0], optimiser)
+    cotangent = State(mean_gradient(validation, state.t), zero, zero)
+    for (first, last), start in zip(reversed(list(pairwise(ends))), reversed(saved), strict=True):
+        at, states = gradients(first, last), [start]
+        for step in range(first, last):
+            states.append(forward(states[-1], step, at(step, states[-1].t)[0], optimiser))
+        for step in reversed(range(first, last)):
+            own = states[step - first]
+            cotangent, direction = backward(states[step - first + 1], cotangent, step, *at(step, own.t), optimiser)
+            if plan[step] is None:
+                return episode_dots(candidates, own.t, direction, episode)
+    raise AssertionError("a plan has a candidate step")

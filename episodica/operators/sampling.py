@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.functions.hashing import draw_key, uniform
+from episodica.operators.episodes import id_part
+from episodica.operators.ranks import AT_ONCE, first_rows, running_total
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, k: int, seed: int) -> DataFrame:
@@ -16,9 +18,13 @@ def stratified(rows: DataFrame, stratum: str, key: str, k: int, seed: int) -> Da
     return rows.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
-def prefix_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows in one fixed random order, so a larger sample extends a smaller one; planned as a top-n, not a full sort."""
-    return rows.orderBy(draw_key(seed, key), key).limit(n)
+def prefix_sample(rows: DataFrame, key: str, n: int, seed: int, at_once: int = AT_ONCE) -> DataFrame:
+    """n rows in one fixed random order, so a larger sample extends a smaller one: a top-n, or for many a filter by the digest at the last place."""
+    if n <= at_once:
+        return rows.orderBy(draw_key(seed, key), key).limit(n)
+    digest = draw_key(seed, key)
+    parts = {f"__digest{i}": F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("long") for i in range(3)}
+    return first_rows(rows.withColumns(parts), [*parts, key], n, at_once).drop(*parts)
 
 
 def share_size(count: int, share: float) -> int:
@@ -26,10 +32,9 @@ def share_size(count: int, share: float) -> int:
     return count if share >= 1 else max(1, round(count * share))
 
 
-def numbered(rows: DataFrame, *order: str | Column, partition: str | None = None, name: str = "number") -> DataFrame:
-    """Row numbers from 0. Without a partition the rows should be few, such as one per episode."""
-    window = Window.partitionBy(partition).orderBy(*order) if partition else Window.orderBy(*order)
-    return rows.withColumn(name, F.row_number().over(window) - 1)
+def numbered(rows: DataFrame, order: str | Column, part: Column, name: str = "number") -> DataFrame:
+    """Row numbers from 0 in an order without ties, of which part is a coarser form; no task numbers the whole table."""
+    return running_total(rows, part, order, F.lit(1), name).withColumn(name, F.col(name) - 1)
 
 
 def mixture(spark, sizes: list[int], weights: list[float], length: int, seed: int) -> DataFrame:
@@ -51,7 +56,7 @@ def mixture(spark, sizes: list[int], weights: list[float], length: int, seed: in
 def bootstrap_chunks(starts: DataFrame, seed: int, episode: str = "ep", start: str = "j") -> DataFrame:
     """(i, episode, start): as many draws as there are valid starts; each takes an episode uniformly, then one of its starts."""
     sizes = starts.groupBy(episode).agg(F.count("*").alias("starts"))
-    ranked = numbered(sizes, episode, name="number")
+    ranked = numbered(sizes, episode, id_part(sizes, episode))
     total = sizes.agg(F.count("*").alias("episodes"), F.sum("starts").alias("rows")).first()
     if not total["rows"]:
         raise ValueError("no valid start")
@@ -64,7 +69,8 @@ def coverage_first(starts: DataFrame, budget: int, seed: int, episode: str = "ep
     if budget <= 0:
         raise ValueError("the budget must be positive")
     sizes = starts.groupBy(episode).agg(F.count("*").alias("starts"))
-    ranked = numbered(sizes, draw_key(seed, episode), episode)
+    digest = draw_key(seed, episode)
+    ranked = numbered(sizes, F.struct(digest, episode), F.substring(digest, 1, 3))
     first = ranked.where(F.col("number") < budget).select(F.col("number").cast("long").alias("i"), episode, F.floor(uniform(seed + 1, episode) * F.col("starts")).alias(start))
     episodes = sizes.count()
     more = starts.sparkSession.range(episodes, max(episodes, budget)).withColumnRenamed("id", "i").withColumn("number", F.floor(uniform(seed + 2, "i") * episodes))
@@ -101,3 +107,36 @@ def episode_subset(ids: DataFrame, key: str, n: int, seed: int | None = None) ->
     if n > ids.count():
         raise ValueError(f"{n} episodes asked for, fewer are there")
     return ids.orderBy(key).limit(n) if seed is None else prefix_sample(ids, key, n, seed)
+
+
+def sample_count(rows: int, size: int, shuffled: bool, most: int | None = None) -> int:
+    """How many rows a pass yields: shuffled passes drop the last incomplete batch, and there may be a limit of batches."""
+    whole = rows // size * size if shuffled else rows
+    return whole if most is None else min(max(0, most) * size, whole)
+
+
+def passes(rows: DataFrame, key: str, size: int, count: int = 1, seed: int | None = None, most: int | None = None) -> DataFrame:
+    """(pass, batch, place) beside the rows of `count` passes; each shuffled pass has an order of its own, and `most` limits the batches of a pass."""
+    out = None
+    for turn in range(count):
+        one = batches(rows, key, size, None if seed is None else seed + turn).withColumn("pass", F.lit(turn).cast("long"))
+        one = one if most is None else one.where(F.col("batch") < max(0, most))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("at least one pass")
+    return out
+
+
+def frame_mixture(sources: list[DataFrame], weights: list[float], length: int, seed: int, key: str, episode: str = "ep", labelled: int | None = None) -> DataFrame:
+    """(i, source, label, and the columns of the drawn frame): a mixture over frames, joined back to them.
+
+    Every frame of a source is as likely as the others. The label is the frame's episode, or -1 outside the labelled source (None labels all).
+    """
+    sizes = [s.count() for s in sources]
+    pool = None
+    for k, own in enumerate(sources):
+        one = numbered(own, key, id_part(own, key), "row").withColumn("source", F.lit(k))
+        pool = one if pool is None else pool.unionByName(one)
+    label = F.col(episode) if labelled is None else F.when(F.col("source") == labelled, F.col(episode)).otherwise(F.lit(-1))
+    drawn = mixture(sources[0].sparkSession, sizes, weights, length, seed).join(pool, ["source", "row"]).drop("row")
+    return drawn.withColumn("label", label.cast("long"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.operators.ranks import first_rows, percentiles
+
 
 def mean_of_nonzero(scores: DataFrame, available: DataFrame | None = None, episode: str = "ep", score: str = "score") -> DataFrame:
     """(episode, score): the mean over iterations, zeros left out; episodes that aren't available are ignored, NaN stays."""
@@ -16,21 +18,22 @@ def bottom_k(scores: DataFrame, share: float, n_available: int, episode: str = "
     """The k episodes of least score, k = max(1, int(n_available * share)) and never more than are scored; ties by id, NaN last."""
     if not 0 < share <= 1:
         raise ValueError("the share must lie in (0, 1]")
-    return scores.orderBy(F.col(score), F.col(episode)).limit(max(1, int(n_available * share)))
+    return first_rows(scores, [score, episode], max(1, int(n_available * share)))
 
 
 def percentile_select(scores: DataFrame, existing: DataFrame, low: float = 20, high: float = 80, episode: str = "ep", score: str = "score") -> DataFrame:
     """Existing episodes, plus candidates at or below the low percentile, without those at or above the high one.
 
     Percentiles are interpolated over the scores that aren't zero; if all are zero, the existing ones stay as they are. Zeros are
-    compared as well, and existing episodes without a score stay.
+    compared as well, and existing episodes without a score stay. The two percentiles are found exactly, without sorting the scores.
     """
-    nonzero = F.when(F.col(score) != 0, F.col(score))
-    edges = scores.agg(F.percentile(nonzero, low / 100).alias("low"), F.percentile(nonzero, high / 100).alias("high"))
-    merged = scores.select(episode, score).join(existing.select(episode).distinct().withColumn("__old", F.lit(True)), episode, "full_outer").crossJoin(F.broadcast(edges))
+    edges = percentiles(scores.where(F.col(score) != 0), score, [low / 100, high / 100])
+    if edges is None:
+        return existing.select(episode).distinct()
+    merged = scores.select(episode, score).join(existing.select(episode).distinct().withColumn("__old", F.lit(True)), episode, "full_outer")
     old = F.coalesce("__old", F.lit(False))
-    joins = F.col("low").isNotNull() & F.col(score).isNotNull() & (F.col(score) <= F.col("low"))
-    leaves = F.col("high").isNotNull() & F.col(score).isNotNull() & (F.col(score) >= F.col("high"))
+    joins = F.col(score).isNotNull() & (F.col(score) <= edges[0])
+    leaves = F.col(score).isNotNull() & (F.col(score) >= edges[1])
     return merged.where(joins | (old & ~leaves)).select(episode)
 
 
@@ -61,6 +64,11 @@ def weighted_loss(rows: DataFrame, loss: str = "loss", weight: str = "weight") -
     return rows.agg(F.avg(F.col(loss) * F.col(weight)).alias("loss"), F.count("*").alias("rows"))
 
 
+def batch_weighted_loss(batch_means: DataFrame, mean: str = "mean", rows: str = "rows") -> DataFrame:
+    """The mean over all rows from (mean, rows) of batches: each counts by its size, so an incomplete batch doesn't count more."""
+    return batch_means.agg((F.sum(F.col(mean) * F.col(rows)) / F.sum(rows)).alias("loss"), F.sum(rows).alias("rows"))
+
+
 def score_summary(scores: DataFrame, score: str = "score") -> DataFrame:
     s = F.col(score)
     return scores.agg(F.count(s).alias("scored"), F.count_if(s != 0).alias("nonzero"), F.min(s).alias("least"), F.max(s).alias("most"), F.avg(s).alias("mean"), F.coalesce(F.max(F.abs(s)) == 0, F.lit(True)).alias("all_zero"))

@@ -20,7 +20,7 @@ class Rates:
 
 @dataclass(frozen=True)
 class Data:
-    """Roots (source first, target last), their mixture and the shape of actions."""
+    """Roots (source first, target last), their mixture and the shape of actions. The defaults."""
 
     roots: tuple[str, ...] = ()
     weights: tuple[float, ...] = (0.5, 0.5)
@@ -31,6 +31,8 @@ class Data:
 
 @dataclass(frozen=True)
 class Workflow:
+    """All settings of a run. The defaults."""
+
     data: Data = field(default_factory=Data)
     rates: Rates = field(default_factory=Rates)
     optimiser: Optimiser = field(default_factory=Optimiser)

@@ -175,8 +175,28 @@ SQL: dict[str, str] = {
         SELECT ep, round(-(2.5e-5 / 401) / 1e-4 * sum(r * w) / (SELECT count(*) FROM w), 9) AS score FROM r JOIN w USING (vec_id) GROUP BY ep""",
     "save_points": "SELECT i::BIGINT AS i, least(25 * i, 110)::BIGINT AS step FROM range(6) AS t(i)",
     "trajectory_layout": "SELECT i AS step, CASE WHEN i > 12 THEN i - 1 ELSE i END AS batch, 20::BIGINT AS total, 12::BIGINT AS before, 7::BIGINT AS after FROM range(20) AS t(i)",
-    "attention_mask": f"""WITH {SHORT}, c AS (SELECT ep, j, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY ep ORDER BY j) AS c FROM g WHERE ep % 10 = 0)
-        SELECT a.ep, a.j, count(*) AS visible FROM c a JOIN c b ON a.ep = b.ep AND b.c <= a.c AND a.j < 6 AND b.j < 6 GROUP BY 1, 2""",
+    "attention_mask": f"""WITH {SHORT}, c AS (SELECT ep, j, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY ep ORDER BY j) AS c FROM g)
+        SELECT a.ep, a.j, count(*) AS visible FROM c a JOIN c b ON a.ep = b.ep AND b.c <= a.c GROUP BY 1, 2""",
+    "frames_in_listed_order": f"WITH {F} SELECT -ep AS pos, ep, j, event_id FROM f",
+    "labelled_frame_subset": "SELECT event_id, user_id AS label FROM events WHERE value > 50",
+    "run_labels": "SELECT event_id, 'dim_' || CASE WHEN event_id < 10 THEN '0' ELSE '' END || event_id AS label, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events",
+    "norm_stats_frame_limit": f"""WITH {F}, g AS (SELECT *, CASE WHEN ep % 5 = 0 THEN 'target' ELSE 'prior' END AS source FROM f),
+        e AS (SELECT DISTINCT source, ep FROM g), s AS (SELECT * FROM e QUALIFY row_number() OVER (ORDER BY md5('42|' || source || '/' || ep), source, ep) <= 10),
+        r AS (SELECT g.* FROM g JOIN s USING (source, ep) ORDER BY source, ep, j LIMIT 500)
+        SELECT count(*) AS rows, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS lo, max(v) AS hi FROM r""",
+    "normalize_masked_tail": f"WITH {STATS} SELECT event_id, round((v - m0) / (s0 + 1e-6), 6) AS z0, round(k, 6) AS z1 FROM f, s",
+    "mask_padding": "SELECT 0::BIGINT AS mask, i AS dim, i < 6 AS flag FROM range(9) AS t(i) UNION ALL SELECT 1, i, TRUE FROM range(4) AS t(i)",
+    "state_assembly_whole_gripper": f"WITH {F} SELECT event_id, 5::BIGINT AS width, v AS g0, k AS g1 FROM f",
+    "frame_mixture_labelled": f"""WITH p AS (SELECT event_id, user_id, CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS source FROM events),
+        n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY event_id) - 1 AS row, count(*) OVER (PARTITION BY source) AS c FROM p),
+        c AS (SELECT source, count(*) AS c FROM p GROUP BY source),
+        d AS (SELECT i, CASE WHEN {uni(42, 'i')} < 0.7 THEN 0 ELSE 1 END AS source, {uni(43, 'i')} AS w FROM range(2000) AS t(i))
+        SELECT i, source::BIGINT AS source, event_id, CASE WHEN source = 0 THEN user_id ELSE -1 END::BIGINT AS label
+        FROM (SELECT i, source, CAST(floor(w * c) AS BIGINT) AS row FROM d JOIN c USING (source)) JOIN n USING (source, row)""",
+    "first_episodes": "SELECT DISTINCT user_id AS ep FROM events ORDER BY 1 LIMIT 10",
+    "limited_passes": " UNION ALL ".join(f"""SELECT {t}::BIGINT AS "pass", o_orderkey, i // 16 AS batch, i % 16 AS place FROM
+        (SELECT o_orderkey, row_number() OVER (ORDER BY {key(11 + t, 'o_orderkey')}, o_orderkey) - 1 AS i FROM orders) WHERE i // 16 < least(3, (SELECT count(*) // 16 FROM orders))""" for t in (0, 1)),
+    "loss_of_batches": "SELECT round(avg(value), 6) AS loss, count(*) AS rows FROM events",
     "split_summary": f"""WITH {F}, {FIRST}, t AS (SELECT task FROM first WHERE ep % 5 = 0 QUALIFY row_number() OVER (PARTITION BY task ORDER BY {key(42, 'ep')}, ep) <= 3)
         SELECT 'source' AS split, task, count(*) AS episodes FROM first WHERE ep % 5 <> 0 GROUP BY task UNION ALL SELECT 'target', task, count(*) FROM t GROUP BY task""",
     "stream_moments": "SELECT event_type, count(*) AS rows, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1",

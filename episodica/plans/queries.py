@@ -49,18 +49,17 @@ def chunked(spark: SparkSession, sf: str) -> DataFrame:
     return E.chunks(frames(spark, sf), "v", H)
 
 
-def component_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """One row: mean, std, q01 and q99 of the action's two components as arrays."""
+def component_stats(spark: SparkSession, sf: str, quantiles: bool = False) -> DataFrame:
+    """One row: mean and std, or q01 and q99, of the action's two components as arrays."""
     rows = frames(spark, sf)
-    long = P.component_rows(rows.withColumn("a", F.array("v", "k")), "a")
-    m = P.moments(long, "dim")
-    q = P.histogram_quantiles(long, "dim").groupBy("dim").agg(F.max(F.when(F.col("p") == 0.01, F.col("quantile"))).alias("q01"), F.max(F.when(F.col("p") == 0.99, F.col("quantile"))).alias("q99"))
-    pairs = F.sort_array(F.collect_list(F.struct("dim", "mean", "std", "q01", "q99")))
-    return m.join(q, "dim").agg(pairs.alias("s")).select("s.mean", "s.std", "s.q01", "s.q99")
+    if not quantiles:
+        return P.vector_moments(rows.withColumn("a", F.array("v", "k")), "a", 2)
+    q = P.histogram_quantiles(P.component_rows(rows.withColumn("a", F.array("v", "k")), "a"), "dim").groupBy("dim").agg(F.min_by("quantile", "p").alias("q01"), F.max_by("quantile", "p").alias("q99"))
+    return q.agg(F.sort_array(F.collect_list(F.struct("dim", "q01", "q99"))).alias("s")).select("s.q01", "s.q99")
 
 
-def with_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return frames(spark, sf).withColumn("a", F.array("v", "k")).crossJoin(F.broadcast(component_stats(spark, sf)))
+def with_stats(spark: SparkSession, sf: str, quantiles: bool = False) -> DataFrame:
+    return frames(spark, sf).withColumn("a", F.array("v", "k")).crossJoin(F.broadcast(component_stats(spark, sf, quantiles)))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,13 +78,7 @@ def r6(c: str, n: int = 6):
 @query
 def scan_episode_index(spark, sf):
     counts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("ep")).agg(F.count("*").alias("n"))
-    ranged = counts.withColumn("part", F.floor(F.col("ep") / 65536))
-    within = Window.partitionBy("part").orderBy("ep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = ranged.groupBy("part").agg(F.sum("n").alias("total"))
-    bases = bases.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = ranged.withColumn("upto", F.sum("n").over(within)).join(bases, "part")
-    end = F.col("base") + F.col("upto")
-    return placed.select("ep", "n", (end - F.col("n")).alias("start"), end.alias("end"))
+    return E.episode_ranges(counts, "ep").select("ep", "n", "start", "end")
 
 
 @query
@@ -187,9 +180,35 @@ def prompt_quality(spark, sf):
     return table(spark, sf, "conversations").groupBy("role").agg(F.count_if(F.coalesce(F.trim(p), F.lit("")) == "").alias("empty"), F.count("*").alias("n"), F.max(F.length(p)).cast("long").alias("longest"))
 
 
+@query
+def frames_in_listed_order(spark, sf):
+    rows = frames(spark, sf)
+    listed = rows.select("ep").distinct().withColumn("pos", -F.col("ep"))
+    return E.frames_in_order(rows, listed).select("pos", "ep", F.col("j").cast("long").alias("j"), "event_id")
+
+
+@query
+def labelled_frame_subset(spark, sf):
+    rows = frames(spark, sf)
+    return E.labelled_subset(rows, rows.where("v > 50"), "event_id").select("event_id", "label")
+
+
+@query
+def run_labels(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.numbered_label("dim", F.col("event_id")).alias("label"), X.run_stamp(F.col("ts")).alias("stamp"))
+
+
 # profiles
 
 
+@query
+def norm_stats_frame_limit(spark, sf):
+    """Statistics of randomly chosen episodes of two sources, cut after 500 frames as the limit asks."""
+    rows = frames(spark, sf).withColumn("source", F.when(F.col("ep") % 5 == 0, "target").otherwise("prior"))
+    got = P.moments(P.sampled_frames(rows, 10, 42, 500).withColumn("x", F.col("v")))
+    return got.select("rows", r6("mean"), r6("std"), "lo", "hi")
+
+
 @query
 def norm_stats_meanstd(spark, sf):
     rows = frames(spark, sf).withColumn("w", E.chunk_weight(H)).where(F.col("n") >= H)
@@ -234,7 +253,7 @@ def normalize_zscore(spark, sf):
 
 @query
 def normalize_quantile(spark, sf):
-    return with_stats(spark, sf).withColumn("z", V.rescale_quantiles(F.col("a"), F.col("q01"), F.col("q99"))).select("event_id", *two("z"))
+    return with_stats(spark, sf, True).withColumn("z", V.rescale_quantiles(F.col("a"), F.col("q01"), F.col("q99"))).select("event_id", *two("z"))
 
 
 @query
@@ -242,6 +261,19 @@ def normalize_masked(spark, sf):
     return with_stats(spark, sf).withColumn("z", V.standardise(F.col("a"), F.col("mean"), F.col("std"), MASK)).select("event_id", *two("z"))
 
 
+@query
+def normalize_masked_tail(spark, sf):
+    """What lies beyond the mask stays as it is."""
+    return with_stats(spark, sf).withColumn("z", V.standardise(F.col("a"), F.col("mean"), F.col("std"), [True], tail=False)).select("event_id", *two("z"))
+
+
+@query
+def mask_padding(spark, sf):
+    masks = F.array(V.constants(V.pad_mask(V.bool_mask(6, -1), 9)), V.constants(V.pad_mask(V.bool_mask(6, -1), 4)))
+    rows = spark.range(1).select(F.posexplode(masks).alias("mask", "flags")).select("mask", F.posexplode("flags").alias("dim", "flag"))
+    return rows.select(F.col("mask").cast("long").alias("mask"), F.col("dim").cast("long").alias("dim"), "flag")
+
+
 @query
 def denormalize_roundtrip(spark, sf):
     z = V.standardise(F.col("a"), F.col("mean"), F.col("std"), MASK)
@@ -274,6 +306,12 @@ def state_assembly(spark, sf):
     return frames(spark, sf).select("event_id", F.size(s).cast("long").alias("width"), F.get(s, F.lit(3)).alias("zero"), F.get(s, F.lit(4)).alias("grip"))
 
 
+@query
+def state_assembly_whole_gripper(spark, sf):
+    s = V.state_vector(F.array("v", "k"), F.array("k"), F.array("v", "k"), whole_gripper=True)
+    return frames(spark, sf).select("event_id", F.size(s).cast("long").alias("width"), F.get(s, F.lit(3)).alias("g0"), F.get(s, F.lit(4)).alias("g1"))
+
+
 @query
 def quat_to_axisangle(spark, sf):
     q = table(spark, sf, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyzw")))
@@ -392,6 +430,23 @@ def cotrain_sample(spark, sf):
     return S.mixture(spark, [p.count() for p in parts], [0.5, 0.5], 3000, 42).join(pool, ["source", "row"]).select("i", F.col("source").cast("long").alias("source"), "ep", "j")
 
 
+@query
+def frame_mixture_labelled(spark, sf):
+    rows = frames(spark, sf)
+    got = S.frame_mixture([rows.where("ep % 5 <> 0"), rows.where("ep % 5 = 0")], [0.7, 0.3], 2000, 42, "event_id", labelled=0)
+    return got.select("i", F.col("source").cast("long").alias("source"), "event_id", "label")
+
+
+@query
+def first_episodes(spark, sf):
+    return S.episode_subset(table(spark, sf, "events").select(F.col("user_id").alias("ep")).distinct(), "ep", 10)
+
+
+@query
+def limited_passes(spark, sf):
+    return S.passes(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 16, 2, seed=11, most=3).select("pass", "o_orderkey", "batch", "place")
+
+
 @query
 def batch_assign_drop_last(spark, sf):
     got = S.batches(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 64, 11)
@@ -466,6 +521,12 @@ def episode_weighted_loss(spark, sf):
     return C.weighted_loss(rows.withColumn("weight", w)).select(r6("loss"), "rows")
 
 
+@query
+def loss_of_batches(spark, sf):
+    means = frames(spark, sf).groupBy(F.floor(F.col("event_id") / 32)).agg(F.avg("v").alias("mean"), F.count("*").alias("rows"))
+    return C.batch_weighted_loss(means).select(r6("loss"), "rows")
+
+
 @query
 def validation_loss(spark, sf):
     rows = frames(spark, sf).withColumn("batch", F.floor(F.col("event_id") / 32)).where("batch < 50")
@@ -593,9 +654,8 @@ def trajectory_layout(spark, sf):
 
 @query
 def attention_mask(spark, sf):
-    """Which positions may see which. As in its SQL, one conversation in ten, and turns from the seventh on count as padding; the operator has neither limit."""
-    rows = short_frames(spark, sf).where("ep % 10 = 0").withColumn("starts", (F.col("role") == "user").cast("long")).withColumn("valid", F.col("j") < 6)
-    return E.visible_positions(rows)
+    """How many positions each position may see."""
+    return E.visible_positions(short_frames(spark, sf).withColumn("starts", F.col("role") == "user").withColumn("valid", F.lit(True)))
 
 
 @query
@@ -639,7 +699,7 @@ def stream_distinct(spark, sf):
 @query
 def stream_count_windows(spark, sf):
     events = R.read_events(spark, f"{sf}/events*.parquet")
-    got = R.run_once(R.count_windows(events, 50, "event_type", order=("ts", "event_id")), scratch_folder(spark, "counts"), "update")
+    got = R.run_once(R.count_windows(events, 50, "event_type", order=("ts", "event_id"), unfinished=True), scratch_folder(spark, "counts"), "update")
     return R.latest_windows(got).select("key", "window", "rows", r6("mean"))
 
 

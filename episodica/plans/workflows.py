@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.functions import vectors as V
+from episodica.functions.text import clean_prompt
 from episodica.operators import episodes as E
 from episodica.operators import influence as I
+from episodica.operators import quality as D
 from episodica.operators import sampling as S
 from episodica.operators import selection as C
 from episodica.operators.profile import component_rows, histogram_quantiles, moments
-from episodica.plans.config import Workflow
+from episodica.plans.config import Workflow, iteration_folder, previous_index
+from episodica.sources import files, sinks
 
 
 def score_and_select(frames: DataFrame, validation: DataFrame, theta: Sequence[float], existing: DataFrame, config: Workflow = Workflow(), share: float = 1.0, job: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -54,3 +58,83 @@ def training_data(source: DataFrame, target: DataFrame, selected: DataFrame, con
     long = component_rows(frames, vector, "w")
     quantiles = histogram_quantiles(long, "dim", weight="w").groupBy("dim").agg(F.min_by("quantile", "p").alias("q01"), F.max_by("quantile", "p").alias("q99"))
     return mixed.select("i", "source", "ep", "j"), moments(long, "dim", weight="w").join(quantiles, "dim")
+
+
+def iterate(frames: DataFrame, validation: DataFrame, theta: Sequence[float], base: str, turns: int, config: Workflow = Workflow(), share: float = 1.0, first: int = 0, include: str | None = None) -> str:
+    """Scores and selects `turns` times; returns the path of the last index.
+
+    A turn starts from the index that the turn before it left below base, the first one from `include` if given, else from its predecessor's
+    or, as turn 0, from all episodes. Every turn leaves scores (Parquet) and include.json in its folder, so a run may be resumed with `first`.
+    """
+    if turns < 1:
+        raise ValueError("at least one turn")
+    spark, path = frames.sparkSession, ""
+    for turn in range(first, first + turns):
+        start = include if turn == first and include else previous_index(base, turn)
+        listed = files.load_include_index(spark, start) if start else None
+        existing = (frames if listed is None else listed).select("ep").distinct()
+        scores, _ = score_and_select(frames, validation, theta, existing, config, share, turn)
+        folder = iteration_folder(base, turn)
+        sinks.save_scores(scores, f"{folder}/scores")
+        kept = spark.read.parquet(f"{folder}/scores")
+        path = f"{folder}/include.json"
+        sinks.save_include_index(C.percentile_select(kept, existing, config.low, config.high), path, seed=config.seed, turn=turn)
+    return path
+
+
+def iterate_and_prepare(source: DataFrame, target: DataFrame, validation: DataFrame, theta: Sequence[float], base: str, turns: int, config: Workflow = Workflow(), share: float = 1.0, vector: str = "a") -> tuple[DataFrame, DataFrame]:
+    """The turns of iterate over the source's episodes, then the training data of what they select."""
+    index = iterate(source, validation, theta, base, turns, config, share)
+    return training_data(source, target, files.load_include_index(source.sparkSession, index).select("ep"), config, vector)
+
+
+def repair_table(spark: SparkSession, path: str, bad: Column, summary: str, report: DataFrame | None = None, root: str = "", episodes: Sequence[int] = (), value: str = "v", apply: bool = False, backup: str | None = None) -> DataFrame:
+    """(ep, repaired): damaged cells of the listed episodes of a Parquet table are filled from their nearest valid frames.
+
+    Episodes are those a report lists for the root and those given; none at all is an error. Without apply nothing but the JSON summary is written.
+    """
+    if report is None and not episodes:
+        raise ValueError("neither a report nor episodes are given")
+    frames = spark.read.parquet(path)
+    ids = spark.createDataFrame([(int(e),) for e in episodes], "ep long")
+    if report is not None:
+        ids = ids.unionByName(D.bad_episodes(report, root).select(F.col("ep").cast("long").alias("ep")))
+    ids = ids.distinct()
+    if ids.isEmpty():
+        raise ValueError(f"no episode of {root} to repair")
+    listed = frames.join(ids.withColumn("__listed", F.lit(True)), "ep", "left").withColumn("__bad", bad & F.col("__listed").isNotNull())
+    counts = ids.join(listed.where("__bad").groupBy("ep").agg(F.count("*").alias("repaired")), "ep", "left").select("ep", F.coalesce("repaired", F.lit(0)).alias("repaired"))
+    rows = [(r["ep"], r["repaired"]) for r in counts.orderBy("ep").collect()]  # a row per listed episode, as the summary file has
+    sinks.rewrite(D.repair(listed, value, "__bad").select(*frames.columns), path, backup, apply)
+    sinks.write_json(spark, summary, {"root": root or path, "apply": apply, "results": [{"episode_index": e, "num_repaired_cells": n} for e, n in rows]})
+    return spark.createDataFrame(rows, "ep long, repaired long")
+
+
+def statistics_of(statistics: DataFrame, key: str, quantiles: bool = False) -> tuple[Column, Column]:
+    """(mean, std) or (q01, q99) of a key as constant vectors; missing ones are an error. A row per dimension reaches the driver."""
+    names = ("q01", "q99") if quantiles else ("mean", "std")
+    rows = statistics.where(F.col("key") == key).orderBy("dim").select(*names).collect()
+    if not rows or any(v is None for r in rows for v in r):
+        raise ValueError(f"no {' and '.join(names)} of {key}")
+    return V.constants(float(r[0]) for r in rows), V.constants(float(r[1]) for r in rows)
+
+
+def model_inputs(frames: DataFrame, statistics: DataFrame, width: int, delta_mask: list[bool] | None = None, keep_mask: list[bool] | None = None, quantiles: bool = False, state: str = "state", actions: str | None = "actions", prompt: str = "prompt") -> DataFrame:
+    """State, action chunk (None when there is none, as in inference) and prompt as a model takes them.
+
+    The order is fixed: actions relative to the raw state, then both normalised (actions outside keep_mask stay), the prompt cleaned, and vectors
+    padded to width. All of it are column expressions of one projection.
+    """
+    low, high = statistics_of(statistics, state, quantiles)
+    norm = V.rescale_quantiles if quantiles else V.standardise
+    out = frames
+    if actions is not None:
+        a_low, a_high = statistics_of(statistics, actions, quantiles)
+
+        def step(a: Column) -> Column:
+            moved = V.delta(a, F.col(state), delta_mask) if delta_mask else a
+            scaled = norm(moved, a_low, a_high) if quantiles else V.standardise(moved, a_low, a_high, keep_mask)
+            return V.pad(scaled, width)
+
+        out = out.withColumn(actions, F.transform(actions, step))
+    return out.withColumn(state, V.pad(norm(F.col(state), low, high), width)).withColumn(prompt, clean_prompt(F.col(prompt)))

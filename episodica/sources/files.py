@@ -94,6 +94,38 @@ def load_statistics(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "key string, dim int, mean double, std double, q01 double, q99 double")
 
 
+def _known_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, sorted; none is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def find_statistics(spark: SparkSession, checkpoint: str, explicit: str | None = None) -> str:
+    """Where a checkpoint's statistics are: the explicit path, else what its info file names, else the only file below assets; several are an error."""
+    if explicit is not None:
+        return explicit
+    if _known_files(spark, f"{checkpoint}/norm_stats_info.json"):
+        named = json.loads(read_text(spark, f"{checkpoint}/norm_stats_info.json")).get("checkpoint_relative_path")
+        if named is not None and _known_files(spark, f"{checkpoint}/{named}"):
+            return f"{checkpoint}/{named}"
+    found = _known_files(spark, f"{checkpoint}/assets/*/norm_stats.json")
+    if not found:
+        raise FileNotFoundError(f"no statistics below {checkpoint}/assets")
+    if len(found) > 1:
+        raise ValueError(f"several statistics, name one: {found}")
+    return found[0]
+
+
+def load_model_config(spark: SparkSession, checkpoint: str, known: tuple[str, ...], **changes: object) -> tuple[dict[str, object], list[bool] | None]:
+    """(fields, mask): the known fields of the model's settings in metadata.json with changes that aren't None, and which actions are normalised."""
+    found = _known_files(spark, f"{checkpoint}/metadata.json")
+    config = json.loads(read_text(spark, found[0])).get("config", {}) if found else {}
+    fields = {k: v for k, v in config.get("model", {}).items() if k in known}
+    mask = config.get("data", {}).get("action_normalization_mask")
+    return fields | {k: v for k, v in changes.items() if v is not None}, None if mask is None else [bool(m) for m in mask]
+
+
 def load_scores(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(iter, ep, score) from .npy files of iteration folders: compact pairs if present, else dense vectors without their zeros. A folder with neither is an error."""
     parts = []

@@ -43,8 +43,9 @@ def distinct_events(stream: DataFrame, key: str, late: str = "1 hour") -> DataFr
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def count_windows(stream: DataFrame, size: int, key: str, value: str = "value", order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """(key, window, rows, mean) for every `size` rows of a key, and for the window that is open when a batch ends; use latest_windows() on what is kept.
+def count_windows(stream: DataFrame, size: int, key: str, value: str = "value", order: tuple[str, ...] = ("ts",), unfinished: bool = False) -> DataFrame:
+    """(key, window, rows, mean) for every `size` rows of a key, to be run in append mode; with unfinished also for the window that is open when a
+    batch ends, to be run in update mode, with latest_windows() on what is kept.
 
     Rows of a micro-batch are folded in the given order, so results don't depend on how a shuffle hands them over; a key's rows of one
     micro-batch are in memory together, which maxFilesPerTrigger bounds. State is three numbers a key.
@@ -62,10 +63,12 @@ def count_windows(stream: DataFrame, size: int, key: str, value: str = "value",
         sums[0] += total
         last = len(counts) - 1
         state.update((window + last, int(counts[last]), float(sums[last])) if counts[last] < size else (window + last + 1, 0, 0.0))
-        yield pd.DataFrame({"key": name[0], "window": window + np.arange(last + 1), "rows": counts, "mean": sums / counts})
+        done = len(counts) if unfinished or counts[last] == size else last
+        if done:
+            yield pd.DataFrame({"key": name[0], "window": window + np.arange(done), "rows": counts[:done], "mean": sums[:done] / counts[:done]})
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"), *(F.col(c).alias(f"order{i}") for i, c in enumerate(order)))
-    return rows.groupBy("key").applyInPandasWithState(fold, "key string, window long, rows long, mean double", "window long, rows long, total double", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(fold, "key string, window long, rows long, mean double", "window long, rows long, total double", "update" if unfinished else "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_windows(kept: DataFrame) -> DataFrame:

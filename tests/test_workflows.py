@@ -1,5 +1,7 @@
 """Workflows and nested samples on small inputs."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from episodica.functions import structs
 from episodica.operators import sampling as S
 from episodica.operators.episodes import number_frames
 from episodica.plans import workflows as W
+from episodica.sources import files
 from episodica.plans.config import Data, Workflow, iteration_folder, previous_index, with_overrides
 
 
@@ -106,3 +109,58 @@ def test_score_arrays_and_index_vectors(spark, tmp_path):
         assert rewrite(spark.read.parquet(f"{tmp_path}/t").limit(2), f"{tmp_path}/t", backup=f"{tmp_path}/backup", apply=True) == 2
     assert spark.read.parquet(f"{tmp_path}/t").count() == 2 and spark.read.parquet(f"{tmp_path}/backup").count() == 4
     assert sorted(p.name for p in tmp_path.iterdir() if "tmp" in p.name) == []
+
+
+def test_iterations_chain(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i % 10, rng.normal(size=3).tolist(), float(rng.normal())) for i in range(200)], "ep long, x array<double>, y double")
+    theta, base = [0.1, 0.2, 0.3], str(tmp_path / "runs")
+    last = W.iterate(rows, rows.limit(50), theta, base, 2)
+    first = set(r["ep"] for r in files.load_include_index(spark, f"{base}/iter_0/include.json").collect())
+    _, want = W.score_and_select(rows, rows.limit(50), theta, spark.createDataFrame([(e,) for e in first], "ep long"), Workflow(), 1.0, 1)
+    assert last == f"{base}/iter_1/include.json" and {r["ep"] for r in files.load_include_index(spark, last).collect()} == {r["ep"] for r in want.collect()}
+    with pytest.raises(ValueError):
+        W.iterate(rows, rows, theta, base, 0)
+
+
+def test_repair_table(spark, tmp_path):
+    path, summary = str(tmp_path / "t"), str(tmp_path / "summary.json")
+    spark.createDataFrame([(e, j, None if (e, j) in ((1, 1), (2, 0)) else 10.0 * e + j) for e in (1, 2) for j in range(4)], "ep long, j int, v double").write.parquet(path)
+    report = spark.sql("SELECT array(struct('r' AS root, array(1L) AS bad_episode_indices)) AS reports")
+    bad = F.col("v").isNull()
+    assert [tuple(r) for r in W.repair_table(spark, path, bad, summary, report, "r").collect()] == [(1, 1)]
+    assert spark.read.parquet(path).where(bad).count() == 2
+    assert [tuple(r) for r in W.repair_table(spark, path, bad, summary, report, "r", [2], apply=True, backup=str(tmp_path / "b")).orderBy("ep").collect()] == [(1, 1), (2, 1)]
+    got = {(r["ep"], r["j"]): r["v"] for r in spark.read.parquet(path).collect()}
+    assert len(got) == 8 and got[1, 1] == 10.0 and got[2, 0] == 21.0 and spark.read.parquet(str(tmp_path / "b")).where(bad).count() == 2
+    assert json.loads((tmp_path / "summary.json").read_text())["apply"]
+    with pytest.raises(ValueError):
+        W.repair_table(spark, path, bad, summary)
+
+
+def test_model_inputs(spark):
+    stats = spark.createDataFrame([(k, d, 1.0, 2.0, 0.0, 4.0) for k in ("state", "actions") for d in range(2)], "key string, dim int, mean double, std double, q01 double, q99 double")
+    rows = spark.sql("SELECT array(1D, 3D) AS state, array(array(4D, 5D), array(1D, 1D)) AS actions, ' open_it\n' AS prompt")
+    got = W.model_inputs(rows, stats, 3, delta_mask=[True, False]).first()
+    assert np.allclose(got["state"], [0, 1, 0], atol=1e-5) and np.allclose(got["actions"], [[1, 2, 0], [-0.5, 0, 0]], atol=1e-5) and got["prompt"] == "open it"
+    assert np.allclose(W.model_inputs(rows, stats, 2, quantiles=True, actions=None).first()["state"], [-0.5, 0.5], atol=1e-5)
+    with pytest.raises(ValueError):
+        W.model_inputs(rows, stats.withColumn("q01", F.lit(None).cast("double")), 2, quantiles=True)
+
+
+def test_statistics_of_a_checkpoint(spark, tmp_path):
+    at = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        files.find_statistics(spark, at)
+    for name in ("a", "b"):
+        (tmp_path / "assets" / name).mkdir(parents=True)
+    (tmp_path / "assets/a/norm_stats.json").write_text("{}")
+    assert files.find_statistics(spark, at).endswith("assets/a/norm_stats.json") and files.find_statistics(spark, at, "x") == "x"
+    (tmp_path / "assets/b/norm_stats.json").write_text("{}")
+    with pytest.raises(ValueError):
+        files.find_statistics(spark, at)
+    (tmp_path / "norm_stats_info.json").write_text('{"checkpoint_relative_path": "assets/b/norm_stats.json"}')
+    assert files.find_statistics(spark, at).endswith("assets/b/norm_stats.json")
+    assert files.load_model_config(spark, at, ("width",)) == ({}, None)
+    (tmp_path / "metadata.json").write_text('{"config": {"model": {"width": 4, "other": 1}, "data": {"action_normalization_mask": [1, 0]}}}')
+    assert files.load_model_config(spark, at, ("width", "kind"), kind="x") == ({"width": 4, "kind": "x"}, [True, False])
