@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,16 @@ def _bin(x: Column, lo, hi) -> Column:
     return F.when(x == F.lit(lo), 0).when(x == F.lit(hi), BINS + 1).otherwise(inner)
 
 
-def at_places(rows: DataFrame, column: str, places: list[int]) -> dict[int, tuple[object, int]]:
+def at_places(rows: DataFrame, column: str, places: list[int] | Callable[[int], list[int]]) -> dict[int, tuple[object, int]]:
     """{place: (value, how many are less)} of places (from 0) among the values of a numeric column; nulls don't count, NaN comes last.
 
-    Counts per bin narrow each place to the bin that holds it, round by round, so the driver sees a few thousand numbers and no task sorts.
+    Places may be given as a function of the number of values. Counts per bin narrow each place to the bin that holds it, round by round, so the driver sees a few thousand numbers and no task sorts.
     """
     values = rows.select(F.col(column).alias("x")).where("x IS NOT NULL").persist()
     try:
         ends = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
+        if callable(places):
+            places = places(ends["n"])
         if places and not 0 <= min(places) <= max(places) < ends["n"]:
             raise ValueError(f"places beyond the {ends['n']} values")
         todo = {p: (ends["lo"], ends["hi"], 0, ends["n"]) for p in places}
@@ -64,12 +68,15 @@ def at_places(rows: DataFrame, column: str, places: list[int]) -> dict[int, tupl
 
 def percentiles(rows: DataFrame, column: str, shares: list[float]) -> list[float] | None:
     """Percentiles (shares from 0 to 1) with linear interpolation between ranks; None where there is no value."""
-    n = rows.where(F.col(column).isNotNull()).count()
-    if not n:
-        return None
-    spots = [(n - 1) * s for s in shares]
-    places = sorted({int(p) for p in spots} | {min(n - 1, int(p) + 1) for p in spots})
+    spots: list[float] = []
+
+    def places(n: int) -> list[int]:
+        spots.extend((n - 1) * s for s in shares if n)
+        return sorted({int(p) for p in spots} | {min(n - 1, int(p) + 1) for p in spots})
+
     values = {p: float(v) for p, (v, _) in at_places(rows, column, places).items()}
+    if not values:
+        return None
     return [values[int(p)] if p == int(p) else (int(p) + 1 - p) * values[int(p)] + (p - int(p)) * values[int(p) + 1] for p in spots]
 
 
