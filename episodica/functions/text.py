@@ -11,6 +11,11 @@ def clean_prompt(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, r"^\s+|\s+$", ""), "_\n", "  ")
 
 
+def is_blank(text: Column) -> Column:
+    """Null, empty or white space alone."""
+    return ~F.coalesce(text, F.lit("")).rlike(r"\S")
+
+
 def name_to_prompt(name: Column, drop_last: bool) -> Column:
     """A demonstration's name as a prompt.
 

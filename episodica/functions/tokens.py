@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.functions.text import clean_prompt, state_prompt
+from episodica.functions.text import clean_prompt, is_blank, state_prompt
 
 
 def prompt_tokens(df: DataFrame, model: str, prompt: str = "prompt", state: Column | None = None, longest: int = 48) -> DataFrame:
@@ -18,7 +18,7 @@ def prompt_tokens(df: DataFrame, model: str, prompt: str = "prompt", state: Colu
     masked off; longer prompts are cut. An empty prompt is an error. The model's path must be readable on every worker.
     """
     text = clean_prompt(F.col(prompt)) if state is None else state_prompt(F.col(prompt), state)
-    checked = F.when(F.trim(F.coalesce(F.col(prompt), F.lit(""))) == "", F.raise_error(F.lit("a prompt is empty")).cast("string")).otherwise(text)
+    checked = F.when(is_blank(F.col(prompt)), F.raise_error(F.lit("a prompt is empty")).cast("string")).otherwise(text)
     plain = state is None
 
     @F.pandas_udf("array<int>")

@@ -70,7 +70,7 @@ def coverage_first(starts: DataFrame, budget: int, seed: int, episode: str = "ep
         raise ValueError("the budget must be positive")
     sizes = starts.groupBy(episode).agg(F.count("*").alias("starts"))
     digest = draw_key(seed, episode)
-    ranked = numbered(sizes, F.struct(digest, episode), F.substring(digest, 1, 3))
+    ranked = numbered(sizes, F.struct(digest, episode), F.substring(digest, 1, 4))
     first = ranked.where(F.col("number") < budget).select(F.col("number").cast("long").alias("i"), episode, F.floor(uniform(seed + 1, episode) * F.col("starts")).alias(start))
     episodes = sizes.count()
     more = starts.sparkSession.range(episodes, max(episodes, budget)).withColumnRenamed("id", "i").withColumn("number", F.floor(uniform(seed + 2, "i") * episodes))
@@ -80,21 +80,15 @@ def coverage_first(starts: DataFrame, budget: int, seed: int, episode: str = "ep
 def batches(rows: DataFrame, key: str, size: int, seed: int | None = None) -> DataFrame:
     """Adds batch and place. Shuffled batches (with a seed) drop the last incomplete one; otherwise rows keep their order.
 
-    Places come from numbers within hash ranges of the order key and the ranges' running sizes, so no task sorts the table.
+    Places come from numbers within parts of the order and the parts' running sizes, so no task sorts the table.
     """
-    order = draw_key(seed, key) if seed is not None else F.lpad(F.col(key).cast("string"), 20, "0")
-    keyed = rows.withColumn("__order", order)
-    keyed = keyed.withColumn("__range", F.substring("__order", 1, 3) if seed is not None else F.floor(F.col(key) / 4096).cast("long"))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy("__order", key)) - 1
-    sizes = keyed.groupBy("__range").agg(F.count("*").alias("c"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("__range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
-    numbered_rows = keyed.withColumn("__within", within).join(bases, "__range").withColumn("__number", F.col("base") + F.col("__within"))
-    out = numbered_rows.withColumn("batch", F.floor(F.col("__number") / size)).withColumn("place", F.col("__number") % size)
-    if seed is not None:
-        whole = rows.count() // size
-        out = out.where(F.col("batch") < whole)
-    return out.drop("__order", "__range", "__within", "base", "c", "__number")
+    if seed is None:
+        placed = numbered(rows, key, id_part(rows, key), "__number")
+    else:
+        digest = draw_key(seed, key)
+        placed = numbered(rows, F.struct(digest, key), F.substring(digest, 1, 4), "__number")
+    out = placed.withColumn("batch", F.floor(F.col("__number") / size)).withColumn("place", F.col("__number") % size).drop("__number")
+    return out if seed is None else out.where(F.col("batch") < rows.count() // size)
 
 
 def modulo_batches(spark, n: int, size: int, count: int) -> DataFrame:

@@ -60,7 +60,7 @@ SQL: dict[str, str] = {
     "frame_lookup_range_join": """WITH c AS (SELECT user_id AS ep, count(*) AS n FROM events GROUP BY 1),
         r AS (SELECT ep, (sum(n) OVER (ORDER BY ep ROWS UNBOUNDED PRECEDING))::BIGINT AS hi, n FROM c)
         SELECT event_id AS i, ep, event_id - (hi - n) AS local FROM events JOIN r ON event_id >= hi - n AND event_id < hi""",
-    "task_lookup": "SELECT c_custkey, coalesce(n_name, '') AS task FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON n_nationkey = c_nationkey",
+    "task_lookup": "SELECT c_custkey, coalesce(n_name, '') AS task FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + 7",
     "first_frame_task": f"WITH {F} SELECT ep, arg_min(task, j) AS task FROM f GROUP BY ep",
     "episode_index_build": "SELECT user_id AS ep, count(*) AS frames, min(event_id) AS first, max(event_id) AS last, sum(event_id)::BIGINT AS checksum FROM events GROUP BY 1",
     "frame_labels": "SELECT event_id, user_id AS ep FROM events",
@@ -75,7 +75,7 @@ SQL: dict[str, str] = {
     "task_filter": f"WITH {F}, {FIRST} SELECT ep, task FROM first WHERE contains(lower(task), 'c') AND regexp_matches(task, '[kr]$')",
     "include_index_semijoin": "SELECT o_orderkey AS ep, count(*) AS n, min(o_custkey) AS pos FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1",
     "unknown_ids_antijoin": "SELECT o_orderkey AS ep FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
-    "prompt_quality": "SELECT role, count(*) FILTER (coalesce(trim(text), '') = '') AS empty, count(*) AS n, max(length(text)) AS longest FROM conversations GROUP BY role",
+    "prompt_quality": r"SELECT role, count(*) FILTER (NOT regexp_matches(coalesce(text, ''), '\S')) AS empty, count(*) AS n, max(length(text)) AS longest FROM conversations GROUP BY role",
     "norm_stats_meanstd": f"""WITH {F}, {CHUNKS}, x AS (SELECT c.v FROM ch c JOIN f USING (event_id) WHERE f.j <= f.n - 5)
         SELECT count(*) AS rows, round(avg(v), 6) AS mean, round(sqrt(greatest(0, sum(v*v)/count(*) - power(sum(v)/count(*), 2))), 6) AS std, min(v) AS lo, max(v) AS hi FROM x""",
     "norm_stats_per_task": f"WITH {F} SELECT task, count(*) AS rows, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS lo, max(v) AS hi FROM f GROUP BY task",
@@ -147,7 +147,7 @@ SQL: dict[str, str] = {
     "score_summary": f"WITH {SCORES} SELECT count(score) AS scored, count(*) FILTER (score <> 0) AS nonzero, round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean, max(abs(score)) = 0 AS all_zero FROM sc",
     "iteration_order": "SELECT 'iter_' || (r_regionkey * 7 % 12) AS name, row_number() OVER (ORDER BY r_regionkey * 7 % 12) AS turn FROM region",
     "episode_weighted_loss": f"WITH {F} SELECT round(avg(v / 100 * CASE WHEN ep % 11 = 0 THEN 1 WHEN ep % 3 = 0 THEN 0.25 WHEN ep % 2 = 0 THEN 1 ELSE 0 END), 6) AS loss, count(*) AS rows FROM f",
-    "validation_loss": "SELECT round(avg(value), 6) AS loss, count(*) AS rows FROM events WHERE event_id < 1600",
+    "validation_loss": "SELECT round(avg(value), 6) AS loss, count(*) AS rows FROM events",
     "loss_breakdown": f"""WITH {F}, x AS (SELECT j % 9 AS d, v AS e FROM f) SELECT round(avg(e) FILTER (d < 8), 6) AS loss, round(avg(e), 6) AS whole, round(avg(e) FILTER (d < 7), 6) AS real,
         round(avg(e) FILTER (d < 6), 6) AS continuous, round(avg(e) FILTER (d = 6), 6) AS gripper, round(avg(e) FILTER (d >= 7), 6) AS padding FROM x""",
     "chunk_mse_grouping_sets": f"WITH {ERRORS} SELECT h, d::BIGINT AS d, round(avg(e), 4) AS mse FROM e GROUP BY GROUPING SETS ((), (h), (d), (h, d))",

@@ -90,8 +90,9 @@ def frame_lookup_range_join(spark, sf):
 
 @query
 def task_lookup(spark, sf):
-    tasks = table(spark, sf, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("task_index"), F.col("n_name").alias("task"))
-    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("task_index"))
+    """Some rows ask for a task that no text is known of."""
+    tasks = table(spark, sf, "nation").select(F.col("n_nationkey").alias("task_index"), F.col("n_name").alias("task"))
+    rows = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") + 7).alias("task_index"))
     return E.with_task_text(rows, tasks).select("c_custkey", "task")
 
 
@@ -177,7 +178,7 @@ def unknown_ids_antijoin(spark, sf):
 @query
 def prompt_quality(spark, sf):
     p = F.col("text")
-    return table(spark, sf, "conversations").groupBy("role").agg(F.count_if(F.coalesce(F.trim(p), F.lit("")) == "").alias("empty"), F.count("*").alias("n"), F.max(F.length(p)).cast("long").alias("longest"))
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count_if(X.is_blank(p)).alias("empty"), F.count("*").alias("n"), F.max(F.length(p)).cast("long").alias("longest"))
 
 
 @query
@@ -529,7 +530,7 @@ def loss_of_batches(spark, sf):
 
 @query
 def validation_loss(spark, sf):
-    rows = frames(spark, sf).withColumn("batch", F.floor(F.col("event_id") / 32)).where("batch < 50")
+    rows = frames(spark, sf)
     return rows.agg(F.round(F.sum("v") / F.count("*"), 6).alias("loss"), F.count("*").alias("rows"))
 
 
@@ -612,7 +613,9 @@ def repair_nearest(spark, sf):
 
 @query
 def report_episodes(spark, sf):
-    bad = damaged(spark, sf).where("bad").groupBy().agg(F.array(F.struct(F.lit("r").alias("root"), F.collect_list("ep").alias("bad_episode_indices"))).alias("reports"))
+    """Reports list 1,000 ids of episodes each, at most."""
+    bad = damaged(spark, sf).where("bad").select("ep").distinct().groupBy(F.floor(F.col("ep") / 1000).alias("thousand"))
+    bad = bad.agg(F.array(F.struct(F.lit("r").alias("root"), F.collect_list("ep").alias("bad_episode_indices"))).alias("reports"))
     return D.bad_episodes(bad, "r")
 
 
@@ -699,7 +702,7 @@ def stream_distinct(spark, sf):
 @query
 def stream_count_windows(spark, sf):
     events = R.read_events(spark, f"{sf}/events*.parquet")
-    got = R.run_once(R.count_windows(events, 50, "event_type", order=("ts", "event_id"), unfinished=True), scratch_folder(spark, "counts"), "update")
-    return R.latest_windows(got).select("key", "window", "rows", r6("mean"))
+    got = R.count_windows(events, scratch_folder(spark, "counts"), 50, "event_type", order=("ts", "event_id"), unfinished=True)
+    return got.select("key", "window", "rows", r6("mean"))
 
 

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -43,37 +38,38 @@ def distinct_events(stream: DataFrame, key: str, late: str = "1 hour") -> DataFr
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def count_windows(stream: DataFrame, size: int, key: str, value: str = "value", order: tuple[str, ...] = ("ts",), unfinished: bool = False) -> DataFrame:
-    """(key, window, rows, mean) for every `size` rows of a key, to be run in append mode; with unfinished also for the window that is open when a
-    batch ends, to be run in update mode, with latest_windows() on what is kept.
+def count_windows(stream: DataFrame, folder: str, size: int, key: str, value: str = "value", order: tuple[str, ...] = ("ts",), part: str = "hour", unfinished: bool = False) -> DataFrame:
+    """(key, window, rows, mean) for every `size` rows of a key, of all that is there now; with unfinished also for the window that is still open.
 
-    Rows of a micro-batch are folded in the given order, so results don't depend on how a shuffle hands them over; a key's rows of one
-    micro-batch are in memory together, which maxFilesPerTrigger bounds. State is three numbers a key.
+    Rows of a micro-batch are numbered in the given order, whose first column is a time, on top of what earlier ones held of their key. Numbers come from places within
+    a part of the time and running totals of the parts, so a key that holds most of the rows is still spread over tasks. Below
+    folder every micro-batch leaves the rows so far of each key, which is all that the next one reads, and its sums for the windows it met;
+    one that is run again replaces them. Null keys are a key of their own.
     """
-
-    def fold(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window, rows, total = state.get if state.exists else (0, 0, 0.0)
-        own = pd.concat(list(parts))
-        values = own.sort_values([c for c in own.columns if c.startswith("order")], kind="stable")["value"].to_numpy()
-        if not len(values):
-            return
-        place = (rows + np.arange(len(values))) // size
-        counts, sums = np.bincount(place), np.bincount(place, values)
-        counts[0] += rows
-        sums[0] += total
-        last = len(counts) - 1
-        state.update((window + last, int(counts[last]), float(sums[last])) if counts[last] < size else (window + last + 1, 0, 0.0))
-        done = len(counts) if unfinished or counts[last] == size else last
-        if done:
-            yield pd.DataFrame({"key": name[0], "window": window + np.arange(done), "rows": counts[:done], "mean": sums[:done] / counts[:done]})
-
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"), *(F.col(c).alias(f"order{i}") for i, c in enumerate(order)))
-    return rows.groupBy("key").applyInPandasWithState(fold, "key string, window long, rows long, mean double", "window long, rows long, total double", "update" if unfinished else "append", GroupStateTimeout.NoTimeout)
-
-
-def latest_windows(kept: DataFrame) -> DataFrame:
-    """Of the states of each window that count_windows left, the last: the one with the most rows."""
-    return kept.groupBy("key", "window").agg(F.max("rows").alias("rows"), F.max_by("mean", "rows").alias("mean"))
+    spark = stream.sparkSession
+    names = [f"order{i}" for i in range(len(order))]
+    state, sums = "key string, held long", "key string, window long, rows long, total double, batch long"
+
+    def fold(batch: DataFrame, turn: int) -> None:
+        sizes = batch.groupBy("key", "part").agg(F.count("*").alias("n"))
+        earlier = spark.read.schema(state).parquet(f"{folder}/state/batch={turn - 1}").withColumnRenamed("key", "known")
+        upto = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sizes.join(earlier, F.col("key").eqNullSafe(F.col("known")), "full_outer")
+        placed = placed.withColumn("held", F.coalesce("held", F.lit(0))).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)) + F.col("held"))
+        bases = placed.where("n IS NOT NULL").select(F.col("key").alias("own"), F.col("part").alias("own_part"), "before")
+        within = F.row_number().over(Window.partitionBy("key", "part").orderBy(*names)) - 1
+        rows = batch.withColumn("place", within).join(bases, F.col("key").eqNullSafe(F.col("own")) & F.col("part").eqNullSafe(F.col("own_part")))
+        window = F.floor((F.col("before") + F.col("place")) / size).cast("long").alias("window")
+        rows.groupBy("key", window).agg(F.count("*").alias("rows"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{folder}/sums/batch={turn}")
+        now = placed.groupBy(F.coalesce("key", "known").alias("key")).agg((F.max("held") + F.coalesce(F.sum("n"), F.lit(0))).alias("held"))
+        now.write.mode("overwrite").parquet(f"{folder}/state/batch={turn}")
+
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.date_trunc(part, order[0]).alias("part"), F.col(value).cast("double").alias("value"), *(F.col(c).alias(n) for c, n in zip(order, names, strict=True)))
+    for name, schema in (("state", state), ("sums", sums.removesuffix(", batch long"))):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{name}/batch=-1")
+    rows.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    whole = spark.read.schema(sums).parquet(f"{folder}/sums").groupBy("key", "window").agg(F.sum("rows").alias("rows"), (F.sum("total") / F.sum("rows")).alias("mean"))
+    return whole if unfinished else whole.where(F.col("rows") == size)
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

@@ -274,12 +274,39 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = R.read_events(spark, f"{tmp_path}/events", files_per_trigger=1)
     moments = R.run_once(R.running_moments(stream, "user_id"), f"{tmp_path}/moments", "complete").orderBy("user_id").collect()
     assert [(r["rows"], r["mean"]) for r in moments] == [(100, 148.5), (100, 149.5), (100, 150.5)]
-    counts = R.run_once(R.count_windows(stream, 40, "user_id"), f"{tmp_path}/counts")
+    counts = R.count_windows(stream, f"{tmp_path}/counts", 40, "user_id")
     assert counts.count() == 6 and counts.where("rows <> 40").count() == 0
+    whole = R.count_windows(stream, f"{tmp_path}/whole", 40, "user_id", unfinished=True)
+    assert sorted((r["key"], r["window"], r["rows"]) for r in whole.collect()) == [(str(k), w, n) for k in range(3) for w, n in ((0, 40), (1, 40), (2, 20))]
     hours = R.run_once(R.tumbling_counts(R.read_events(spark, f"{tmp_path}/events"), "1 hour", "1 hour"), f"{tmp_path}/hours", "complete")
     assert hours.count() == 5 and hours.agg(F.sum("rows")).first()[0] == 300
 
 
+def test_count_windows_go_on_over_batches(spark, tmp_path):
+    """Keys that last over several micro-batches and parts of the time, a null key, ties of time."""
+    rows = [(i, None if i % 5 == 4 else "hot" if i % 3 else "rare", float(i * i % 17)) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, kind string, value double").withColumn("ts", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, event_id div 2 * 7)"))
+    for first in (0, 150, 160):
+        events.where(f"event_id >= {first} AND event_id < {dict(((0, 150), (150, 160), (160, 400)))[first]}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    stream = R.read_events(spark, f"{tmp_path}/events", files_per_trigger=1)
+    got = R.count_windows(stream, f"{tmp_path}/out", 30, "kind", order=("ts", "event_id"), part="minute", unfinished=True).collect()
+    want = []
+    for kind in ("hot", "rare", None):
+        own = [v for _, k, v in rows if k == kind]
+        want += [(kind, w, len(own[w * 30 : w * 30 + 30]), round(sum(own[w * 30 : w * 30 + 30]) / len(own[w * 30 : w * 30 + 30]), 9)) for w in range(-(-len(own) // 30))]
+    assert sorted(((r["key"], r["window"], r["rows"], round(r["mean"], 9)) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_blank_prompts(spark):
+    rows = spark.createDataFrame([(None,), ("",), (" \n\t",), (" a",)], "p string")
+    assert [r[0] for r in rows.select(X.is_blank(F.col("p"))).collect()] == [True, True, True, False]
+
+
+def test_batches_of_negative_keys(spark):
+    got = S.batches(spark.range(-70_000, 70_000, 7000).withColumnRenamed("id", "k"), "k", 6).orderBy("k").collect()
+    assert [(r["batch"], r["place"]) for r in got] == [(i // 6, i % 6) for i in range(20)]
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     rows = spark.range(100)
     assert rows.repartition(9).select("id", draw_key(1, "id")).exceptAll(rows.select("id", draw_key(1, "id"))).count() == 0
