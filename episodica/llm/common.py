@@ -175,6 +175,8 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 #: Up to so many edges of spanning forests one task may finish alone: some 150 MB.
 ONE_TASK_EDGES = 500_000
+#: A task that contracts edges hands on its forest whenever it holds so many nodes: some 200 MB. Twice ONE_TASK_EDGES at least, as these must end in one forest.
+FOREST_NODES = 1 << 20
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "components", one_task: int = ONE_TASK_EDGES) -> DataFrame:
@@ -182,7 +184,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014) over tables in the shared folder until the
     edges stay the same; each task first contracts its own edges to a spanning forest, which keeps the number of
-    rounds small, and once there are at most `one_task` edges left in all one task contracts them. Every table is linear in the edges; only a count and a checksum reach the driver. Loops and repeated edges are
+    rounds small (a new forest after every FOREST_NODES nodes, so a task's memory has a bound), and once there are at most `one_task` edges left in all one task contracts them. Every table is linear in the edges; only a count and a checksum reach the driver. Loops and repeated edges are
     allowed; no edges give no rows.
     """
 
@@ -197,15 +199,21 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
                 parent[x], x = root, parent[x]
             return root
 
+        def forest() -> Iterator[pa.RecordBatch]:
+            nodes = [x for x in parent if find(x) != x]
+            for i in range(0, len(nodes), 65536):
+                part = nodes[i : i + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["a", "b"])
+
         for batch in batches:
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, y = find(x), find(y)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-        nodes = [x for x in parent if find(x) != x]
-        for i in range(0, len(nodes), 65536):
-            part = nodes[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["a", "b"])
+            if len(parent) > FOREST_NODES:
+                yield from forest()
+                parent.clear()
+        yield from forest()
 
     current = scratch.write(mapped(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"), contract, "a long, b long"), f"{name}-0")
     before, turn = None, 0

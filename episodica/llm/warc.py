@@ -93,7 +93,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
     """Writes a record per row under folder and returns the manifest, also kept as folder/manifest.
 
     Of rows whose payloads are equal and at least least_bytes long, the one with the largest id is a response and the others are revisits that refer to it.
-    Null html is an empty payload, a null url has no target header, a null id comes first and is always a response. Rows are
+    Null html is an empty payload, a null url has no target header, a null id comes first and is always a response. Rows that repeat an id are
+    records of their own, each judged by its own payload. Rows are
     sorted by id within shards of an id range; a shard's file is closed once it holds roll_bytes of compressed records, so a shard of any
     size needs the memory of one record. Equal rows in give equal bytes out. Files are written under temporary names that name the attempt, renamed once all
     tasks have ended, and count only when the manifest lists them; a lost executor leaves at most unlisted files. Extra columns are not archived.
@@ -105,12 +106,13 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
     digests = scratch.write(rows.select("page", F.unhex(F.sha1("payload")).alias("digest"), F.length("payload").alias("size")), "digests")
     groups = digests.where(f"page IS NOT NULL AND size >= {least_bytes}").groupBy("digest").agg(F.max("page").alias("largest"), F.count("*").alias("n")).where("n > 1")
     groups = scratch.write(groups.select("digest", "largest"), "groups")
-    revisits = digests.join(groups, "digest").where("page < largest").select("page", F.col("largest").alias("refers_to")).distinct()
+    revisits = digests.join(groups, "digest").where("page < largest").select("page", "digest", F.col("largest").alias("refers_to")).distinct()
     revisits = scratch.write(revisits, "revisits")
     low, width, slices = shard_slices(digests, "page", rows_per_shard)
     shards = spark.createDataFrame(slices, "slice long, shard int")  # at most SLICES rows, so it may be broadcast
     rows = rows.withColumn("slice", F.floor((F.col("page") - low) / width)).join(F.broadcast(shards), "slice", "left")
-    rows = rows.withColumn("shard", F.coalesce("shard", F.lit(0))).join(revisits, "page", "left")
+    rows = rows.withColumn("shard", F.coalesce("shard", F.lit(0))).withColumn("digest", F.unhex(F.sha1("payload")))
+    rows = rows.join(revisits, ["page", "digest"], "left")  # by both, as rows that repeat an id may differ in payload
     n_shards = slices[-1][1] + 1 if slices else 1
     sorted_rows = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("page"), "url", "payload").select("shard", "page", "url", "payload", "refers_to")
     temporary = f"{folder}/_temporary"

@@ -61,6 +61,15 @@ def test_connected_components(spark, one_task):
     assert connected_components(spark, spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
+def test_components_of_forests_in_parts(spark, monkeypatch):
+    rows = spark.range(0, 30_000, 1, 4).select((F.col("id") * 7919 % 30_000).alias("i")).where("i % 1000 <> 0").selectExpr("i AS a", "i - 1 AS b")
+    from episodica.llm import common
+
+    monkeypatch.setattr(common, "FOREST_NODES", 2000)
+    got = connected_components(spark, rows, Scratch(spark, "t"), one_task=0)
+    assert got.where("component <> node - node % 1000").count() == 0 and got.count() == 30_000
+
+
 def test_bpe_equals_the_library(spark):
     import public_tokenizers
     import tiktoken
@@ -79,8 +88,9 @@ def test_bpe_equals_the_library(spark):
     encoded = bpe.encode_documents(rows, path)
     decoded = {(r["doc_id"], bytes(r["bytes"])) for r in bpe.decode_documents(encoded, path).collect()}
     assert decoded == {(i, (t or "").encode()) for i, t in EDGE}
-    digests = bpe.round_trip_digests(rows, path).collect()
-    assert len(digests) == len(EDGE) and all(r["decoded_sha256"] == hashlib.sha256((dict(EDGE)[r["doc_id"]] or "").encode()).hexdigest() for r in digests)
+    digests = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip_digests(rows, path).collect()]
+    want = [(i, np.array(library.encode_ordinary(t or ""), "<u4"), (t or "").encode()) for i, t in EDGE]
+    assert sorted(digests) == sorted((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t).hexdigest()) for i, ids, t in want)
     assert bpe.round_trip_digests(frame(spark, []), path).count() == 0
 
 
@@ -429,6 +439,12 @@ def test_warc_round_trip_and_determinism(spark):
     want = {(i, len((h or "").encode()), digest32((h or "").encode()), "response" if largest[h or ""] == i else "revisit", None if largest[h or ""] == i else largest[h or ""]) for i, _, h in rows}
     assert {tuple(r)[:5] for r in got} == want and len(got) == len(rows)
     assert all(bytes(r["payload"]).decode() == (dict((i, h) for i, _, h in rows)[r["page_id"]] or "") for r in got if r["record_type"] == "response")
+    again = [(5, "a", "same"), (5, "b", "other"), (5, "a", "same"), (9, "c", "same"), (9, "d", "third"), (None, "e", "same"), (None, None, None), (3, "f", "x" * 2_000_000)]
+    repeated = Scratch(spark, "w").path("out")
+    write_warc(spark.createDataFrame([(*r, 1, "d") for r in again], "page_id long, url string, html string, page int, digest string"), repeated)
+    back = sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in read_warc(spark, repeated).where("page_id IS NOT NULL").collect())
+    assert back == [(3, "f", "response", None, 2_000_000), (5, "a", "revisit", 9, 4), (5, "a", "revisit", 9, 4), (5, "b", "response", None, 5), (9, "c", "response", None, 4), (9, "d", "response", None, 5)]
+    assert sorted(r["record_type"] for r in read_warc(spark, repeated).where("page_id IS NULL").collect()) == ["response", "response"]
     empty = Scratch(spark, "w").path("out")
     write_warc(pages.limit(0), empty)
     assert read_warc(spark, empty).count() == 0
