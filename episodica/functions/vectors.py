@@ -30,11 +30,11 @@ def pad(x: Column, dim: int, value: float = 0.0, truncate: bool = False) -> Colu
 
 
 def _masked(new: Column, old: Column, mask: list[bool] | None, tail: bool) -> Column:
-    """Where mask is false the old value stays; beyond the mask, tail tells which one holds."""
+    """Where mask is false the old value stays; beyond the mask, tail tells which one holds. An empty vector stays empty."""
     if mask is None:
         return new
     flags = constants(mask)
-    return F.zip_with(F.zip_with(new, old, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.sequence(F.lit(0), F.size(new) - 1), lambda p, i: F.when(F.coalesce(F.get(flags, i), F.lit(tail)), p["a"]).otherwise(p["b"]))
+    return F.transform(new, lambda a, i: F.when(F.coalesce(F.get(flags, i), F.lit(tail)), a).otherwise(F.get(old, i)))
 
 
 def standardise(x: Column, mean: Column, std: Column, mask: list[bool] | None = None, tail: bool = True) -> Column:

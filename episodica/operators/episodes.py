@@ -75,9 +75,9 @@ def matches_task(prompt: Column, tasks: list[str] | None = None, contains: str |
 
 
 def chunks(frames: DataFrame, value: str, horizon: int, episode: str = "ep", index: str = "j", out: str = "chunk") -> DataFrame:
-    """Adds the values of the next `horizon` frames; past the episode's end the last one repeats."""
+    """Adds the values of the next `horizon` frames; past the episode's end the last one repeats. A null value keeps its place, and repeats like others."""
     ahead = Window.partitionBy(episode).orderBy(index).rowsBetween(Window.currentRow, horizon - 1)
-    own = F.collect_list(value).over(ahead)
+    own = F.transform(F.collect_list(F.struct(F.col(value).alias("v"))).over(ahead), lambda s: s["v"])  # a list of structs keeps nulls
     return frames.withColumn(out, own).withColumn(out, F.concat(out, F.array_repeat(F.element_at(out, -1), horizon - F.size(out))))
 
 

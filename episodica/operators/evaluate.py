@@ -10,9 +10,14 @@ GROUPS = (("translation", 0, 3), ("rotation", 3, 6), ("gripper", 6, 7))
 
 
 def chunk_errors(chunks: DataFrame, predicted: str, actual: str, *keep: str) -> DataFrame:
-    """(keep, h, d, e): squared error of every step and component of arrays of vectors."""
-    steps = chunks.select(*keep, F.posexplode(F.arrays_zip(F.col(predicted).alias("p"), F.col(actual).alias("a"))).alias("h", "z"))
-    both = steps.select(*keep, "h", F.posexplode(F.arrays_zip(F.col("z.p").alias("p"), F.col("z.a").alias("a"))).alias("d", "z"))
+    """(keep, h, d, e): squared error of every step and component of arrays of vectors; arrays of different length are an error, null ones have no rows."""
+
+    def pairs(p: Column, a: Column) -> Column:
+        return F.when(F.size(p) != F.size(a), F.raise_error(F.lit("predicted and actual values differ in length"))).otherwise(F.arrays_zip(p.alias("p"), a.alias("a")))
+
+    steps = chunks.select(*keep, F.col(predicted).alias("p"), F.col(actual).alias("a"))
+    steps = steps.select(*keep, F.posexplode(pairs(F.col("p"), F.col("a"))).alias("h", "z")).select(*keep, "h", F.col("z.p").alias("p"), F.col("z.a").alias("a"))
+    both = steps.select(*keep, "h", F.posexplode(pairs(F.col("p"), F.col("a"))).alias("d", "z"))
     return both.select(*keep, "h", "d", F.pow(F.col("z.p") - F.col("z.a"), 2).alias("e"))
 
 
@@ -74,3 +79,10 @@ def numeric_means(log: DataFrame, *exclude: str) -> DataFrame:
 def task_summary(sample: DataFrame, task: str, prompt: str) -> DataFrame:
     """(task, prompt, n), repeats counted."""
     return sample.groupBy(task, prompt).agg(F.count("*").alias("n"))
+
+
+def validation_loss(rows: DataFrame, loss: str, batch: str | None = None, steps: int | None = None) -> DataFrame:
+    """(loss, rows): the mean over rows, or over those of the first `steps` batches (numbered from 0); no rows at all are an error when it is computed."""
+    own = rows if steps is None else rows.where(F.col(batch) < steps)
+    got = own.agg(F.sum(loss).alias("total"), F.count("*").alias("rows"))
+    return got.select(F.when(F.col("rows") == 0, F.raise_error(F.lit("no validation rows")).cast("double")).otherwise(F.col("total") / F.col("rows")).alias("loss"), "rows")

@@ -34,7 +34,9 @@ class Optimiser:
 
 
 def trajectory(inner: int, back_off: int) -> tuple[int, int, int]:
-    """(steps in all, steps before the candidate step, steps after it)."""
+    """(steps in all, steps before the candidate step, steps after it); one that begins behind its end is an error."""
+    if back_off <= 0:
+        raise ValueError("the back-off must be positive")
     if inner <= 0:
         return 1, 0, 0
     before = max(0, inner - back_off)
@@ -48,7 +50,22 @@ def save_points(total: int, segment: int) -> list[int]:
     return [*range(0, total, segment), total]
 
 
-def regular_batch(step: Column, candidate_step: int) -> Column:
+def trajectory_columns(inner: Column, back_off: int) -> tuple[Column, Column, Column]:
+    """trajectory() for a column of lengths."""
+    total, before, after = trajectory(1, back_off)[0], F.greatest(F.lit(0), inner - back_off), F.lit(0)
+    some = inner > 0
+    return F.when(some, inner).otherwise(total), F.when(some, before).otherwise(0), F.when(some, inner - before - 1).otherwise(after)
+
+
+def save_point_steps(total: Column, segment: int) -> Column:
+    """save_points() for a column of lengths, as an array."""
+    if segment <= 0:
+        raise ValueError("the segment must be positive")
+    own = F.when(total > 0, F.sequence(F.lit(0).cast("long"), total.cast("long") - 1, F.lit(segment).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(own, F.array(total.cast("long")))
+
+
+def regular_batch(step: Column, candidate_step: int | Column) -> Column:
     """The batch of a regular step: the candidate step uses none, so later ones are one behind."""
     return F.when(step > candidate_step, step - 1).otherwise(step)
 

@@ -13,9 +13,12 @@ BINS = 5000
 
 
 def moments(values: DataFrame, *keys: str, value: str = "x", weight: str | None = None) -> DataFrame:
-    """Per key: rows, mean, population std as sqrt(E[x^2] - E[x]^2), min, max; with a weight a row counts that often."""
+    """Per key: rows, mean, population std as sqrt(E[x^2] - E[x]^2), min, max; with a weight a row counts that often.
+
+    A null is no value: it counts in nothing, rows included, and a key of nulls alone has no row. NaN is a value, and makes mean and std NaN.
+    """
     x, w = F.col(value).cast("double"), F.col(weight) if weight else F.lit(1)
-    rows = values.where(w > 0).groupBy(*keys).agg(F.sum(w).alias("rows"), F.sum(w * x).alias("s"), F.sum(w * x * x).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    rows = values.where(x.isNotNull() & (w > 0)).groupBy(*keys).agg(F.sum(w).alias("rows"), F.sum(w * x).alias("s"), F.sum(w * x * x).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     mean = F.col("s") / F.col("rows")
     return rows.select(*keys, "rows", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("rows") - mean * mean)).alias("std"), "lo", "hi")
 
@@ -31,8 +34,11 @@ def vector_moments(values: DataFrame, vector: str, width: int) -> DataFrame:
 def histogram_quantiles(values: DataFrame, *keys: str, probabilities: tuple[float, ...] = (0.01, 0.99), value: str = "x", weight: str | None = None, bins: int = BINS) -> DataFrame:
     """(keys, p, quantile): the left edge of the first bin at which the cumulative count reaches p of all rows.
 
-    Two aggregates: the range, then counts of equal bins (bins rows per key at most), so no value is sorted. A constant is its own quantile.
+    Two aggregates: the range, then counts of equal bins (bins rows per key at most), so no value is sorted. A constant is its own quantile. Nulls and NaN
+    have no place among values and are left out, of all rows too.
     """
+    x = F.col(value).cast("double")
+    values = values.where(x.isNotNull() & ~F.isnan(x))
     ranges = moments(values, *keys, value=value, weight=weight).select(*keys, "rows", "lo", "hi")
     rows = values.join(ranges, list(keys)) if keys else values.crossJoin(F.broadcast(ranges))
     width = (F.col("hi") - F.col("lo")) / bins

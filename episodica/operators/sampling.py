@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.functions.hashing import draw_key, uniform
+from episodica.functions.permutation import place_of, row_at
 from episodica.operators.episodes import id_part
 from episodica.operators.ranks import AT_ONCE, first_rows, running_total
 
@@ -134,3 +135,31 @@ def frame_mixture(sources: list[DataFrame], weights: list[float], length: int, s
     label = F.col(episode) if labelled is None else F.when(F.col("source") == labelled, F.col(episode)).otherwise(F.lit(-1))
     drawn = mixture(sources[0].sparkSession, sizes, weights, length, seed).join(pool, ["source", "row"]).drop("row")
     return drawn.withColumn("label", label.cast("long"))
+
+
+def computed_batches(rows: DataFrame, index: str, n: int, size: int, seed: int, turns: int = 1, drop_last: bool = True) -> DataFrame:
+    """(pass, batch, place) beside rows numbered 0..n-1 by index, for each of `turns` shuffled passes: computed from the number alone, so nothing is shuffled.
+
+    Every pass has an order of its own. The last incomplete batch of a pass is left out unless kept.
+    """
+    if turns < 1:
+        raise ValueError("at least one pass")
+    out = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("pass"))
+    out = out.withColumn("__at", place_of(F.col(index), n, seed, F.col("pass")))
+    out = out.withColumn("batch", F.floor(F.col("__at") / size)).withColumn("place", F.col("__at") % size).drop("__at")
+    return out.where(F.col("batch") < n // size) if drop_last else out
+
+
+def computed_batch(spark, n: int, size: int, batch: int, seed: int, turn: int = 0) -> DataFrame:
+    """(place, i): the rows of one batch of one shuffled pass, without looking at any other; a batch that no pass has is an error."""
+    if batch < 0 or batch * size >= n:
+        raise ValueError(f"{n} rows have no batch {batch} of {size}")
+    return spark.range(batch * size, min(n, (batch + 1) * size)).select((F.col("id") - batch * size).alias("place"), row_at(F.col("id"), n, seed, turn).alias("i"))
+
+
+def draws_in_passes(spark, n: int, count: int, seed: int) -> DataFrame:
+    """(draw, i): `count` draws from a pool of n, pass after pass: a draw beyond the pool begins a new shuffled pass, and fewer draws are the first of more."""
+    if count and not n:
+        raise ValueError("nothing to draw from")
+    place = F.col("id") % max(n, 1)
+    return spark.range(count).select(F.col("id").alias("draw"), row_at(place, max(n, 1), seed, (F.col("id") - place) / max(n, 1)).alias("i"))

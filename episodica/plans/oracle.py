@@ -37,6 +37,24 @@ def uni(seed: int, *parts: str) -> str:
     return f"(CAST('0x' || substr({key(seed, *parts)}, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
+def feistel(x: str, seed: int, back: bool) -> str:
+    """Six rounds over two digits of x in base a, under a turn's keys; all numbers stay below 2**62. The prime and its two multipliers."""
+    prime, keys, k = 2147483647, [], seed % 2147483646 + 1
+    for _ in range(12):
+        k = k * 48271 % prime
+        keys.append(k)
+    keys = keys[:5:-1] if back else keys[6:]
+    listed = ", ".join(f"{{'l': ({k}::BIGINT + turn::BIGINT % {prime} * 69621 % {prime}) % {prime}, 'r': 0::BIGINT}}" for k in keys)
+    digit = "s.l" if back else "s.r"
+    first = f"(({digit} + k.l) % {prime} * 48271 % {prime})"
+    second = f"(xor({first}, {first} >> 15) * 69621 % {prime})"
+    mixed = f"(({second} * {second} + k.l) % {prime})"
+    step = f"{{'l': (s.r - {mixed} % a + a) % a, 'r': s.l}}" if back else f"{{'l': s.r, 'r': (s.l + {mixed}) % a}}"
+    end = f"list_reduce([{listed}], lambda s, k: {step}, {{'l': {x} // a, 'r': {x} % a}})"
+    return f"(({end}).l * a + ({end}).r)"
+
+
+DATASET = """tn AS (SELECT task, row_number() OVER (ORDER BY min(ep), task) - 1 AS task_index FROM f WHERE task <> 'view' GROUP BY task)"""
 SCORES = """sc AS (SELECT ep, iter, CASE WHEN (ep + iter) % 7 = 0 THEN 0.0::DOUBLE ELSE s END AS score FROM
     (SELECT user_id AS ep, event_id % 5 AS iter, avg(value) - 49.6::DOUBLE AS s FROM events GROUP BY ALL))"""
 MEANS = f"{SCORES}, ms AS (SELECT ep, avg(score) AS score FROM sc WHERE score <> 0 GROUP BY ep)"
@@ -133,13 +151,15 @@ SQL: dict[str, str] = {
         SELECT i, source::BIGINT AS source, ep, j FROM x JOIN pool USING (source, row)""",
     "batch_assign_drop_last": f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {key(11, 'o_orderkey')}, o_orderkey) - 1 AS i FROM orders)
         SELECT o_orderkey, i // 64 AS batch, i % 64 AS place FROM r WHERE i // 64 < (SELECT count(*) // 64 FROM orders)""",
-    "batch_at_modulo": "SELECT i // 8 AS batch, i % 8 AS place, i % 37 AS row FROM range(160) AS t(i)",
+    "batch_at_modulo": """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row, count(*) OVER () AS n FROM orders),
+        p AS (SELECT i FROM range((SELECT any_value(n) * 4 // 3 // 64 * 64 FROM o)) AS t(i))
+        SELECT i // 64 AS batch, i % 64 AS place, o_orderkey FROM p JOIN o ON o.row = i % o.n""",
     "frame_noise": f"SELECT event_id, round(sqrt(-2 * ln(greatest({uni(5, 'event_id')}, 1e-12))) * cos(2 * pi() * {uni(1000008, 'event_id')}), 5) AS noise FROM events",
     "task_counts": f"WITH {F}, {FIRST} SELECT task, count(*) AS n FROM first GROUP BY task",
     "sampled_task_summary": f"WITH s AS (SELECT event_type AS task, replace(event_type, '_', ' ') || ' go' AS prompt FROM events ORDER BY {key(3, 'event_id')}, event_id LIMIT 500) SELECT task, prompt, count(*) AS n FROM s GROUP BY ALL",
     "mean_nonzero_scores": f"WITH {MEANS} SELECT ep, round(score, 6) AS score FROM ms",
     "select_bottom_k": f"WITH {MEANS} SELECT ep, round(score, 6) AS score FROM ms ORDER BY round(score, 9), ep LIMIT (SELECT greatest(1, floor(count(DISTINCT user_id) * 0.1::DOUBLE))::BIGINT FROM events)",
-    "select_percentile": f"""WITH {SCORES}, o AS (SELECT ep, round(score, 9) AS score FROM sc WHERE iter = 0),
+    "select_percentile": f"""WITH {MEANS}, o AS (SELECT ep, round(score, 9) AS score FROM ms),
         p AS (SELECT quantile_cont(score, 0.2) AS low, quantile_cont(score, 0.8) AS high FROM o WHERE score <> 0)
         SELECT ep FROM o, p WHERE score <= low OR (ep % 2 = 0 AND NOT score >= high)""",
     "scores_dense": f"""WITH {SCORES}, o AS (SELECT ep, avg(score) AS score FROM sc WHERE score <> 0 GROUP BY ep)
@@ -173,8 +193,9 @@ SQL: dict[str, str] = {
         g AS (SELECT d, avg(v * r1) AS g FROM c JOIN r USING (vec_id) WHERE vec_id % 10 = 0 GROUP BY d),
         w AS (SELECT vec_id, sum(v * g) AS w FROM c JOIN g USING (d) WHERE vec_id % 10 <> 0 GROUP BY vec_id)
         SELECT ep, round(-(2.5e-5 / 401) / 1e-4 * sum(r * w) / (SELECT count(*) FROM w), 9) AS score FROM r JOIN w USING (vec_id) GROUP BY ep""",
-    "save_points": "SELECT i::BIGINT AS i, least(25 * i, 110)::BIGINT AS step FROM range(6) AS t(i)",
-    "trajectory_layout": "SELECT i AS step, CASE WHEN i > 12 THEN i - 1 ELSE i END AS batch, 20::BIGINT AS total, 12::BIGINT AS before, 7::BIGINT AS after FROM range(20) AS t(i)",
+    "save_points": """WITH n AS (SELECT user_id AS ep, count(*) AS n FROM events GROUP BY 1)
+        SELECT ep, i, least(25 * i, n)::BIGINT AS step FROM n, range(1 + (SELECT max((n + 24) // 25) FROM n)) AS t(i) WHERE i <= (n + 24) // 25""",
+    "trajectory_layout": f"""WITH {F} SELECT ep, j AS step, CASE WHEN j > greatest(0, n - 8) THEN j - 1 ELSE j END AS batch, n AS total, greatest(0, n - 8) AS before, n - greatest(0, n - 8) - 1 AS after FROM f""",
     "attention_mask": f"""WITH {SHORT}, c AS (SELECT ep, j, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY ep ORDER BY j) AS c FROM g)
         SELECT a.ep, a.j, count(*) AS visible FROM c a JOIN c b ON a.ep = b.ep AND b.c <= a.c GROUP BY 1, 2""",
     "frames_in_listed_order": f"WITH {F} SELECT -ep AS pos, ep, j, event_id FROM f",
@@ -185,7 +206,8 @@ SQL: dict[str, str] = {
         r AS (SELECT g.* FROM g JOIN s USING (source, ep) ORDER BY source, ep, j LIMIT 500)
         SELECT count(*) AS rows, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS lo, max(v) AS hi FROM r""",
     "normalize_masked_tail": f"WITH {STATS} SELECT event_id, round((v - m0) / (s0 + 1e-6), 6) AS z0, round(k, 6) AS z1 FROM f, s",
-    "mask_padding": "SELECT 0::BIGINT AS mask, i AS dim, i < 6 AS flag FROM range(9) AS t(i) UNION ALL SELECT 1, i, TRUE FROM range(4) AS t(i)",
+    "mask_padding": """SELECT vec_id, m AS mask, CASE m WHEN 0 THEN 9 ELSE 4 END AS dim, CASE m WHEN 0 THEN 6 ELSE 4 END AS flagged,
+        round(list_sum(list_transform(embedding[1:CASE m WHEN 0 THEN 6 ELSE 4 END], lambda x: x::DOUBLE)), 5) AS kept FROM embeddings, range(2) AS t(m)""",
     "state_assembly_whole_gripper": f"WITH {F} SELECT event_id, 5::BIGINT AS width, v AS g0, k AS g1 FROM f",
     "frame_mixture_labelled": f"""WITH p AS (SELECT event_id, user_id, CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS source FROM events),
         n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY event_id) - 1 AS row, count(*) OVER (PARTITION BY source) AS c FROM p),
@@ -207,4 +229,25 @@ SQL: dict[str, str] = {
         SELECT min(t) AS begins, max(t) + 1800000000 AS ends, user_id, count(*) AS rows FROM s GROUP BY user_id, session""",
     "stream_count_windows": """WITH o AS (SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 50 AS w FROM events)
         SELECT event_type AS key, w AS window, count(*) AS rows, round(avg(value), 6) AS mean FROM o GROUP BY ALL""",
+    "norm_stats_with_nulls": f"""WITH {F}, v0 AS (SELECT task, v AS x, 1 AS w FROM f WHERE event_id % 7 <> 0), {histogram('v0', 'w', 'task')}
+        SELECT task, count(*) AS rows, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, min(x) AS lo, max(x) AS hi, round(any_value(q01), 6) AS q01, round(any_value(q99), 6) AS q99
+        FROM v0 JOIN (SELECT task, arg_min(quantile, p) AS q01, arg_max(quantile, p) AS q99 FROM hq GROUP BY task) USING (task) GROUP BY task""",
+    "action_chunks_with_nulls": f"""WITH {F}, g AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN v END AS w FROM f)
+        SELECT a.event_id, {', '.join(f"max(b.w) FILTER (h = {i}) AS c{i}" for i in range(5))} FROM g a, range(5) AS t(h), g b WHERE b.ep = a.ep AND b.j = least(a.j + h, a.n - 1) GROUP BY a.event_id""",
+    "shuffled_batches": f"""WITH RECURSIVE n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM events),
+        p AS (SELECT event_id, turn, n, a, {feistel("event_id", 11, True)} AS x FROM events, n, range(2) AS t(turn) UNION ALL SELECT event_id, turn, n, a, {feistel("x", 11, True)} FROM p WHERE x >= n)
+        SELECT turn AS pass, x // 64 AS batch, x % 64 AS place, event_id FROM p WHERE x < n AND x // 64 < n // 64""",
+    "draws_beyond_the_pool": f"""WITH RECURSIVE n AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM events),
+        d AS (SELECT i AS draw, i % n AS spot, i // n AS turn, n, a FROM range((SELECT n * 5 // 2 FROM n)) AS t(i), n),
+        p AS (SELECT draw, turn, n, a, {feistel("spot", 19, False)} AS x FROM d UNION ALL SELECT draw, turn, n, a, {feistel("x", 19, False)} FROM p WHERE x >= n)
+        SELECT draw, x AS i, user_id AS ep FROM p JOIN events ON event_id = x WHERE x < n""",
+    "dataset_round_trip": f"""WITH {F}, {DATASET}
+        SELECT 'data/chunk-' || lpad((ep // 1000)::VARCHAR, 3, '0') || '/episode_' || lpad(ep::VARCHAR, 6, '0') || '.parquet' AS file, j AS row, event_id, v, ep AS episode_index, j AS frame_index,
+               count(*) OVER (ORDER BY ep, j ROWS UNBOUNDED PRECEDING) - 1 AS index, task_index, round(j / 10.0::DOUBLE, 3) AS seconds FROM f LEFT JOIN tn USING (task)""",
+    "repair_touched_files": f"""WITH {F}, g AS (SELECT *, CASE WHEN NOT (task = 'error' AND ep % 10 = 0) THEN j END AS ok FROM f),
+        b AS (SELECT *, max(ok) OVER (PARTITION BY ep ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, min(ok) OVER (PARTITION BY ep ORDER BY j ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r,
+              count(*) OVER (PARTITION BY ep) > count(ok) OVER (PARTITION BY ep) AS rewritten FROM g),
+        p AS (SELECT *, CASE WHEN ok IS NOT NULL THEN j WHEN l IS NULL THEN r WHEN r IS NULL THEN l WHEN j - l <= r - j THEN l ELSE r END AS source FROM b)
+        SELECT p.event_id, p.ep AS episode_index, p.j AS frame_index, f.v, p.rewritten FROM p LEFT JOIN f ON f.ep = p.ep AND f.j = p.source""",
+    "score_vectors": f"WITH {SCORES} SELECT ep, iter, round(score, 6) AS score FROM sc WHERE score <> 0",
 }

@@ -16,6 +16,11 @@ from episodica.operators import quality as D
 from episodica.operators import sampling as S
 from episodica.operators import selection as C
 from episodica.plans.scratch import scratch_folder
+from episodica.plans.workflows import repair_files
+from episodica.sources import files, sinks
+from episodica.sources.datasets import write_dataset
+from episodica.sources.filetable import FileTable
+from episodica.sources.npy import write_npy
 from episodica.streaming import streams as R
 
 H = 5
@@ -217,6 +222,23 @@ def norm_stats_meanstd(spark, sf):
     return got.select(F.col("rows").cast("long").alias("rows"), r6("mean"), r6("std"), "lo", "hi")
 
 
+def gappy(spark, sf) -> DataFrame:
+    """Frames of which every seventh has no value."""
+    return frames(spark, sf).withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("v")))
+
+
+@query
+def norm_stats_with_nulls(spark, sf):
+    values = gappy(spark, sf).select("task", F.col("v").alias("x"))
+    quantiles = P.histogram_quantiles(values, "task").groupBy("task").agg(F.min_by("quantile", "p").alias("q01"), F.max_by("quantile", "p").alias("q99"))
+    return P.moments(values, "task").join(quantiles, "task").select("task", "rows", r6("mean"), r6("std"), "lo", "hi", r6("q01"), r6("q99"))
+
+
+@query
+def action_chunks_with_nulls(spark, sf):
+    return E.chunks(gappy(spark, sf), "v", H).select("event_id", *(F.element_at("chunk", i + 1).alias(f"c{i}") for i in range(H)))
+
+
 @query
 def norm_stats_per_task(spark, sf):
     return P.moments(frames(spark, sf).withColumn("x", F.col("v")), "task").select("task", "rows", r6("mean"), r6("std"), "lo", "hi")
@@ -270,9 +292,13 @@ def normalize_masked_tail(spark, sf):
 
 @query
 def mask_padding(spark, sf):
-    masks = F.array(V.constants(V.pad_mask(V.bool_mask(6, -1), 9)), V.constants(V.pad_mask(V.bool_mask(6, -1), 4)))
-    rows = spark.range(1).select(F.posexplode(masks).alias("mask", "flags")).select("mask", F.posexplode("flags").alias("dim", "flag"))
-    return rows.select(F.col("mask").cast("long").alias("mask"), F.col("dim").cast("long").alias("dim"), "flag")
+    """The first components of every vector under a mask that was padded (9) or cut (4)."""
+    masks = [V.pad_mask(V.bool_mask(6, -1), width) for width in (9, 4)]
+    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    rows = rows.select("vec_id", "x", F.posexplode(F.array(*map(V.constants, masks))).alias("mask", "flags"))
+    kept = F.aggregate(F.zip_with(F.slice("x", F.lit(1), F.size("flags")), "flags", lambda x, f: F.when(f, x).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    flagged = F.size(F.filter("flags", lambda f: f)).cast("long")
+    return rows.select("vec_id", F.col("mask").cast("long").alias("mask"), F.size("flags").cast("long").alias("dim"), flagged.alias("flagged"), F.round(kept, 5).alias("kept"))
 
 
 @query
@@ -456,7 +482,26 @@ def batch_assign_drop_last(spark, sf):
 
 @query
 def batch_at_modulo(spark, sf):
-    return S.modulo_batches(spark, 37, 8, 20)
+    """Batches of 64 orders, a third of a pass beyond the table's end."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    n = orders.count()
+    rows = S.numbered(orders, "o_orderkey", E.id_part(orders, "o_orderkey"), "row")
+    return S.modulo_batches(spark, n, 64, n * 4 // 3 // 64).join(rows, "row").select("batch", "place", "o_orderkey")
+
+
+@query
+def shuffled_batches(spark, sf):
+    """Two shuffled passes over the events, each row's place computed from its number."""
+    rows = table(spark, sf, "events").select("event_id")
+    return S.computed_batches(rows, "event_id", rows.count(), 64, seed=11, turns=2).select("pass", "batch", "place", "event_id")
+
+
+@query
+def draws_beyond_the_pool(spark, sf):
+    """Frame numbers drawn without replacement until the pool is empty, then again."""
+    n = table(spark, sf, "events").count()
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("i"), F.col("user_id").alias("ep"))
+    return S.draws_in_passes(spark, n, n * 5 // 2, seed=19).join(rows, "i").select("draw", "i", "ep")
 
 
 @query
@@ -492,7 +537,7 @@ def select_bottom_k(spark, sf):
 
 @query
 def select_percentile(spark, sf):
-    one = scores(spark, sf).where("iter = 0").select("ep", F.round("score", 9).alias("score"))
+    one = C.mean_of_nonzero(scores(spark, sf)).select("ep", F.round("score", 9).alias("score"))
     return C.percentile_select(one, one.where("ep % 2 = 0").select("ep"))
 
 
@@ -530,8 +575,7 @@ def loss_of_batches(spark, sf):
 
 @query
 def validation_loss(spark, sf):
-    rows = frames(spark, sf)
-    return rows.agg(F.round(F.sum("v") / F.count("*"), 6).alias("loss"), F.count("*").alias("rows"))
+    return Q.validation_loss(frames(spark, sf), "v").select(r6("loss"), "rows")
 
 
 @query
@@ -611,6 +655,46 @@ def repair_nearest(spark, sf):
     return D.nearest_valid(damaged(spark, sf)).select("ep", F.col("j").cast("long").alias("j"), F.col("source").cast("long").alias("source"), "v")
 
 
+def dataset(spark, sf) -> str:
+    """A dataset of the events, a file per episode; returns its root."""
+    root = f"{scratch_folder(spark, 'dataset')}/set"
+    rows = damaged(spark, sf).select("ep", "j", F.when(F.col("task") != "view", F.col("task")).alias("task"), "event_id", "v", (F.col("bad") & (F.col("ep") % 10 == 0)).alias("bad"))
+    write_dataset(rows, root, fps=10)
+    return root
+
+
+@query
+def dataset_round_trip(spark, sf):
+    """Every frame as the written dataset has it, with the file it is in."""
+    rows = FileTable(spark, dataset(spark, sf))
+    rows.adopt()
+    got = rows.read(places=True)
+    return got.select(F.col("__file").alias("file"), F.col("__row").alias("row"), "event_id", "v", "episode_index", "frame_index", "index", "task_index", F.round(F.col("timestamp").cast("double"), 3).alias("seconds"))
+
+
+@query
+def repair_touched_files(spark, sf):
+    """Frames after a repair that writes only files with damaged frames, and whether their file is one of these."""
+    stored = FileTable(spark, dataset(spark, sf))
+    stored.adopt()
+    repair_files(stored, F.col("bad"), ["v"])
+    return stored.read(places=True).select("event_id", "episode_index", "frame_index", "v", F.col("__file").startswith("_changes/").alias("rewritten"))
+
+
+@query
+def score_vectors(spark, sf):
+    """Scores of all iterations through their .npy files: dense vectors of even iterations, pairs of odd ones."""
+    folder, rows = scratch_folder(spark, "scores"), scores(spark, sf)
+    n = rows.agg(F.max("ep")).first()[0] + 1
+    for turn in range(5):
+        own, at = rows.where(F.col("iter") == turn), f"{folder}/iter_{turn}"
+        if turn % 2:
+            sinks.save_score_arrays(own, at, n)
+        else:
+            write_npy(own, f"{at}/{files.DENSE}", "ep", "score", n)
+    return files.load_scores(spark, [f"{folder}/iter_{turn}" for turn in range(5)]).select("ep", F.col("iter").cast("long").alias("iter"), r6("score"))
+
+
 @query
 def report_episodes(spark, sf):
     """Reports list 1,000 ids of episodes each, at most."""
@@ -645,14 +729,17 @@ def influence_replay(spark, sf):
 
 @query
 def save_points(spark, sf):
-    return spark.createDataFrame([(i, p) for i, p in enumerate(I.save_points(110, 25))], "i long, step long")
+    """Every episode as a replay of as many steps as it has frames, saved every 25 steps and at its end."""
+    sizes = frames(spark, sf).groupBy("ep").agg(F.count("*").alias("n"))
+    return sizes.select("ep", F.posexplode(I.save_point_steps(F.col("n"), 25)).alias("i", "step")).select("ep", F.col("i").cast("long").alias("i"), "step")
 
 
 @query
 def trajectory_layout(spark, sf):
-    steps = spark.range(20).withColumnRenamed("id", "step")
-    total, before, after = I.trajectory(20, 8)
-    return steps.select("step", I.regular_batch(F.col("step"), before).alias("batch"), F.lit(total).cast("long").alias("total"), F.lit(before).cast("long").alias("before"), F.lit(after).cast("long").alias("after"))
+    """Every episode as a trajectory that backs off 8 steps: which batch each of its steps uses."""
+    total, before, after = I.trajectory_columns(F.col("n"), 8)
+    rows = frames(spark, sf).select("ep", F.col("j").cast("long").alias("step"), total.alias("total"), before.alias("before"), after.alias("after"))
+    return rows.select("ep", "step", I.regular_batch(F.col("step"), F.col("before")).alias("batch"), "total", "before", "after")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from episodica.operators import selection as C
 from episodica.operators.profile import component_rows, histogram_quantiles, moments
 from episodica.plans.config import Workflow, iteration_folder, previous_index
 from episodica.sources import files, sinks
+from episodica.sources.filetable import FileTable
 
 
 def score_and_select(frames: DataFrame, validation: DataFrame, theta: Sequence[float], existing: DataFrame, config: Workflow = Workflow(), share: float = 1.0, job: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -110,6 +112,32 @@ def repair_table(spark: SparkSession, path: str, bad: Column, summary: str, repo
     return spark.createDataFrame(rows, "ep long, repaired long")
 
 
+def repair_files(table: FileTable, bad: Column, values: Sequence[str], episodes: DataFrame | None = None, summary: str | None = None, apply: bool = True, episode: str = "episode_index", index: str = "frame_index") -> tuple[int, DataFrame]:
+    """(version, cells): damaged cells of a file table get the value of their episode's nearest valid frame, the earlier one on ties.
+
+    bad is a condition on the row; episodes (ep) limits the search. cells has (__file, __row, episode, index, column, source) for each, source being the frame the value came from.
+    Only files with damaged rows are written anew, and together become the next version; the one before stays readable, as a backup, until vacuum. An episode without a valid frame is an
+    error. Without apply nothing but the summary is written, and the version is the latest.
+    """
+    rows = table.read(places=True)
+    if episodes is not None:
+        rows = rows.join(episodes.select(F.col("ep").alias(episode)).distinct(), episode, "left_semi")
+    rows = rows.select("__file", "__row", episode, index, *values, bad.alias("__bad"))
+    near = D.nearest_valid(rows.withColumn("__values", F.struct(*values)), "__values", "__bad", episode, index)
+    fixes = rows.where("__bad").select("__file", "__row", episode, index).join(near, [episode, index])
+    none = F.raise_error(F.concat(F.lit("no valid frame in episode "), F.col(episode).cast("string"))).cast(fixes.schema["source"].dataType)
+    fixes = fixes.withColumn("source", F.when(F.col("source").isNull(), none).otherwise(F.col("source")))
+    kept = f"{table.root}/_repairs/{uuid.uuid4().hex}"
+    fixes.write.parquet(kept)  # once: what is counted, reported and written must be the same
+    fixes = table.spark.read.parquet(kept)
+    version = table.update(fixes.select("__file", "__row", "__values.*")) if apply else table.latest()
+    cells = fixes.select("__file", "__row", episode, index, F.explode(F.array(*(F.lit(v) for v in values))).alias("column"), "source")
+    if summary is not None:
+        counts = [(r[0], r["n"]) for r in cells.groupBy(episode).agg(F.count("*").alias("n")).orderBy(episode).collect()]
+        sinks.write_json(table.spark, summary, {"root": table.root, "apply": apply, "version": version, "results": [{"episode_index": e, "num_repaired_cells": n} for e, n in counts]})
+    return version, cells
+
+
 def statistics_of(statistics: DataFrame, key: str, quantiles: bool = False) -> tuple[Column, Column]:
     """(mean, std) or (q01, q99) of a key as constant vectors; missing ones are an error. A row per dimension reaches the driver."""
     names = ("q01", "q99") if quantiles else ("mean", "std")

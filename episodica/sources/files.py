@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import json
+from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from episodica.functions.text import episode_number, natural_key
 from episodica.operators.episodes import episode_ranges
+from episodica.sources.npy import read_npy
 
 
 #: Names of score files.
@@ -76,8 +76,7 @@ def load_fps(spark: SparkSession, path: str, default: int = 10) -> int:
 def load_include_index(spark: SparkSession, path: str) -> DataFrame | None:
     """(pos, ep) in file order with repeats, from JSON or a vector in .npy; None when the file names no list, which stands for everything."""
     if path.endswith(".npy"):
-        listed = np.load(io.BytesIO(bytes(spark.read.format("binaryFile").load(path).first()["content"]))).reshape(-1)
-        return spark.createDataFrame(list(enumerate(map(int, listed))), "pos long, ep long")
+        return read_npy(spark, [path]).select(F.col("i").alias("pos"), F.col("value").cast("long").alias("ep"))
     data = json.loads(read_text(spark, path))
     listed = next((data[k] for k in ("episode_indices", "sample_indices", "indices") if k in data), None)
     return None if listed is None else spark.createDataFrame(list(enumerate(map(int, listed))), "pos long, ep long")
@@ -101,44 +100,62 @@ def _known_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found or [])
 
 
+def _settings(spark: SparkSession, path: str, *keys: str) -> object:
+    """What a JSON file holds under nested keys; None where the file or a key is missing."""
+    value = json.loads(read_text(spark, path)) if _known_files(spark, path) else None
+    for key in keys:
+        value = value.get(key) if isinstance(value, dict) else None
+    return value
+
+
+def _statistics_places(spark: SparkSession, checkpoint: str) -> Iterator[tuple[str, list[str]]]:
+    """Places where a checkpoint may keep its statistics, the first that has any decides: (description, files there)."""
+    named = _settings(spark, f"{checkpoint}/norm_stats_info.json", "checkpoint_relative_path")
+    yield "what norm_stats_info.json names", _known_files(spark, f"{checkpoint}/{named}") if named else []
+    yield "assets/*/norm_stats.json", _known_files(spark, f"{checkpoint}/assets/*/norm_stats.json")
+
+
 def find_statistics(spark: SparkSession, checkpoint: str, explicit: str | None = None) -> str:
-    """Where a checkpoint's statistics are: the explicit path, else what its info file names, else the only file below assets; several are an error."""
-    if explicit is not None:
+    """The statistics file of a checkpoint. An explicit path is taken as it is; otherwise the first place with files decides, and must hold one."""
+    if explicit:
         return explicit
-    if _known_files(spark, f"{checkpoint}/norm_stats_info.json"):
-        named = json.loads(read_text(spark, f"{checkpoint}/norm_stats_info.json")).get("checkpoint_relative_path")
-        if named is not None and _known_files(spark, f"{checkpoint}/{named}"):
-            return f"{checkpoint}/{named}"
-    found = _known_files(spark, f"{checkpoint}/assets/*/norm_stats.json")
-    if not found:
-        raise FileNotFoundError(f"no statistics below {checkpoint}/assets")
-    if len(found) > 1:
-        raise ValueError(f"several statistics, name one: {found}")
-    return found[0]
+    looked = []
+    for description, found in _statistics_places(spark, checkpoint):
+        if len(found) > 1:
+            raise ValueError(f"{description} of {checkpoint} is ambiguous, name one of {found}")
+        if found:
+            return found[0]
+        looked.append(description)
+    raise FileNotFoundError(f"{checkpoint} has no statistics; looked at {', '.join(looked)}")
 
 
 def load_model_config(spark: SparkSession, checkpoint: str, known: tuple[str, ...], **changes: object) -> tuple[dict[str, object], list[bool] | None]:
     """(fields, mask): the known fields of the model's settings in metadata.json with changes that aren't None, and which actions are normalised."""
-    found = _known_files(spark, f"{checkpoint}/metadata.json")
-    config = json.loads(read_text(spark, found[0])).get("config", {}) if found else {}
-    fields = {k: v for k, v in config.get("model", {}).items() if k in known}
-    mask = config.get("data", {}).get("action_normalization_mask")
-    return fields | {k: v for k, v in changes.items() if v is not None}, None if mask is None else [bool(m) for m in mask]
+    stored, mask = (_settings(spark, f"{checkpoint}/metadata.json", "config", *keys) for keys in (("model",), ("data", "action_normalization_mask")))
+    fields = {name: (stored or {})[name] for name in known if name in (stored or {})}
+    fields.update((name, value) for name, value in changes.items() if value is not None)
+    return fields, mask and [bool(m) for m in mask]
 
 
 def load_scores(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(iter, ep, score) from .npy files of iteration folders: compact pairs if present, else dense vectors without their zeros. A folder with neither is an error."""
-    parts = []
+    """(iter, ep, score) from .npy files of iteration folders: compact pairs if present, else dense vectors without their zeros. A folder with neither is an error.
+
+    Files are read by ranges of rows in tasks; all of one form are one scan. The driver holds a path and a header for each.
+    """
+    chosen: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
     for turn, folder in enumerate(folders):
-        files = {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).collect()}
-        if COMPACT in files:
-            pairs = np.load(io.BytesIO(files[COMPACT]))
-            parts += [(turn, int(e), float(s)) for e, s in pairs]
-        elif dense := files.get(DENSE) or files.get(DENSE_TOO):
-            parts += [(turn, i, float(s)) for i, s in enumerate(np.load(io.BytesIO(dense))) if s != 0]
-        else:
+        found = next((f for name in (COMPACT, DENSE, DENSE_TOO) for f in _known_files(spark, f"{folder}/{name}")), None)
+        if found is None:
             raise FileNotFoundError(f"{folder} has neither {COMPACT} nor {DENSE}")
-    return spark.createDataFrame(parts, "iter int, ep long, score double")
+        chosen[found.endswith(COMPACT)].append((turn, found))
+    out = None
+    for compact, listed in chosen.items():
+        if listed:
+            turn = F.element_at(F.array(*(F.lit(t) for t, _ in listed)), F.col("file") + 1).alias("iter")
+            rows = read_npy(spark, [path for _, path in listed])
+            rows = rows.select(turn, F.col("c0").cast("long").alias("ep"), F.col("c1").cast("double").alias("score")) if compact else rows.where("value <> 0").select(turn, F.col("i").alias("ep"), F.col("value").cast("double").alias("score"))
+            out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], "iter int, ep long, score double") if out is None else out
 
 
 def image_kind(column: Column) -> Column:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import json
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.sources.files import COMPACT, DENSE
+from episodica.sources.npy import write_npy
 
 
 def _files(spark: SparkSession, path: str):
@@ -58,18 +57,28 @@ def save_scores(scores: DataFrame, path: str, episode: str = "ep", score: str =
     scores.select(F.col(episode).cast("long").alias(episode), F.col(score).cast("double").alias(score)).orderBy(episode).write.mode("overwrite").parquet(path)
 
 
-def save_score_arrays(scores: DataFrame, folder: str, episodes: int, episode: str = "ep", score: str = "score") -> None:
-    """(episode, score) as a dense vector and as the pairs that are not zero, in the files that load_scores reads; a number per episode reaches the driver."""
-    pairs = np.array(sorted((r[0], r[1]) for r in scores.select(F.col(episode).cast("long"), F.col(score).cast("double")).collect() if r[1]), float).reshape(-1, 2)
-    dense = np.zeros(episodes)
-    dense[pairs[:, 0].astype(int)] = pairs[:, 1]
-    for name, array in ((DENSE, dense), (COMPACT, pairs)):
-        body = io.BytesIO()
-        np.save(body, array)
-        fs, at = _files(scores.sparkSession, f"{folder}/{name}")
-        out = fs.create(at, True)
-        out.write(bytearray(body.getvalue()))
-        out.close()
+def save_score_arrays(scores: DataFrame, folder: str, episodes: int, episode: str = "ep", score: str = "score", settings: dict[str, object] | None = None) -> None:
+    """(episode, score) as a dense vector and as the pairs that are not zero, in the files that load_scores reads; given settings are config.json beside them.
+
+    Null scores count as zero, repeated episodes and ones outside 0..episodes-1 are an error. Tasks write ranges of episodes, which the commit
+    joins without holding them; a file takes its name when it is whole.
+    """
+    present = scores.select(F.col(episode).cast("long").alias("ep"), F.col(score).cast("double").alias("score")).where("score <> 0")
+    write_npy(present, f"{folder}/{DENSE}", "ep", "score", episodes)
+    write_npy(present, f"{folder}/{COMPACT}", "ep", "score")
+    if settings is not None:
+        write_json(scores.sparkSession, f"{folder}/config.json", settings)
+
+
+def save_split(episodes: DataFrame, path: str, episode: str = "ep", task: str = "task", **more: object) -> dict[str, object]:
+    """A split file: the include index's fields with the number of episodes and how many each task has; a row per episode reaches the driver."""
+    rows = sorted((r[0], r[1]) for r in episodes.select(episode, F.coalesce(F.col(task).cast("string"), F.lit(""))).distinct().collect())
+    counts: dict[str, int] = {}
+    for _, name in rows:
+        counts[name] = counts.get(name, 0) + 1
+    value = {"version": 2, "unit": "episode", "num_episodes": len(rows), "episodes_per_task": dict(sorted(counts.items())), "episode_indices": [e for e, _ in rows]} | more
+    write_json(episodes.sparkSession, path, value)
+    return value
 
 
 def write_episodes(frames: DataFrame, root: str, episode: str = "ep", order: str = "j", overwrite: bool = False) -> None:
