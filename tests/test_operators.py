@@ -177,7 +177,7 @@ def linear_problem(spark):
     return x, y, rows
 
 
-@pytest.mark.parametrize(("inner", "back"), [(0, 0), (6, 3)])
+@pytest.mark.parametrize(("inner", "back"), [(0, 1), (6, 3)])
 def test_influence_equals_finite_differences(spark, inner, back):
     x, y, rows = linear_problem(spark)
     theta = np.array([0.3, -0.2, 0.1, 0.5])
