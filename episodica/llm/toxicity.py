@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -10,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.llm.common import mapped, text_or_empty
@@ -19,8 +20,6 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Beside itself, a word is known by its first letters, which inflected forms share.
 PREFIXES = (4, 5, 6)
-#: Of all sentences of a text so many, those with the most evidence, make its score: what says next to nothing must not add up with length.
-STRONGEST = 8
 
 
 def features(word: str) -> list[str]:
@@ -29,7 +28,11 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Weights of features and the bias of a sentence; a few MB, bounded by the training sample."""
+    """Weights of features and the bias of a text; a few MB, bounded by the training sample.
+
+    The bias is the prior log odds of a text, which its sentences with toxic evidence share: of n each begins at bias - log(n). So what says
+    next to nothing doesn't add up with length, and clean sentences around a toxic one don't hide it.
+    """
 
     weights: dict[str, float]
     bias: float
@@ -47,24 +50,22 @@ class ToxicityModel:
         return w
 
     def logits(self, text: str) -> list[float]:
-        """A logit for each sentence; a text without any counts as one empty sentence."""
+        """A logit for each sentence with toxic evidence; a text without any counts as one empty sentence."""
         known, unknown = self.words, self.word_weight
         out = []
         for sentence in SENTENCE.findall(text.lower()):
-            total = self.bias
+            total = 0.0
             for w in WORD.findall(sentence):
                 x = known.get(w)
                 total += unknown(w) if x is None else x
-            out.append(total)
-        return out or [self.bias]
+            if total > 0:
+                out.append(total)
+        prior = self.bias - math.log(max(1, len(out)))
+        return [prior + x for x in out or [0.0]]
 
     def score(self, text: str) -> float:
-        """Noisy-or 1 - prod(1 - p) of the strongest sentences with toxic evidence, or the probability of one empty sentence if none has any."""
-        logits = np.array(self.logits(text))
-        logits = logits[logits > self.bias]
-        if len(logits) > STRONGEST:
-            logits = np.partition(logits, -STRONGEST)[-STRONGEST:]
-        return float(-np.expm1(-np.logaddexp(0, logits if len(logits) else self.bias).sum()))
+        """Noisy-or 1 - prod(1 - p) of all sentences with toxic evidence."""
+        return float(-np.expm1(-np.logaddexp(0, self.logits(text)).sum()))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -73,14 +74,18 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text: str, label: str) -> DataFrame:
-    """(label, text) of at most `rows` labelled ids outside the held-out fold, the first ones by a hash of the id, whatever their texts' length."""
+    """(label, text) of at most `rows` labelled ids outside the held-out fold, the first ones by a hash of the id, whatever their texts' length.
+
+    An id has the largest of its labels, and of rows that repeat it one counts, that of the least text by hash: no more than `rows` rows come out.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).alias("__label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    sample = docs.where(F.col(text).isNotNull()).select(id_col, text).join(F.broadcast(chosen), id_col)
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text), text)
+    sample = docs.where(F.col(text).isNotNull()).select(id_col, text).join(F.broadcast(chosen), id_col).withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
     return sample.repartition(16, id_col).sortWithinPartitions(F.xxhash64(id_col), id_col, text).select("__label", text)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, id_col: str = "doc_id", text: str = "text", label: str = "toxic", epochs: int = 40, lasso: float = 0.02) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, id_col: str = "doc_id", text: str = "text", label: str = "toxic", epochs: int = 80, lasso: float = 0.01) -> ToxicityModel:
     """Fits sentence weights so that the noisy-or of a document's sentences explains its label.
 
     Trained on the driver with Adam over a sample bounded by `rows`. Its texts stream in by sixteenths and are forgotten once read; what stays are
@@ -90,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000, id_col: str =
     return fit(((r[1], r[0]) for r in sample.toLocalIterator()), epochs, lasso)
 
 
-def fit(sample: Iterable[tuple[str, float]], epochs: int = 40, lasso: float = 0.02) -> ToxicityModel:
+def fit(sample: Iterable[tuple[str, float]], epochs: int = 80, lasso: float = 0.01) -> ToxicityModel:
     """train() on (text, label) pairs.
 
     Weights are not negative: a sentence is toxic for what it holds, whatever else stands beside it, so long sentences hide
@@ -133,13 +138,17 @@ def fit(sample: Iterable[tuple[str, float]], epochs: int = 40, lasso: float = 0.
     toxic, clean = documents_with(y > 0) + 0.5, documents_with(y <= 0) + 0.5
     odds = np.log(toxic / (y.sum() + 1)) - np.log(clean / ((1 - y).sum() + 1))
     w = np.maximum(0, odds - 2 * np.sqrt(1 / toxic + 1 / clean)) * kept
-    b = -np.log(4.0 * n_sentences / y.sum())
+    b = np.log(y.mean() / 4)
+    first = np.append(0, np.flatnonzero(np.diff(doc)) + 1)  # each document's first sentence
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, epochs + 1):
         per_word = np.bincount(word_at, w[feature_at], n_words)
-        s = np.bincount(sent, per_word[occ], n_sentences) + b
-        p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-        none = np.exp(-np.bincount(doc, np.logaddexp(0, s), len(y)))
+        s = np.bincount(sent, per_word[occ], n_sentences)
+        told = s > 0
+        told[first] |= np.bincount(doc, told, len(y)) == 0  # without evidence, one sentence has the prior
+        s += b - np.log(np.bincount(doc, told, len(y)))[doc]
+        p = told / (1 + np.exp(-np.clip(s, -40, 40)))
+        none = np.exp(-np.bincount(doc, told * np.logaddexp(0, s), len(y)))
         # d loss / d s is p for a clean document and -p * none / (1 - none) for a toxic one
         g = p * np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)[doc]
         gw = np.bincount(feature_at, np.bincount(occ, g[sent], n_words)[word_at], n_features) / len(y) * 100
@@ -189,7 +198,11 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
 
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id, start, end, score, sentence): the sentences whose own probability reaches the threshold, with their place in the text."""
+    """(id, start, end, score, sentence): the sentences that would be toxic as texts of their own, with their place (in characters) in the text.
+
+    Null and empty texts and those of blanks have none, a text without ends of sentences is one of any length, repeated rows each have theirs, a null id
+    stays null, other columns are dropped, and an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

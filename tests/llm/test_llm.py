@@ -401,12 +401,23 @@ def test_training_sample_takes_texts_of_any_length(spark):
 
     assert sorted(lengths(400)) == sorted(100_000 if i % 7 == 0 else 10 for i in range(300) if zlib.crc32(str(i).encode()) % 5)
     assert len(lengths(30)) in (29, 30) and 100_000 in lengths(100)
+    many = docs.unionByName(frame(spark, [(i % 3, f"copy {i} {i % 50}") for i in range(3000)]))
+    assert toxicity.training_sample(many, labels, 400, "doc_id", "text", "toxic").count() == len(lengths(400))
+    assert toxicity.training_sample(many, labels, 2, "doc_id", "text", "toxic").count() <= 2
+    assert toxicity.training_sample(many.repartition(7), labels, 400, "doc_id", "text", "toxic").collect() == toxicity.training_sample(many, labels, 400, "doc_id", "text", "toxic").collect()
+
+
+def test_offending_sentences_of_odd_texts(spark):
+    model = toxicity.ToxicityModel({"worse": 9.0}, -3.0)
+    rows = [(1, None), (2, ""), (3, " \n. !"), (None, "fine. é worse! fine"), (4, "worse " * 50_000), (4, "worse " * 50_000)]
+    got = sorted((str(r["doc_id"]), r["start"], r["end"], r["sentence"][:8]) for r in toxicity.offending_sentences(frame(spark, rows), model).collect())
+    assert got == [("4", 0, 300_000, "worse wo")] * 2 + [("None", 5, 13, " é worse")]
 
 
 def test_scores_are_a_noisy_or_of_sentences(spark):
     model = toxicity.ToxicityModel({"bad": 2.0, "worse": 3.5, "wors-4": 0.5, "good": 0.0}, -3.0)
     rng = random.Random(15)
-    rows = [*EDGE, (None, "bad. worse!"), (11, "bad"), (11, "BAD\nworst?? bad bad"), (12, ". ".join(["bad bad"] * 30))]
+    rows = [*EDGE, (None, "bad. worse!"), (11, "bad"), (11, "BAD\nworst?? bad bad"), (12, ". ".join(["bad bad"] * 30)), *((20 + n, "x. worse worse. x. " * n) for n in (1, 9, 100))]
     rows += [(100 + i, "".join(rng.choice(["bad ", "worse ", "worst ", "good ", "x", ". ", "! ", "\n"]) for _ in range(rng.randint(0, 40)))) for i in range(100)]
 
     def weight(word):
@@ -414,11 +425,10 @@ def test_scores_are_a_noisy_or_of_sentences(spark):
 
     want = []
     for i, t in rows:
-        logits = [-3.0 + sum(map(weight, re.findall(r"[^\W\d_]+", s))) for s in re.findall(r"[^.!?\n]+", (t or "").lower())]
-        told = sorted((x for x in logits if x > -3.0), reverse=True)[:8] or [-3.0]
-        none = 1.0
+        evidence = [sum(map(weight, re.findall(r"[^\W\d_]+", s))) for s in re.findall(r"[^.!?\n]+", (t or "").lower())]
+        told, none = [x for x in evidence if x > 0] or [0.0], 1.0
         for x in told:
-            none *= 1 - 1 / (1 + np.exp(-x))
+            none *= 1 - 1 / (1 + len(told) * np.exp(3.0 - x))
         want.append((str(i), i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(1 - none, 9), int(1 - none >= 0.5)))
     got = [(str(r[0]), r[1], round(r[2], 9), r[3]) for r in toxicity.score_documents(frame(spark, rows), model).collect()]
     assert sorted(got) == sorted(want)
