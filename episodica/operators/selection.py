@@ -79,3 +79,18 @@ def iteration_order(names: DataFrame, name: str = "name") -> DataFrame:
     from episodica.functions.text import trailing_number
 
     return names.withColumn("turn", F.row_number().over(Window.orderBy(trailing_number(F.col(name)), name)))
+
+
+def bitmap_index(ids: DataFrame, key: str = "ep") -> DataFrame:
+    """(bucket, bitmap): ids as bits, 32,768 to a bucket of 4 kB at most; a billion dense ids are 122 MB. Null ids are left out, repeats are one bit."""
+    own = ids.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"))
+    return own.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bitmap"))
+
+
+def in_bitmap(rows: DataFrame, index: DataFrame, key: str = "ep") -> DataFrame:
+    """Rows whose id is in the index: they meet its buckets, and the id's bit decides. A null id is in none."""
+    place = F.bitmap_bit_position(F.col(key).cast("long"))
+    byte = F.conv(F.hex(F.substring("__bitmap", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1
+    own = index.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
+    return rows.join(own, F.bitmap_bucket_number(F.col(key).cast("long")) == F.col("__bucket")).where(bit).drop("__bucket", "__bitmap")

@@ -250,4 +250,14 @@ SQL: dict[str, str] = {
         p AS (SELECT *, CASE WHEN ok IS NOT NULL THEN j WHEN l IS NULL THEN r WHEN r IS NULL THEN l WHEN j - l <= r - j THEN l ELSE r END AS source FROM b)
         SELECT p.event_id, p.ep AS episode_index, p.j AS frame_index, f.v, p.rewritten FROM p LEFT JOIN f ON f.ep = p.ep AND f.j = p.source""",
     "score_vectors": f"WITH {SCORES} SELECT ep, iter, round(score, 6) AS score FROM sc WHERE score <> 0",
+    "include_bitmap": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000)",
+    "file_footers": "SELECT user_id AS ep, count(*) AS rows, 9::BIGINT AS columns, count(*) FILTER (event_type = 'view') AS tasks_missing, 'v' AS action, 1::BIGINT AS missing FROM events GROUP BY 1",
+    "frames_by_number": f"WITH {F}, i AS (SELECT *, count(*) OVER (ORDER BY ep, j ROWS UNBOUNDED PRECEDING) - 1 AS i FROM f) SELECT i, event_id, ep AS episode_index, j AS frame_index FROM i WHERE i % 97 = 0",
+    "norm_stats_carried": f"""WITH {F}, g AS (SELECT task, v AS x FROM f WHERE event_id % 7 <> 0),
+        r AS (SELECT task, count(*) AS rows, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS lo, max(x) AS hi FROM g GROUP BY task),
+        e AS (SELECT *, (SELECT min(e) FROM range(-60, 60) AS t(e) WHERE floor(hi / power(2.0::DOUBLE, e)) - floor(lo / power(2.0::DOUBLE, e)) < 4096) AS e FROM r),
+        b AS (SELECT task, floor(x / power(2.0::DOUBLE, e)) AS bin, count(*) AS c FROM g JOIN e USING (task) GROUP BY ALL),
+        u AS (SELECT *, sum(c) OVER (PARTITION BY task ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto FROM b)
+        SELECT task, p, rows, round(mean, 6) AS mean, round(std, 6) AS std, lo, hi, greatest(lo, min(bin) * power(2.0::DOUBLE, any_value(e))) AS quantile
+        FROM u JOIN e USING (task), (VALUES (0.01::DOUBLE), (0.99::DOUBLE)) AS t(p) WHERE upto >= p * rows GROUP BY task, p, rows, mean, std, lo, hi""",
 }

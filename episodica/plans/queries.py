@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from episodica.functions import text as X
 from episodica.functions import vectors as V
 from episodica.functions.hashing import normal, uniform
+from episodica.operators import carried as K
 from episodica.operators import episodes as E
 from episodica.operators import evaluate as Q
 from episodica.operators import influence as I
@@ -20,6 +21,7 @@ from episodica.plans.workflows import repair_files
 from episodica.sources import files, sinks
 from episodica.sources.datasets import write_dataset
 from episodica.sources.filetable import FileTable
+from episodica.sources.footers import footers, missing_columns
 from episodica.sources.npy import write_npy
 from episodica.streaming import streams as R
 
@@ -175,6 +177,13 @@ def include_index_semijoin(spark, sf):
     return C.include_index(listed, have).groupBy("ep").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
 
 
+@query
+def include_bitmap(spark, sf):
+    """Lines of the orders that an index lists, the index being bits."""
+    index = C.bitmap_index(table(spark, sf, "orders").where("o_totalprice > 200000"), "o_orderkey")
+    return C.in_bitmap(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), index, "l_orderkey")
+
+
 @query
 def unknown_ids_antijoin(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("ep")).join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ep")), "ep", "left_anti")
@@ -227,6 +236,17 @@ def gappy(spark, sf) -> DataFrame:
     return frames(spark, sf).withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("v")))
 
 
+@query
+def norm_stats_carried(spark, sf):
+    """Statistics from three additions, each of which reads new files alone."""
+    folder = scratch_folder(spark, "carried")
+    profile = K.CarriedProfile(spark, f"{folder}/profile", ("task",))
+    for part in range(3):
+        gappy(spark, sf).where(F.col("event_id") % 3 == part).select("task", F.col("v").alias("x")).write.mode("append").parquet(f"{folder}/data")
+        profile.add(spark.read.parquet(f"{folder}/data"))
+    return K.statistics(profile.compact(), "task").select("task", "p", "rows", r6("mean"), r6("std"), "lo", "hi", "quantile")
+
+
 @query
 def norm_stats_with_nulls(spark, sf):
     values = gappy(spark, sf).select("task", F.col("v").alias("x"))
@@ -672,6 +692,27 @@ def dataset_round_trip(spark, sf):
     return got.select(F.col("__file").alias("file"), F.col("__row").alias("row"), "event_id", "v", "episode_index", "frame_index", "index", "task_index", F.round(F.col("timestamp").cast("double"), 3).alias("seconds"))
 
 
+@query
+def file_footers(spark, sf):
+    """What the footers of every episode's file say of its columns, and which column stands for a logical one."""
+    root = dataset(spark, sf)
+    stored = FileTable(spark, root)
+    stored.adopt()
+    found = footers(stored.files().select(F.concat(F.lit(f"{root}/"), "path").alias("path")))
+    wanted = missing_columns(found, {"action": ["action", "v"], "state": ["state", "observation.state"]}).groupBy("path").agg(F.max(F.when(F.col("logical") == "action", F.col("column"))).alias("action"), F.count_if(F.col("column").isNull()).alias("missing"))
+    nulls = found.groupBy("path").agg(F.max("rows").alias("rows"), F.count("*").alias("columns"), F.max(F.when(F.col("column") == "task_index", F.col("nulls"))).alias("tasks_missing"))
+    return nulls.join(wanted, "path").select(F.regexp_extract("path", r"(\d+)\.parquet$", 1).cast("long").alias("ep"), "rows", "columns", "tasks_missing", "action", "missing")
+
+
+@query
+def frames_by_number(spark, sf):
+    """Frames by their numbers among all, from the files that hold them."""
+    stored = FileTable(spark, dataset(spark, sf))
+    stored.adopt()
+    numbers = table(spark, sf, "events").where("event_id % 97 = 0").select(F.col("event_id").alias("i"))
+    return stored.rows_at(numbers).select("i", "event_id", "episode_index", "frame_index")
+
+
 @query
 def repair_touched_files(spark, sf):
     """Frames after a repair that writes only files with damaged frames, and whether their file is one of these."""

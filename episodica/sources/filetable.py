@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.functions.text import natural_key
+from episodica.operators.episodes import episode_ranges, locate_frames
 from episodica.sources.namedfiles import FILE, register
+from episodica.sources.sinks import rename_new
 
 MANIFESTS, CHANGES = "_versions", "_changes"
 
@@ -36,12 +39,7 @@ class FileTable:
         return sorted(s.getPath().getName() for s in self._fs().listStatus(at)) if self._fs().exists(at) else []
 
     def _rename_new(self, source: str, target: str) -> None:
-        """Gives a folder its name, which must be free."""
-        spark = self.spark
-        options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs().makeQualified(self._path()).toUri(), spark._jsparkSession.sessionState().newHadoopConf())
-        context.rename(self._path(source), self._path(target), options)
+        rename_new(self.spark, f"{self.root}/{source}", f"{self.root}/{target}")
 
     def _relative(self, column: Column) -> Column:
         """What a full path has below the root."""
@@ -137,3 +135,25 @@ class FileTable:
         for name in gone:
             self._fs().delete(self._path(f"{CHANGES}/{name}"), True)
         return gone
+
+    # frames by number
+
+    def catalogue(self, version: int | None = None) -> DataFrame:
+        """(path, start, end): where each file's rows lie in the numbering of all rows, files in natural order of their names; reads the manifest alone."""
+        files = self.files(version).withColumn("key", natural_key(F.regexp_replace("path", f"^{CHANGES}/[0-9a-f]+/", "")))
+        ranges = episode_ranges(files.withColumnRenamed("rows", "n"), "key", part=F.substring_index(F.regexp_replace("path", f"^{CHANGES}/[0-9a-f]+/", ""), "/", 2))
+        return ranges.select("path", "start", "end")
+
+    def rows_at(self, numbers: DataFrame, column: str = "i", version: int | None = None) -> DataFrame:
+        """The rows with the given numbers beside them, opening only files that hold one; a number listed twice has two rows, one beyond the table is an error.
+
+        The driver sees the paths of those files, and how many numbers were found.
+        """
+        ranges = self.catalogue(version)
+        found = locate_frames(numbers.select(F.col(column).cast("long").alias("__i")), ranges, "__i").select("__i", F.col("path").alias(FILE), (F.col("__i") - F.col("start")).alias("__row"))
+        per_file = found.groupBy(FILE).agg(F.count("*").alias("n")).collect()
+        if sum(r["n"] for r in per_file) < numbers.count():
+            raise IndexError(f"{self.root} has not so many rows")
+        if not per_file:
+            return self.read(version).limit(0).withColumn(column, F.lit(None).cast("long"))
+        return self.read(paths=[r[FILE] for r in per_file], places=True).join(found, [FILE, "__row"]).drop(FILE, "__row").withColumnRenamed("__i", column)

@@ -25,6 +25,15 @@ def _replace(spark: SparkSession, temporary, final) -> None:
     fs.FileContext.getFileContext(final.toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(temporary, final, options)
 
 
+def rename_new(spark: SparkSession, source: str, target: str) -> None:
+    """Gives a file or folder a name, which must be free, in one step."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    options[0] = jvm.Options.Rename.NONE
+    fs, at = _files(spark, source)
+    jvm.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(at, jvm.Path(target), options)
+
+
 def write_json(spark: SparkSession, path: str, value: object) -> None:
     """A JSON file on any file system: written under a temporary name, then renamed."""
     fs, final = _files(spark, path)
