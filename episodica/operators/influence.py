@@ -6,8 +6,9 @@ driver keeps the optimiser's state of a few dozen numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 from itertools import pairwise
 
 import numpy as np
@@ -102,7 +103,7 @@ def one_step_scores(candidates: DataFrame, validation: DataFrame, theta: Sequenc
 def batch_sums(rows: DataFrame, batch: str = "batch", x: str = "x", y: str = "y", weight: str | None = None) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
     """Per batch: sum w x x', sum w x y, rows. Every task adds up its own rows first, so what is shuffled depends on tasks and batches, not on rows."""
 
-    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for pdf in parts:
             for name, own in pdf.groupby("batch"):
@@ -114,7 +115,7 @@ def batch_sums(rows: DataFrame, batch: str = "batch", x: str = "x", y: str = "y"
 
     w = F.col(weight) if weight else F.lit(1.0)
     chosen = rows.select(F.col(batch).cast("long").alias("batch"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"), w.cast("double").alias("w"))
-    parts = chosen.mapInPandas(partial, "batch long, s array<double>").select("batch", F.posexplode("s").alias("i", "v"))
+    parts = chosen.mapInPandas(add, "batch long, s array<double>").select("batch", F.posexplode("s").alias("i", "v"))
     whole = parts.groupBy("batch", "i").agg(F.sum("v").alias("v")).groupBy("batch").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("s"))
     out = {}
     for r in whole.collect():
@@ -141,57 +142,76 @@ def forward(state: State, step: int, gradient: np.ndarray, optimiser: Optimiser)
     return State(state.t - optimiser.rate * (m / np.sqrt(v) + optimiser.decay * state.t), mu, nu)
 
 
-def backward(after: State, cotangent: State, step: int, gradient: np.ndarray, hessian: np.ndarray, optimiser: Optimiser) -> tuple[State, np.ndarray]:
-    """The cotangent before a step, and that of its gradient, from the state and the cotangent after it."""
+def backward(after: State, cotangent: State, step: int, gradient: np.ndarray, product: Callable[[np.ndarray], np.ndarray], optimiser: Optimiser) -> tuple[State, np.ndarray]:
+    """The cotangent before a step, and that of its gradient, from the state and the cotangent after it; product multiplies by the step's Hessian."""
     b1, b2 = optimiser.momenta(step)
     fix1, fix2 = 1 - b1 ** (step + 1), 1 - b2 ** (step + 1)
     m, v = after.mu / fix1, after.nu / fix2 + optimiser.eps_root
     dmu = cotangent.mu - optimiser.rate * cotangent.t / np.sqrt(v) / fix1
     dnu = cotangent.nu + optimiser.rate * cotangent.t * m * 0.5 * v**-1.5 / fix2
     own = (1 - b1) * dmu + (1 - b2) * 2 * gradient * dnu
-    return State(cotangent.t * (1 - optimiser.rate * optimiser.decay) + hessian @ own, b1 * dmu, b2 * dnu), own
+    return State(cotangent.t * (1 - optimiser.rate * optimiser.decay) + product(own), b1 * dmu, b2 * dnu), own
 
 
-def replay_scores(training: DataFrame, candidates: DataFrame, validation: DataFrame, theta: Sequence[float], inner: int, back_off: int, optimiser: Optimiser = Optimiser(), episode: str = "ep", weight: str | None = None, segment: int = 25) -> DataFrame:
-    """(episode, score) through a whole trajectory: training steps, the candidate step at weight zero, more steps, then all of it backwards.
-
-    training has a batch number for each step (weights, if given, are those of its rows). The backward pass is exact: a step's
-    Jacobian needs the batch's sum of x x' alone. States are kept at the ends of segments only, and a segment's sums are computed when it is
-    run and again when it is replayed backwards, so the driver holds a segment's matrices at a time.
-    """
+def steps_of(inner: int, back_off: int) -> list[int | None]:
+    """The batch of every step of a trajectory; the candidate step has none."""
     _, before, after = trajectory(inner, back_off)
-    plan = [*range(before), None, *range(before, before + after)]
-    batches = training.agg(F.count_distinct("batch")).first()[0]
-    ends = save_points(len(plan), segment)
-
-    def gradients(first: int, last: int):
-        """(gradient, hessian) as functions of a step of the segment and its parameters."""
-        wanted = sorted({b % batches for b in plan[first:last] if b is not None})
-        sums = batch_sums(training.where(F.col("batch").isin(wanted)), weight=weight) if wanted else {}
+    return [*range(before), None, *range(before, before + after)]
 
-        def at(step: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if plan[step] is None:
-                return np.zeros(len(t)), np.zeros((len(t), len(t)))
-            a, b, n = sums[plan[step] % batches]
-            return 2 * (a @ t - b) / n, 2 * a / n
 
-        return at
+def cotangents_of(plan: list[int | None], theta: Sequence[float], part: Callable, last_gradient: Callable[[np.ndarray], np.ndarray], optimiser: Optimiser, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parameters at the candidate step, direction that its rows' gradients are met with), by a run forwards and one backwards.
 
-    zero = np.zeros(len(theta))
+    part(first, last) gives a segment's gradient(step, t) and Hessian product(step, t, v); last_gradient is that of the validation loss. States are kept at
+    the ends of segments only; a segment is run again before it is replayed.
+    """
+    zero, ends = np.zeros(len(theta)), save_points(len(plan), segment)
     state, saved = State(np.asarray(theta, float), zero, zero), []
     for first, last in pairwise(ends):
         saved.append(state)
-        at = gradients(first, last)
+        gradient, _ = part(first, last)
         for step in range(first, last):
-            state = forward(state, step, at(step, state.t)[0], optimiser)
-    cotangent = State(mean_gradient(validation, state.t), zero, zero)
+            state = forward(state, step, gradient(step, state.t), optimiser)
+    cotangent = State(last_gradient(state.t), zero, zero)
     for (first, last), start in zip(reversed(list(pairwise(ends))), reversed(saved), strict=True):
-        at, states = gradients(first, last), [start]
+        (gradient, product), states, gradients = part(first, last), [start], []
         for step in range(first, last):
-            states.append(forward(states[-1], step, at(step, states[-1].t)[0], optimiser))
+            gradients.append(gradient(step, states[-1].t))
+            states.append(forward(states[-1], step, gradients[-1], optimiser))
         for step in reversed(range(first, last)):
-            own = states[step - first]
-            cotangent, direction = backward(states[step - first + 1], cotangent, step, *at(step, own.t), optimiser)
+            at = states[step - first].t
+            cotangent, direction = backward(states[step - first + 1], cotangent, step, gradients[step - first], partial(product, step, at), optimiser)
             if plan[step] is None:
-                return episode_dots(candidates, own.t, direction, episode)
+                return at, direction
     raise AssertionError("a plan has a candidate step")
+
+
+def replay_scores(training: DataFrame, candidates: DataFrame, validation: DataFrame, theta: Sequence[float], inner: int, back_off: int, optimiser: Optimiser = Optimiser(), episode: str = "ep", weight: str | None = None, segment: int = 25) -> DataFrame:
+    """(episode, score) through a whole trajectory: training steps, the candidate step at weight zero, more steps, then all of it backwards.
+
+    training has a batch number for each step (weights, if given, are those of its rows). The backward pass is exact: a step's
+    Jacobian needs the batch's sum of x x' alone. A segment's sums are computed when it is run and again when it is replayed backwards,
+    so the driver holds a segment's matrices at a time.
+    """
+    plan, batches = steps_of(inner, back_off), training.agg(F.count_distinct("batch")).first()[0]
+
+    def part(first: int, last: int):
+        wanted = sorted({b % batches for b in plan[first:last] if b is not None})
+        sums = batch_sums(training.where(F.col("batch").isin(wanted)), weight=weight) if wanted else {}
+
+        def gradient(step: int, t: np.ndarray) -> np.ndarray:
+            if plan[step] is None:
+                return np.zeros(len(t))
+            a, b, n = sums[plan[step] % batches]
+            return 2 * (a @ t - b) / n
+
+        def product(step: int, t: np.ndarray, v: np.ndarray) -> np.ndarray:
+            if plan[step] is None:
+                return np.zeros(len(t))
+            a, _, n = sums[plan[step] % batches]
+            return 2 * a @ v / n
+
+        return gradient, product
+
+    at, direction = cotangents_of(plan, theta, part, lambda t: mean_gradient(validation, t), optimiser, segment)
+    return episode_dots(candidates, at, direction, episode)

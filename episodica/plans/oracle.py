@@ -54,6 +54,9 @@ def feistel(x: str, seed: int, back: bool) -> str:
     return f"(({end}).l * a + ({end}).r)"
 
 
+LOGISTIC = """c AS (SELECT vec_id, vec_id % 50 AS ep, label % 2 AS y, unnest(list_transform(embedding, lambda v: v::DOUBLE)) AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
+    m AS (SELECT vec_id, any_value(ep) AS ep, any_value(y) AS y, sum(v * 0.05 * (d % 3)) AS m, sum(v * (CASE WHEN d % 2 = 0 THEN 1 ELSE -1 END) / (d + 1)::DOUBLE) AS along FROM c GROUP BY vec_id),
+    r AS (SELECT vec_id, ep, along, 1 / (1 + exp(-m)) - y AS s, 1 / (1 + exp(-m * (1 - 2.5e-5 / 401 * 1e-10))) - y AS s1, exp(-m) / power(1 + exp(-m), 2) AS k FROM m)"""
 DATASET = """tn AS (SELECT task, row_number() OVER (ORDER BY min(ep), task) - 1 AS task_index FROM f WHERE task <> 'view' GROUP BY task)"""
 SCORES = """sc AS (SELECT ep, iter, CASE WHEN (ep + iter) % 7 = 0 THEN 0.0::DOUBLE ELSE s END AS score FROM
     (SELECT user_id AS ep, event_id % 5 AS iter, avg(value) - 49.6::DOUBLE AS s FROM events GROUP BY ALL))"""
@@ -193,6 +196,10 @@ SQL: dict[str, str] = {
         g AS (SELECT d, avg(v * r1) AS g FROM c JOIN r USING (vec_id) WHERE vec_id % 10 = 0 GROUP BY d),
         w AS (SELECT vec_id, sum(v * g) AS w FROM c JOIN g USING (d) WHERE vec_id % 10 <> 0 GROUP BY vec_id)
         SELECT ep, round(-(2.5e-5 / 401) / 1e-4 * sum(r * w) / (SELECT count(*) FROM w), 9) AS score FROM r JOIN w USING (vec_id) GROUP BY ep""",
+    "influence_logistic": f"""WITH {LOGISTIC}, g AS (SELECT d, avg(v * s1) AS g FROM c JOIN r USING (vec_id) WHERE vec_id % 10 = 0 GROUP BY d),
+        w AS (SELECT vec_id, sum(v * g) AS w FROM c JOIN g USING (d) WHERE vec_id % 10 <> 0 GROUP BY vec_id)
+        SELECT ep, round(-(2.5e-5 / 401) / 1e-4 * sum(s * w) / (SELECT count(*) FROM w), 9) AS score FROM r JOIN w USING (vec_id) GROUP BY ep""",
+    "curvature_product": f"""WITH {LOGISTIC} SELECT d, round(avg(v * s), 9) AS gradient, round(avg(v * k * along), 9) AS product FROM c JOIN r USING (vec_id) GROUP BY d""",
     "save_points": """WITH n AS (SELECT user_id AS ep, count(*) AS n FROM events GROUP BY 1)
         SELECT ep, i, least(25 * i, n)::BIGINT AS step FROM n, range(1 + (SELECT max((n + 24) // 25) FROM n)) AS t(i) WHERE i <= (n + 24) // 25""",
     "trajectory_layout": f"""WITH {F} SELECT ep, j AS step, CASE WHEN j > greatest(0, n - 8) THEN j - 1 ELSE j END AS batch, n AS total, greatest(0, n - 8) AS before, n - greatest(0, n - 8) - 1 AS after FROM f""",

@@ -11,6 +11,7 @@ from episodica.functions.hashing import normal, uniform
 from episodica.operators import carried as K
 from episodica.operators import episodes as E
 from episodica.operators import evaluate as Q
+from episodica.operators import gradients as G
 from episodica.operators import influence as I
 from episodica.operators import profile as P
 from episodica.operators import quality as D
@@ -768,6 +769,27 @@ def influence_replay(spark, sf):
     return I.replay_scores(training, rows.where("vec_id % 10 <> 0"), rows.where("vec_id % 10 = 0"), THETA, 20, 8, I.Optimiser(rate=1e-3, eps_root=1e-4))
 
 
+def binary(spark, sf) -> DataFrame:
+    return vectors(spark, sf).withColumn("y", F.col("y") % 2)
+
+
+@query
+def influence_logistic(spark, sf):
+    """Scores under the logistic loss, whose sums have no closed form."""
+    rows = binary(spark, sf)
+    got = G.one_step_scores(rows.where("vec_id % 10 <> 0"), rows.where("vec_id % 10 = 0"), THETA, G.LOGISTIC)
+    return got.select("ep", F.round("score", 9).alias("score"))
+
+
+@query
+def curvature_product(spark, sf):
+    """Per dimension: gradient of the mean logistic loss, and its Hessian times a direction."""
+    rows, direction = binary(spark, sf), [(-1.0) ** d / (d + 1) for d in range(64)]
+    both = zip(G.mean_sum(rows, THETA, G.LOGISTIC), G.mean_sum(rows, THETA, G.LOGISTIC, direction), strict=True)
+    got = spark.createDataFrame([(d, float(g), float(h)) for d, (g, h) in enumerate(both)], "d long, gradient double, product double")
+    return got.select("d", r6("gradient", 9), r6("product", 9))
+
+
 @query
 def save_points(spark, sf):
     """Every episode as a replay of as many steps as it has frames, saved every 25 steps and at its end."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from episodica.functions import vectors as V
 from episodica.functions.text import clean_prompt
 from episodica.operators import episodes as E
+from episodica.operators import gradients as G
 from episodica.operators import influence as I
 from episodica.operators import quality as D
 from episodica.operators import sampling as S
@@ -21,15 +22,24 @@ from episodica.sources import files, sinks
 from episodica.sources.filetable import FileTable
 
 
-def score_and_select(frames: DataFrame, validation: DataFrame, theta: Sequence[float], existing: DataFrame, config: Workflow = Workflow(), share: float = 1.0, job: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(scores, selected): candidates are a seeded share of the episodes, scored in one step and merged into the existing selection.
+def score_and_select(frames: DataFrame, validation: DataFrame, theta: Sequence[float], existing: DataFrame, config: Workflow = Workflow(), share: float = 1.0, job: int = 0, training: DataFrame | None = None, inner: int = 0, back_off: int = 1, loss: G.Loss = G.SQUARED) -> tuple[DataFrame, DataFrame]:
+    """(scores, selected): candidates are a seeded share of the episodes, scored and merged into the existing selection.
 
-    frames and validation have x and y, frames also ep; existing has ep.
+    frames and validation have x and y, frames also ep; existing has ep. With training (x, y, batch) and inner steps scores are replayed through
+    that trajectory, without them the candidate step is the only one.
     """
+    if inner > 0 and training is None:
+        raise ValueError("inner steps need training rows")
     ids = frames.select("ep").distinct()
     E.require_known(existing.select("ep"), ids, "ep")
     chosen = ids if share >= 1 else S.prefix_sample(ids, "ep", S.share_size(ids.count(), share), config.seed + job)
-    scores = I.one_step_scores(frames.join(chosen, "ep", "left_semi"), validation, theta, config.optimiser)
+    candidates = frames.join(chosen, "ep", "left_semi")
+    if inner <= 0:
+        scores = I.one_step_scores(candidates, validation, theta, config.optimiser) if loss is G.SQUARED else G.one_step_scores(candidates, validation, theta, loss, config.optimiser)
+    elif loss is G.SQUARED:
+        scores = I.replay_scores(training, candidates, validation, theta, inner, back_off, config.optimiser)
+    else:
+        scores = G.replay_scores(training, candidates, validation, theta, inner, back_off, loss, config.optimiser)
     return scores, C.percentile_select(scores, existing, config.low, config.high)
 
 
