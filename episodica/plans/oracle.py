@@ -267,4 +267,5 @@ SQL: dict[str, str] = {
         u AS (SELECT *, sum(c) OVER (PARTITION BY task ORDER BY bin ROWS UNBOUNDED PRECEDING) AS upto FROM b)
         SELECT task, p, rows, round(mean, 6) AS mean, round(std, 6) AS std, lo, hi, greatest(lo, min(bin) * power(2.0::DOUBLE, any_value(e))) AS quantile
         FROM u JOIN e USING (task), (VALUES (0.01::DOUBLE), (0.99::DOUBLE)) AS t(p) WHERE upto >= p * rows GROUP BY task, p, rows, mean, std, lo, hi""",
+    "stream_metric_log": "SELECT event_id, event_type, value FROM events",
 }

@@ -23,6 +23,7 @@ from episodica.sources import files, sinks
 from episodica.sources.datasets import write_dataset
 from episodica.sources.filetable import FileTable
 from episodica.sources.footers import footers, missing_columns
+from episodica.sources.metriclog import log_metrics, read_metrics
 from episodica.sources.npy import write_npy
 from episodica.streaming import streams as R
 
@@ -856,3 +857,11 @@ def stream_count_windows(spark, sf):
     return got.select("key", "window", "rows", r6("mean"))
 
 
+@query
+def stream_metric_log(spark, sf):
+    """Every event once, from the log that two runs of one stream appended to."""
+    events = R.read_events(spark, f"{sf}/events*.parquet").select("event_id", "event_type", "value")
+    folder = scratch_folder(spark, "metrics")
+    for _ in range(2):
+        log_metrics(events, f"{folder}/log", f"{folder}/checkpoint", once=True).awaitTermination()
+    return read_metrics(spark, f"{folder}/log", events.schema)

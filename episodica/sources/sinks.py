@@ -119,8 +119,3 @@ def rewrite(df: DataFrame, path: str, backup: str | None = None, apply: bool = F
     if not keep:
         fs.delete(aside, True)
     return rows
-
-
-def log_metrics(stream: DataFrame, folder: str, checkpoint: str):
-    """Appends a metrics stream as JSON lines; returns the query, which runs until stopped."""
-    return stream.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").start()
