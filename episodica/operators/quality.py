@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,13 @@ def damage_report(frames: DataFrame, bad: str = "bad", episode: str = "ep", inde
     return rows.groupBy(*keys).agg(F.count("*").alias("checked"), F.count_if(bad).alias("failures"), F.count_distinct(F.when(F.col(bad), F.col(episode))).alias("bad_episodes"))
 
 
+def damage_by_column(frames: DataFrame, states: dict[str, Column], episode: str = "ep") -> DataFrame:
+    """(column, state, frames, episodes): how many frames of how many episodes have each state, for every column that a state is given for; null counts as missing."""
+    cells = F.explode(F.array(*(F.struct(F.lit(name).alias("column"), F.coalesce(state.cast("string"), F.lit("missing")).alias("state")) for name, state in states.items())))
+    rows = frames.select(F.col(episode).alias("__ep"), cells.alias("c")).groupBy("c.column", "c.state", "__ep").agg(F.count("*").alias("n"))
+    return rows.groupBy("column", "state").agg(F.sum("n").alias("frames"), F.count("*").alias("episodes"))
+
+
 def nearest_valid(frames: DataFrame, value: str = "v", bad: str = "bad", episode: str = "ep", index: str = "j") -> DataFrame:
     """For each damaged frame: (episode, index, source index, its value), from the nearest valid frame; the left one wins ties.
 

@@ -57,6 +57,8 @@ def feistel(x: str, seed: int, back: bool) -> str:
 LOGISTIC = """c AS (SELECT vec_id, vec_id % 50 AS ep, label % 2 AS y, unnest(list_transform(embedding, lambda v: v::DOUBLE)) AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
     m AS (SELECT vec_id, any_value(ep) AS ep, any_value(y) AS y, sum(v * 0.05 * (d % 3)) AS m, sum(v * (CASE WHEN d % 2 = 0 THEN 1 ELSE -1 END) / (d + 1)::DOUBLE) AS along FROM c GROUP BY vec_id),
     r AS (SELECT vec_id, ep, along, 1 / (1 + exp(-m)) - y AS s, 1 / (1 + exp(-m * (1 - 2.5e-5 / 401 * 1e-10))) - y AS s1, exp(-m) / power(1 + exp(-m), 2) AS k FROM m)"""
+PICTURES = """p AS (SELECT doc_id, text, CASE doc_id % 7 WHEN 0 THEN 'cut' WHEN 1 THEN 'corrupt' WHEN 2 THEN 'empty' WHEN 3 THEN 'unknown' ELSE 'whole' END AS front,
+    CASE doc_id % 5 WHEN 0 THEN 'cut' WHEN 1 THEN 'corrupt' ELSE 'whole' END AS side FROM documents)"""
 DATASET = """tn AS (SELECT task, row_number() OVER (ORDER BY min(ep), task) - 1 AS task_index FROM f WHERE task <> 'view' GROUP BY task)"""
 SCORES = """sc AS (SELECT ep, iter, CASE WHEN (ep + iter) % 7 = 0 THEN 0.0::DOUBLE ELSE s END AS score FROM
     (SELECT user_id AS ep, event_id % 5 AS iter, avg(value) - 49.6::DOUBLE AS s FROM events GROUP BY ALL))"""
@@ -137,6 +139,12 @@ SQL: dict[str, str] = {
     "stratified_sample": f"WITH {F}, {FIRST} SELECT task, ep FROM first QUALIFY row_number() OVER (PARTITION BY task ORDER BY {key(42, 'ep')}, ep) <= 5",
     "candidate_sample": f"WITH e AS (SELECT DISTINCT user_id AS ep FROM events) SELECT ep FROM e QUALIFY row_number() OVER (ORDER BY {key(42, 'ep')}, ep) <= (SELECT greatest(1, round_even(count(*) * 0.25, 0)) FROM e)",
     "prefix_stable_sample": f"WITH {STARTS} SELECT event_id, ep FROM st ORDER BY {key(7, 'event_id')}, event_id LIMIT 200",
+    "alias_probabilities": "SELECT o_custkey AS source, round(sum(o_totalprice::DOUBLE) / (SELECT sum(o_totalprice::DOUBLE) FROM orders), 9) AS probability FROM orders GROUP BY 1",
+    "alias_draws": "SELECT count(*) AS draws, count(*) AS numbers, count(*) AS of_their_source FROM lineitem",
+    "picture_damage": f"""WITH {PICTURES} SELECT camera, state, count(*) AS frames, count(DISTINCT doc_id % 50) AS episodes
+        FROM (SELECT doc_id, 'front' AS camera, front AS state FROM p UNION ALL SELECT doc_id, 'side', side FROM p) GROUP BY 1, 2""",
+    "picture_sizes": f"""WITH {PICTURES} SELECT doc_id, CASE WHEN front IN ('empty', 'unknown') THEN 'none' ELSE 'png' END AS front, front AS front_state,
+        CASE WHEN front NOT IN ('empty', 'unknown') THEN octet_length(encode(coalesce(text, ''))) END AS front_width, 'jpeg' AS side, side AS side_state, 32::BIGINT AS side_width FROM p""",
     "mixture_sample": f"""SELECT i, CASE WHEN u < 0.7 THEN 0 ELSE 1 END::BIGINT AS source, CAST(floor({uni(43, 'i')} * CASE WHEN u < 0.7 THEN (SELECT count(*) FROM orders) ELSE (SELECT count(*) FROM customer) END) AS BIGINT) AS row
         FROM (SELECT i, {uni(42, 'i')} AS u FROM range(2000) AS t(i))""",
     "episode_chunk_sample": f"WITH {STARTS}, {SIZES} {bootstrap(42)}",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from episodica.functions import text as X
 from episodica.functions import vectors as V
 from episodica.functions.hashing import normal, uniform
+from episodica.operators import alias as A
 from episodica.operators import carried as K
 from episodica.operators import episodes as E
 from episodica.operators import evaluate as Q
@@ -25,6 +26,7 @@ from episodica.sources.filetable import FileTable
 from episodica.sources.footers import footers, missing_columns
 from episodica.sources.metriclog import log_metrics, read_metrics
 from episodica.sources.npy import write_npy
+from episodica.sources.pictures import picture_state
 from episodica.streaming import streams as R
 
 H = 5
@@ -460,6 +462,27 @@ def mixture_sample(spark, sf):
     return S.mixture(spark, sizes, [0.7, 0.3], 2000, 42).select("i", F.col("source").cast("long").alias("source"), "row")
 
 
+def weighted_customers(spark, sf) -> DataFrame:
+    """A source per customer, weighted by what was ordered, with a row per order."""
+    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("source")).agg(F.sum(F.col("o_totalprice").cast("double")).alias("weight"), F.count("*").alias("size"))
+
+
+@query
+def alias_probabilities(spark, sf):
+    """How likely every source is, by the cells of its alias table."""
+    got = A.probabilities(A.alias_table(weighted_customers(spark, sf), cells=128))
+    return got.select("source", r6("probability", 9))
+
+
+@query
+def alias_draws(spark, sf):
+    """As many draws as there are line items: whether each names an order of its customer, and that none is lost."""
+    sources = weighted_customers(spark, sf)
+    drawn = A.alias_mixture(A.alias_table(sources), table(spark, sf, "lineitem").count(), 42)
+    joined = drawn.join(sources, "source")
+    return joined.agg(F.count("*").alias("draws"), F.count_distinct("i").alias("numbers"), F.count_if((F.col("row") >= 0) & (F.col("row") < F.col("size"))).alias("of_their_source"))
+
+
 @query
 def episode_chunk_sample(spark, sf):
     return S.bootstrap_chunks(E.valid_starts(frames(spark, sf), H), 42).select("i", "ep", "j")
@@ -672,6 +695,42 @@ def quality_scan_first_failure(spark, sf):
     return D.damage_report(damaged(spark, sf), stop_early=True)
 
 
+def big_endian(n):
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0"))
+
+
+def png_chunk(name: str, data, spoil: int = 0):
+    body = F.concat(F.encode(F.lit(name), "UTF-8"), data)
+    return F.concat(big_endian(F.octet_length(data)), body, big_endian((F.crc32(body) + spoil) % 4294967296))
+
+
+def pictures(spark, sf) -> DataFrame:
+    """doc_id, ep, and two cameras: PNG and JPEG files around the documents' texts, some of them cut, spoilt, missing or something else."""
+    text, i = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.col("doc_id")
+    head = F.unhex(F.lit("89504E470D0A1A0A"))
+    size = png_chunk("IHDR", F.concat(big_endian(F.octet_length(text)), F.unhex(F.lit("000000010800000000"))))
+    end = png_chunk("IEND", F.unhex(F.lit("")))
+    png = F.concat(head, size, png_chunk("IDAT", text), end)
+    front = F.when(i % 7 == 0, F.substring(png, F.lit(1), F.octet_length(png) - 5)).when(i % 7 == 1, F.concat(head, size, png_chunk("IDAT", text, 1), end)).when(i % 7 == 2, F.lit(None)).when(i % 7 == 3, F.concat(F.encode(F.lit("no picture: "), "UTF-8"), text)).otherwise(png)
+    start, stop = F.unhex(F.lit("FFD8FFC00011080010002003012200021101031101FFDA000C03010002110311003F00")), F.unhex(F.lit("FFD9"))
+    side = F.when(i % 5 == 0, F.concat(start, text)).when(i % 5 == 1, F.concat(start, text, F.unhex(F.lit("FF05")), stop)).otherwise(F.concat(start, text, stop))
+    return table(spark, sf, "documents").select("doc_id", (i % 50).alias("ep"), front.alias("front"), side.alias("side"))
+
+
+@query
+def picture_damage(spark, sf):
+    """States of pictures by camera."""
+    rows = pictures(spark, sf).select("ep", picture_state(F.col("front"))["state"].alias("front"), picture_state(F.col("side"))["state"].alias("side"))
+    return D.damage_by_column(rows, {c: F.col(c) for c in ("front", "side")}).withColumnRenamed("column", "camera")
+
+
+@query
+def picture_sizes(spark, sf):
+    """Kind, state and size of every document's pictures."""
+    rows = pictures(spark, sf).select("doc_id", picture_state(F.col("front")).alias("f"), picture_state(F.col("side")).alias("s"))
+    return rows.select("doc_id", F.col("f.kind").alias("front"), F.col("f.state").alias("front_state"), F.col("f.width").cast("long").alias("front_width"), F.col("s.kind").alias("side"), F.col("s.state").alias("side_state"), F.col("s.width").cast("long").alias("side_width"))
+
+
 @query
 def repair_nearest(spark, sf):
     return D.nearest_valid(damaged(spark, sf)).select("ep", F.col("j").cast("long").alias("j"), F.col("source").cast("long").alias("source"), "v")
