@@ -7,7 +7,7 @@ need a place in a transform, so the search narrows down first, always by keys of
    run. Runs whose anchor occurs once hold nothing repeated; runs that occur twice as a whole are repeated as a whole.
 2. Of runs that share an anchor but differ, one of each kind is cut into steps of 16 windows, later of 4. The bytes that all windows of a step
    share are its core: a step whose core no other kind of step has is done, one that occurs twice is repeated, the others go on.
-3. The windows that remain are dealt by hash into parts, and each part by source into shards. Every shard's Burrows-Wheeler transform is built once
+3. The windows that remain are dealt by hash into parts, and each part by row into shards. Every shard's Burrows-Wheeler transform is built once
    and kept as a table; a part's transforms are merged by Holt and McMillan's interleave refinement, whose blocks after LENGTH
    rounds are the repeated intervals.
 
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,27 +249,22 @@ def narrow(scratch: Scratch, pieces: DataFrame, shared: str, times, name: str) -
 
 
 def _windows(parts: int):
-    """Rows (part, shard, window, heavy, rows, lows): the windows of units, equal ones of a task together."""
+    """Rows (part, shard, window, heavy): the windows of units, equal ones of a task and shard once, and heavy if that happened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() % SHARDS
-        seen: dict[bytes, tuple[list[int], list[int], list[bool]]] = {}
+        seen: dict[tuple[int, bytes], bool] = {}
 
         def flush() -> pa.RecordBatch:
-            part = [xxhash.xxh3_64_intdigest(w) % parts for w in seen]
-            rows, lows, heavy = zip(*seen.values(), strict=True) if seen else ([], [], [])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), pa.array([shard] * len(part), pa.int32()), pa.array(list(seen), pa.binary()), pa.array([any(x) for x in heavy], pa.bool_()), pa.array(rows, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int32()))],
-                names=["part", "shard", "window", "heavy", "rows", "lows"],
-            )
+            part = [xxhash.xxh3_64_intdigest(w) % parts for _, w in seen]
+            columns = [pa.array(part, pa.int32()), pa.array([s for s, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.binary()), pa.array(list(seen.values()), pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "shard", "window", "heavy"])
 
         for batch in batches:
-            for row, low, heavy, data in zip(*(batch.column(c).to_pylist() for c in ("row", "low", "heavy", "data")), strict=True):
+            for row, heavy, data in zip(*(batch.column(c).to_pylist() for c in ("row", "heavy", "data")), strict=True):
+                shard = (row ^ row >> 33) % SHARDS
                 for j in range(len(data) - LENGTH + 1):
-                    own = seen.setdefault(data[j : j + LENGTH], ([], [], []))
-                    own[0].append(row)
-                    own[1].append(low + j)
-                    own[2].append(heavy)
+                    key = shard, data[j : j + LENGTH]
+                    seen[key] = heavy or key in seen
             if len(seen) > 1 << 14:
                 yield flush()
                 seen.clear()
@@ -279,84 +273,83 @@ def _windows(parts: int):
     return run
 
 
-TRANSFORMS = "part int, shard int, transform binary, heavy binary, entries array<int>, rows array<long>, lows array<int>"
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hi, lo, row, low): the key and place of every window of units."""
+    for batch in batches:
+        rows, lows, data = (batch.column(c).to_pylist() for c in ("row", "low", "data"))
+        keys = _digests((memoryview(d)[j : j + LENGTH], 0) for d in data for j in range(len(d) - LENGTH + 1))
+        n = np.array([max(0, len(d) - LENGTH + 1) for d in data], np.int64)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        columns = [keys[:, 0], keys[:, 1], np.repeat(np.array(rows, np.int64), n), (np.repeat(np.array(lows, np.int64), n) + within).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["hi", "lo", "row", "low"])
+
+
+TRANSFORMS = "part int, shard int, transform binary, heavy binary, keys binary"
 
 
 def build_transforms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A transform for each (part, shard) of sorted windows, whose entries know if they are repeated already and where they come from."""
+    """A transform for each (part, shard) of sorted windows, with the key of each entry and whether it is repeated already."""
 
-    def built(key: tuple[int, int], windows: dict[bytes, list]) -> pa.RecordBatch:
+    def built(key: tuple[int, int], windows: dict[bytes, bool]) -> pa.RecordBatch:
         order, transform = shard_transform(np.frombuffer(b"".join(windows), np.uint8).reshape(-1, LENGTH))
-        places = list(windows.values())
-        places = [places[i] for i in order.tolist()]
-        owners = [(e, row, low) for e, p in enumerate(places) for row, low in zip(p[1], p[2], strict=True)]
-        entries, rows, lows = ([o[i] for o in owners] for i in range(3))
-        heavy = np.fromiter((p[0] or len(p[1]) > 1 for p in places), bool, len(places)).tobytes()
-        columns = [[key[0]], [key[1]], [transform.tobytes()], [heavy], [entries], [rows], [lows]]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "shard", "transform", "heavy", "entries", "rows", "lows"])
+        heavy = np.fromiter(windows.values(), bool, len(windows))[order].tobytes()
+        columns = [[key[0]], [key[1]], [transform.tobytes()], [heavy], [_digests((w, 0) for w in windows)[order].tobytes()]]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "shard", "transform", "heavy", "keys"])
 
     key, windows = None, {}
     for batch in batches:
-        for part, shard, window, heavy, rows, lows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part, shard, window, heavy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != (part, shard):
                 if windows:
                     yield built(key, windows)
                 key, windows = (part, shard), {}
-            own = windows.setdefault(window, [False, [], []])
-            own[0] |= heavy
-            own[1] += rows
-            own[2] += lows
+            windows[window] = heavy or window in windows
     if windows:
         yield built(key, windows)
 
 
 def repeated_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, shard, again): for each entry of the shards of a part, sorted by part, whether it lies in a repeated interval of the merge."""
-
-    def merged(part: int, shards: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        transforms = [np.frombuffer(t, np.uint8).reshape(LENGTH, -1) for _, t, _ in shards]
-        interleave, block, common = merge_transforms(transforms)
-        again = common == LENGTH
-        out = []
-        for k, (_, _, heavy) in enumerate(shards):  # a shard's entries stand in its own order
-            out.append((again[interleave == k] | np.frombuffer(heavy, bool)).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array([s[0] for s in shards], pa.int32()), pa.array(out, pa.binary())], names=["part", "shard", "again"])
+    """(hi, lo): the key of each repeated interval of the merge of a part's shards, sorted by part, and of each entry that was repeated before."""
+
+    def merged(shards: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        interleave, block, common = merge_transforms([np.frombuffer(t, np.uint8).reshape(LENGTH, -1) for t, _, _ in shards])
+        again, keys = common == LENGTH, np.empty((len(block), 2), "<i8")
+        for k, (_, heavy, own) in enumerate(shards):  # a shard's entries stand in its own order
+            mine = np.flatnonzero(interleave == k)
+            again[mine] |= np.frombuffer(heavy, bool)
+            keys[mine] = np.frombuffer(own, "<i8").reshape(-1, 2)
+        chosen = np.flatnonzero(again)
+        keys = keys[chosen[np.unique(block[chosen], return_index=True)[1]]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, i])) for i in (0, 1)], names=["hi", "lo"])
 
     part, shards = None, []
     for batch in batches:
-        for own, *shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for own, *shard in zip(*(batch.column(c).to_pylist() for c in ("part", "transform", "heavy", "keys")), strict=True):
             if own != part and shards:
-                yield merged(part, shards)
+                yield merged(shards)
                 shards = []
             part = own
             shards.append(tuple(shard))
     if shards:
-        yield merged(part, shards)
-
-
-def _spans_of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, starts = [], []
-        for again, entries, own, lows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            chosen = np.frombuffer(again, bool)[np.array(entries, np.int64)]
-            rows.append(np.array(own, np.int64)[chosen])
-            starts.append(np.array(lows, np.int32)[chosen])
-        rows, starts = np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*starts, np.zeros(0, np.int32)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(starts), pa.array(starts + np.int32(LENGTH))], names=["row", "start", "end"])
+        yield merged(shards)
 
 
 def merged_spans(units: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
-    """(row, start, end) of the windows of units that occur more than once, by transforms of shards and their merge."""
+    """(row, start, end) of the windows of units that occur more than once, by transforms of shards and their merge.
+
+    Transforms know windows, not who has them: an entry stands for all copies in a shard, so a hot window is as small as any other, and places are
+    found by a join on the windows' keys with plain exchanges, which adaptive execution can split.
+    """
     windows = units.agg(F.sum(F.octet_length("data") - (LENGTH - 1))).first()[0] or 0
     parts = max(1, -(-windows // part))
-    dealt = mapped(units, _windows(parts), "part int, shard int, window binary, heavy boolean, rows array<long>, lows array<int>")
+    dealt = mapped(units.select("row", "heavy", "data"), _windows(parts), "part int, shard int, window binary, heavy boolean")
     dealt = dealt.repartition("part", "shard").sortWithinPartitions("part", "shard")
     transforms = scratch.write(mapped(dealt, build_transforms, TRANSFORMS), "transforms")
-    sorted_ = transforms.select("part", "shard", "transform", "heavy").repartition("part").sortWithinPartitions("part", "shard")
-    again = scratch.write(mapped(sorted_, repeated_intervals, "part int, shard int, again binary"), "intervals")
-    owners = transforms.select("part", "shard", "entries", "rows", "lows").join(again, ["part", "shard"]).select("again", "entries", "rows", "lows")
-    return scratch.write(mapped(owners, _spans_of_entries, "row long, start int, end int"), "window-spans")
+    sorted_ = transforms.repartition("part").sortWithinPartitions("part", "shard")
+    again = scratch.write(mapped(sorted_, repeated_intervals, "hi long, lo long"), "intervals")
+    places = mapped(units.select("row", "low", "data"), _places, "hi long, lo long, row long, low int")
+    return scratch.write(places.join(again, ["hi", "lo"]).select("row", F.col("low").alias("start"), (F.col("low") + LENGTH).alias("end")), "window-spans")
 
 
 def repeated_spans(texts: DataFrame, anchored: DataFrame, scratch: Scratch, part: int = PART) -> DataFrame:
