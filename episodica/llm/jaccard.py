@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructType
 
 from episodica.llm.common import Scratch, connected_components, fingerprints, mapped, mixed, prefix_sums, runs_of_rows, text_or_empty, utf8_column
 
@@ -358,6 +359,50 @@ def multiplied(blocks: DataFrame, percent: int) -> DataFrame:
     return mapped(sorted_, _product(percent), "a long, b long")
 
 
+def read_from_files(docs: DataFrame) -> bool:
+    """Whether every row of docs is a row of a Parquet file, as it was or chosen by a test that always says the same, so that file and row number are its key."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.relation().toString() == "parquet"
+
+
+def places_in_files(docs: DataFrame, columns: list, scratch: Scratch) -> DataFrame:
+    """The columns of docs with the key of each row (file, row): of Parquet files their own, otherwise that of a copy, which is written first."""
+    rows = docs.select(*columns)
+    if not read_from_files(docs):
+        rows = scratch.write(rows, "texts")
+        columns = [F.col(c) for c in rows.columns]
+        docs = rows
+    return docs.select(*columns, F.unhex(F.md5("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def size_band(percent: int):
+    """Bands of the sizes of sets such that linked ones lie in one or in neighbours; a little wider than the ratio of linked sizes, for the sake of rounding."""
+    return F.floor(F.log(F.length("grams") / 8) / F.log(F.lit(1.0001 * 100 / percent)))
+
+
+def open_tiles(members: DataFrame, open_: DataFrame, percent: int, block: int) -> DataFrame:
+    """(group, x, y, node, grams): tiles in which every open row meets all rows of its group whose size allows a link.
+
+    A row lies in the band of its size; an open row also goes to the neighbouring ones. Bands of a group are cut by hash into as many
+    parts as hold about `block` rows, for open rows and for all.
+    """
+    every = members.join(open_.select("group").distinct(), "group").withColumn("band", size_band(percent))
+    bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    a = every.join(open_.select("node"), "node", "left_semi").select("group", "node", "grams", bands.alias("band"))
+    down = a.groupBy("group", "band").agg(F.ceil(F.count("*") / block).alias("down"))
+    across = every.groupBy("group", "band").agg(F.ceil(F.count("*") / block).alias("across"))
+    cuts = down.join(across, ["group", "band"])
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = F.concat_ws(":", "band", F.pmod(F.xxhash64("node"), "down"))
+    a = a.join(cuts, ["group", "band"]).withColumn("y", upto("across")).select("group", place.alias("x"), "y", "node", "grams")
+    b = every.join(cuts, ["group", "band"]).withColumn("part", upto("down")).select("group", F.concat_ws(":", "band", "part").alias("x"), F.pmod(F.xxhash64("node"), "across").alias("y"), "node", "grams")
+    return a.unionByName(b)
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id) for every row: which documents links of Jaccard similarity >= percent / 100 connect.
 
@@ -370,14 +415,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     Candidates come from block_signatures, of which a task hands on the first holder only (later ones are tied to it at once), so a common
     signature has about as many rows as there are tasks. Groups that candidates make larger than `block`, as texts with a common passage may,
     are taken apart by other deals of the columns as long as that helps. The rows that candidates connect are multiplied in blocks of about `block`; a larger
-    group is first cut into blocks that share one pivot row, and then only rows outside its largest component meet the whole group.
+    group is first cut into blocks that share one pivot row, and then only rows outside its largest component meet the rows of the group that have about their size.
+
+    Rows of Parquet files are told apart by file and place there, and read once for frequent n-grams, once for signatures and once for the sets of candidates;
+    rows from elsewhere are written first.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holders, met, earlier = Holders(), set(), set()
         for batch in batches:
-            sets = shingle_sets(*utf8_column(batch.column(1)), words)
+            sets = shingle_sets(*utf8_column(batch.column(0)), words)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             first = []  # of equal sets of this task only the first is signed
             for i, (key, own) in enumerate(zip(keys, sets, strict=True)):
@@ -387,7 +435,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
                     met.add(key)
             if len(met) > REMEMBERED:
                 met, earlier = set(), met
-            rows = batch.column(0).to_numpy()
+            rows = batch.column(2).to_numpy()
             signatures, near = [[]] * len(sets), [[]] * len(sets)
             chosen = [sets[i] for i in first]
             if chosen:
@@ -398,15 +446,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             leads[first] = True
             hi, lo = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(hi, mask=empty), pa.array(lo, mask=empty), pa.array(leads), pa.array(signatures, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))],
-                names=["node", "n_shingles", "hi", "lo", "leads", "signatures", "near"],
+                [*batch.columns[1:], pa.array(list(map(len, sets)), pa.int64()), pa.array(hi, mask=empty), pa.array(lo, mask=empty), pa.array(leads), pa.array(signatures, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))],
+                names=kinds.names,
             )
 
-    whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    whole = scratch.write(whole.withColumn("node", F.monotonically_increasing_id()), "texts")  # once written, a row's key stays
+    own = [F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{id_col}`").alias("id")]
+    whole = places_in_files(docs, own, scratch)
     marks = spark.sparkContext.broadcast(frequent_slots(whole, words, "text"))
-    signed = scratch.write(mapped(whole.select("node", "text"), sign, "node long, n_shingles long, hi long, lo long, leads boolean, signatures array<long>, near array<long>"), "signed")
-    sets = scratch.write(signed.select("node", "n_shingles", "hi", "lo", "leads"), "sets")
+    keyed = whole.select("text", "id", F.monotonically_increasing_id().alias("node"), "file", "row")  # the number stays once it is written
+    kinds = StructType(keyed.schema.fields[1:])
+    for name in ("n_shingles", "hi", "lo"):
+        kinds = kinds.add(name, LongType())
+    kinds = kinds.add("leads", BooleanType()).add("signatures", ArrayType(LongType())).add("near", ArrayType(LongType()))
+    signed = scratch.write(mapped(keyed, sign, kinds), "signed")
+    sets = scratch.write(signed.select("id", "node", "file", "row", "n_shingles", "hi", "lo", "leads"), "sets")
     candidates = scratch.write(candidate_edges(signed.select("node", "signatures", "near")), "candidates")
     groups = connected_components(spark, candidates, scratch, "groups")
     # of equal sets the least of the rows that were signed stands for all
@@ -420,7 +473,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "group", "grams"])
 
     # the candidates grow with the corpus, so they are never broadcast: one plan at every size
-    texts = groups.hint("merge").join(whole.select("node", "text"), "node")
+    places = groups.join(sets.where("leads").select("node", "file", "row"), "node")
+    texts = places.hint("merge").join(whole.select("file", "row", "text"), ["file", "row"])
     members = scratch.write(mapped(texts.select("node", "group", "text"), sets_of, "node long, group long, grams binary"), "members")
     sizes = scratch.write(groups.groupBy("group").agg(F.count("*").alias("members")), "sizes")
     held = None
@@ -449,18 +503,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         inside = scratch.write(inside, "inside")
         main = inside.groupBy("group", "part_of").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("part_of", F.struct("n", "part_of")).alias("main"))
         main = scratch.write(main, "main")
-        open_ = scratch.write(inside.join(main, "group").where("part_of <> main").select("node", "group", "members"), "open")
-        n_open = open_.groupBy("group").agg(F.count("*").alias("n_open"))
-        n_open = scratch.write(n_open.join(large, "group").select("group", F.ceil(F.col("n_open") / block).alias("down"), F.ceil(F.col("members") / block).alias("across")), "n_open")
-        every = members.join(n_open, "group")
-        a = every.join(open_.select("node"), "node", "left_semi").withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1))).withColumn("x", F.pmod(F.xxhash64("node"), "down"))
-        b = every.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1))).withColumn("y", F.pmod(F.xxhash64("node"), "across"))
-        tiles = a.select("group", "x", "y", "node", "grams").unionByName(b.select("group", "x", "y", "node", "grams"))
+        open_ = scratch.write(inside.join(main, "group").where("part_of <> main").select("node", "group"), "open")
+        tiles = open_tiles(members, open_, percent, block)
         links = links.unionByName(scratch.write(multiplied(tiles, percent), "more"))
     found = connected_components(spark, links, scratch, "found")
     labelled = scratch.write(nodes.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component")), "labelled")
-    rows = sets.join(labelled, ["hi", "lo"], "left").select("node", "n_shingles", "component")
-    rows = scratch.write(rows.join(whole.select("node", "id"), "node").select("id", "n_shingles", "component"), "rows")
+    rows = scratch.write(sets.join(labelled, ["hi", "lo"], "left").select("id", "n_shingles", "component"), "rows")
     least = scratch.write(rows.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id")), "least")
     scratch.drop("texts", "sets", "nodes", "labelled", "members", "links", "more", *(f"members-{d}" for d in range(1, DEALS)))
     return rows.join(least, "component", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
