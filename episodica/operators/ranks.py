@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.plans.scratch import written_once
+
 #: Bins a round, rows whose values the driver sorts itself, and rows a single top-n task may take.
 BINS, FEW, AT_ONCE = 4096, 10_000, 100_000
 
@@ -83,13 +85,13 @@ def percentiles(rows: DataFrame, column: str, shares: list[float]) -> list[float
 def first_rows(rows: DataFrame, columns: list[str], k: int, at_once: int = AT_ONCE) -> DataFrame:
     """The k rows that come first in the order of the columns (nulls first, NaN last), in no order of their own when there are many.
 
-    Few are a top-n. For many the value at the last place is found first and rows are filtered by it, so that no task holds k rows; columns but
+    Few are a top-n. For many the value at the last place is found first and rows are filtered by it, so that no task holds k rows (the input is evaluated once, into a table that the rounds read); columns but
     the last must be numeric, and a last one that isn't decides between equals by a top-n.
     """
     if k <= at_once:
         return rows.orderBy(*columns).limit(k)
     kinds = dict(rows.dtypes)
-    kept, rest = [], rows
+    kept, rest = [], written_once(rows, "ranked")
     for column in columns:
         c = F.col(column)
         n, nulls = rest.agg(F.count("*"), F.count_if(c.isNull())).first()

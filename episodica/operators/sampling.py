@@ -9,6 +9,7 @@ from episodica.functions.hashing import draw_key, uniform
 from episodica.functions.permutation import place_of, row_at
 from episodica.operators.episodes import id_part
 from episodica.operators.ranks import AT_ONCE, first_rows, running_total
+from episodica.plans.scratch import written_once
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, k: int, seed: int) -> DataFrame:
@@ -56,7 +57,7 @@ def mixture(spark, sizes: list[int], weights: list[float], length: int, seed: in
 
 def bootstrap_chunks(starts: DataFrame, seed: int, episode: str = "ep", start: str = "j") -> DataFrame:
     """(i, episode, start): as many draws as there are valid starts; each takes an episode uniformly, then one of its starts."""
-    sizes = starts.groupBy(episode).agg(F.count("*").alias("starts"))
+    sizes = written_once(starts.groupBy(episode).agg(F.count("*").alias("starts")), "starts")
     ranked = numbered(sizes, episode, id_part(sizes, episode))
     total = sizes.agg(F.count("*").alias("episodes"), F.sum("starts").alias("rows")).first()
     if not total["rows"]:
@@ -69,7 +70,7 @@ def coverage_first(starts: DataFrame, budget: int, seed: int, episode: str = "ep
     """`budget` starts: one of every episode first, then draws with replacement; with a smaller budget than episodes, a random part of them."""
     if budget <= 0:
         raise ValueError("the budget must be positive")
-    sizes = starts.groupBy(episode).agg(F.count("*").alias("starts"))
+    sizes = written_once(starts.groupBy(episode).agg(F.count("*").alias("starts")), "starts")
     digest = draw_key(seed, episode)
     ranked = numbered(sizes, F.struct(digest, episode), F.substring(digest, 1, 4))
     first = ranked.where(F.col("number") < budget).select(F.col("number").cast("long").alias("i"), episode, F.floor(uniform(seed + 1, episode) * F.col("starts")).alias(start))

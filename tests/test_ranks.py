@@ -46,6 +46,19 @@ def test_first_rows_equal_a_sort(spark):
         assert S.prefix_sample(ids, key, 120, 9, at_once=0).count() == 120
 
 
+def test_many_first_rows_evaluate_their_input_once(spark):
+    turns = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            turns.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 400, 1, 3).select((F.col("id") % 7).alias("x"), "id").mapInArrow(seen, "x long, id long")
+    got = ranks.first_rows(rows, ["x", "id"], 100, at_once=0)
+    assert sorted((r["x"], r["id"]) for r in got.collect()) == sorted((i % 7, i) for i in range(400))[:100] and turns.value == 400
+
+
 def test_running_totals_in_parts(spark):
     draw = random.Random(7)
     lengths = {draw.randrange(1 << 20): draw.randrange(1, 9) for _ in range(300)}
