@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from episodica.operators.ranks import first_rows, percentiles
 
 
-def mean_of_nonzero(scores: DataFrame, available: DataFrame | None = None, episode: str = "ep", score: str = "score") -> DataFrame:
-    """(episode, score): the mean over iterations, zeros left out; episodes that aren't available are ignored, NaN stays."""
+def mean_of_nonzero(scores: DataFrame, available: DataFrame | None = None, episode: str = "ep", score: str = "score", turn: str | None = None) -> DataFrame:
+    """(episode, score): the mean over iterations, zeros left out; episodes that aren't available are ignored, NaN stays.
+
+    With the column of the iteration's number, scores are summed in its order (an episode has a score per iteration), so that the mean's last bit doesn't depend on how rows are dealt.
+    """
     known = scores.join(available.select(episode), episode, "left_semi") if available is not None else scores
-    return known.where(F.col(score) != 0).groupBy(episode).agg(F.avg(score).alias(score))
+    own = known.where(F.col(score) != 0).groupBy(episode)
+    if turn is None:
+        return own.agg(F.avg(score).alias(score))
+    listed = own.agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(score).alias("score")))).alias("__listed"))
+    total = F.aggregate("__listed", F.lit(0.0), lambda s, x: s + x["score"])
+    return listed.select(episode, (total / F.size("__listed")).alias(score))
 
 
 def bottom_k(scores: DataFrame, share: float, n_available: int, episode: str = "ep", score: str = "score") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +76,23 @@ def with_stats(spark: SparkSession, sf: str, quantiles: bool = False) -> DataFra
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """ep, iter, score: five iterations with signs and zeros."""
-    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("ep"), (F.col("event_id") % 5).alias("iter")).agg((F.avg("value") - 49.6).alias("s"))
-    return e.select("ep", "iter", F.when((F.col("ep") + F.col("iter")) % 7 == 0, 0.0).otherwise(F.col("s")).alias("score"))
+    """ep, iter, score: five iterations with signs and zeros.
+
+    Doubles are summed in the order of event_id, however the table is split. A mean that is 49.6 in decimals is a score of 0, which such a sum may
+    miss by 1e-14; values that are no decimals below 1e9 (NaN) leave that to the sum.
+    """
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("ep"), (F.col("event_id") % 5).alias("iter"), "event_id", "value")
+    rows = rows.withColumn("off", F.col("value").try_cast("decimal(27,18)") - F.lit(Decimal("49.6")))
+    own = Window.partitionBy("ep", "iter").orderBy("event_id", "value")
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {"sum": F.sum("value"), "n": F.count("value"), "off": F.try_sum("off"), "decimals": F.count("off")}
+    e = rows.select("ep", "iter", *(f.over(upto).alias(c) for c, f in sums.items()), F.lead(F.lit(1)).over(own).isNull().alias("last")).where("last")
+    zero = ((F.col("ep") + F.col("iter")) % 7 == 0) | ((F.col("off") == 0) & (F.col("decimals") == F.col("n")))
+    return e.select("ep", "iter", F.when(zero, 0.0).when(F.col("n") > 0, F.col("sum") / F.col("n") - 49.6).alias("score"))
+
+
+def mean_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return C.mean_of_nonzero(scores(spark, sf), turn="iter")
 
 
 def r6(c: str, n: int = 6):
@@ -570,25 +586,25 @@ def sampled_task_summary(spark, sf):
 
 @query
 def mean_nonzero_scores(spark, sf):
-    return C.mean_of_nonzero(scores(spark, sf)).select("ep", r6("score"))
+    return mean_scores(spark, sf).select("ep", r6("score"))
 
 
 @query
 def select_bottom_k(spark, sf):
-    means = C.mean_of_nonzero(scores(spark, sf)).withColumn("score", F.round("score", 9))
+    means = mean_scores(spark, sf).withColumn("rounded", F.round("score", 9))
     n = table(spark, sf, "events").select("user_id").distinct().count()
-    return C.bottom_k(means, 0.1, n).select("ep", r6("score"))
+    return C.bottom_k(means, 0.1, n, score="rounded").select("ep", r6("score"))
 
 
 @query
 def select_percentile(spark, sf):
-    one = C.mean_of_nonzero(scores(spark, sf)).select("ep", F.round("score", 9).alias("score"))
+    one = mean_scores(spark, sf).select("ep", F.round("score", 9).alias("score"))
     return C.percentile_select(one, one.where("ep % 2 = 0").select("ep"))
 
 
 @query
 def scores_dense(spark, sf):
-    one = C.mean_of_nonzero(scores(spark, sf))
+    one = mean_scores(spark, sf)
     top = one.agg(F.max("ep")).first()[0]
     return C.dense(one, (top or 0) + 1).select("ep", r6("score"))
 
