@@ -58,8 +58,13 @@ def _walked(x: Column, n: int, seed: int, turn: Column | int, back: bool) -> Col
     once = _rounds(x, a, keys, back)
     if a * a == n:
         return once
-    more = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once, lambda y, _: F.when(y < n, y).otherwise(_rounds(y, a, keys, back)))
-    return F.when(more < n, more).otherwise(F.raise_error(F.lit("no place found")).cast("long"))
+
+    def further(y: Column) -> Column:
+        more = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), y, lambda z, _: F.when(z < n, z).otherwise(_rounds(z, a, keys, back)))
+        return F.when(more < n, more).otherwise(F.raise_error(F.lit("no place found")).cast("long"))
+
+    # an array of one binds the number, so that rounds run once and only the few that are not below n walk on
+    return F.transform(F.array(once), lambda y: F.when(y < n, y).otherwise(further(y)))[0]
 
 
 def row_at(place: Column, n: int, seed: int, turn: Column | int = 0) -> Column:

@@ -52,3 +52,20 @@ def test_draws_beyond_the_pool(spark):
     assert S.draws_in_passes(spark, 0, 0, seed=1).count() == 0
     with pytest.raises(ValueError):
         S.draws_in_passes(spark, 0, 1, seed=1)
+
+
+def test_only_numbers_that_are_not_below_n_walk_on(spark, monkeypatch):
+    """With a walk that fails at once, all rows whose first step leads below n still have their place."""
+    from episodica.functions import permutation
+
+    first, n = permutation._rounds, 10_001  # of 101 * 101 numbers, 200 are not below n
+
+    def counted(x, a, keys, back):
+        return first(x, a, keys, back) if x is start else F.raise_error(F.lit("walked")).cast("long")
+
+    start = F.col("id").cast("long")
+    below = [r["id"] for r in spark.range(n).select("id", first(start, permutation.side(n), [F.lit(k).cast("long") for k in permutation.round_keys(3)], True).alias("at")).where(F.col("at") < n).collect()]
+    monkeypatch.setattr(permutation, "_rounds", counted)
+    monkeypatch.setattr(permutation, "WALK", 10**7)  # an array that long for every row would take hours
+    got = spark.range(n).where(F.col("id").isin(below[:2000])).select(permutation._walked(start, n, 3, 0, True).alias("at")).collect()
+    assert len(got) == 2000 and all(0 <= r["at"] < n for r in got)
